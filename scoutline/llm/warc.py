@@ -27,7 +27,7 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Bytes of payload after which an archive is closed, records that train its dictionary, and its size.
-ARCHIVE_BYTES, TRAINING_RECORDS, DICTIONARY_BYTES = 4_000_000, 200, 16_384
+ARCHIVE_BYTES, TRAINING_RECORDS, DICTIONARY_BYTES = 4_000_000, 200, 8_192
 
 
 def digest(payload: bytes) -> str:
@@ -51,7 +51,7 @@ def write_archive(records: list[bytes]) -> bytes:
 
     trained = None
     sample = records[:: max(1, len(records) // TRAINING_RECORDS)][:TRAINING_RECORDS]
-    if len(records) >= 16 and sum(map(len, sample)) >= 8 * DICTIONARY_BYTES:
+    if len(records) >= 16 and sum(map(len, sample)) >= 4 * DICTIONARY_BYTES:
         try:
             trained = zstd.train_dictionary(DICTIONARY_BYTES, sample, k=200, d=8)
         except zstd.ZstdError:  # the records are too alike or too short for one
