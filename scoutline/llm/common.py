@@ -77,18 +77,21 @@ class WordHasher:
             self._up, self._down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)))) for b in (_BASE, _BASE_INVERSE))
         return self._up, self._down
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each word, and the number of words before each text (texts + 1 entries).
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word in lower case (A-Z only), and the number of words before each text (texts + 1 entries).
 
-        data: bytes of all texts; offsets: where each text starts, and the end.
+        data: bytes of all texts; offsets: where each text starts, and the end; letters: words are runs of
+        ASCII letters, digits and other alphabets, instead of anything but white space.
         """
         base, data = offsets[0], data[offsets[0] : offsets[-1]]
         offsets = offsets - base
         if not len(data):
             return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        if lower:
-            data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        if letters:
+            inside = ((data >= 97) & (data <= 122)) | (data >= 128) | ((data >= 48) & (data <= 57))
+        else:
+            inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edges = offsets[:-1][offsets[:-1] < len(data)]
@@ -123,3 +126,9 @@ def slices(offsets: np.ndarray, most: int):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def word_hash(word: str) -> int:
+    """Hash of one word as WordHasher gives it."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(WordHasher()(data, np.array([0, len(data)]))[0][0])

@@ -11,7 +11,7 @@ component meet the rest of the bucket, in salted blocks if it is large.  Pairs i
 check, since they cannot change the result.
 
 Two sets of similarity s share no bucket with probability (1 - s^5)^40: 1.3e-7 at 0.8, less above.  The
-sketch lets pass every estimate of at least ``similarity - SLACK``, about five standard deviations.
+sketch lets pass every estimate of at least ``similarity - SLACK``, five standard deviations.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer
 words than a shingle have their whole sequence as the only one; repeated rows (same id) are counted as
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from scoutline.llm.common import WordHasher, _mix, slices, string_buffers, written
 from scoutline.llm.components import components
 
-BANDS, ROWS, SKETCH_BITS, SLACK = 40, 5, 512, 0.2
-SAMPLES = BANDS * ROWS
+BANDS, ROWS = 40, 5
+#: All samples flip sketch bits, the first BANDS * ROWS of them make band keys.
+SAMPLES, SKETCH_BITS, SLACK = 800, 2048, 0.08
 #: Members of a bucket that are compared by one task.
 BLOCK = 1000
 #: Bytes of text that are hashed at a time in a task.
@@ -37,6 +38,8 @@ TEXT_BYTES = 2_000_000
 
 _ODD = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _FLIP = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+#: Factors of the sampling hashes, which work on 32 bits because processors multiply several of those at once.
+_ODD_32, _FLIP_32 = (_ODD >> np.uint64(31)).astype(np.uint32) | np.uint32(1), (_FLIP >> np.uint64(32)).astype(np.uint32)
 
 
 def shingle_sets(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,21 +69,25 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     """Two numbers that name each set, its band keys and its odd sketch; all sets must have members."""
     n = len(starts) - 1
     marks = np.stack((np.add.reduceat(_mix(sets ^ _FLIP[0]), starts[:-1]), np.bitwise_xor.reduceat(_mix(sets ^ _FLIP[1]), starts[:-1])), 1)
-    least = np.empty((SAMPLES, n), np.uint64)
+    least = np.empty((SAMPLES, n), np.uint32)
+    short = (sets >> np.uint64(32)).astype(np.uint32)
     lo = 0
     while lo < n:  # blocks that stay in the processor's cache
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 16_384, "right")) - 1)
-        block, cuts = sets[starts[lo] : starts[hi]], starts[lo:hi] - starts[lo]
+        block, cuts = short[starts[lo] : starts[hi]], starts[lo:hi] - starts[lo]
+        work = np.empty_like(block)
         for j in range(SAMPLES):
-            least[j, lo:hi] = np.minimum.reduceat((block ^ _FLIP[j]) * _ODD[j], cuts)
+            np.bitwise_xor(block, _FLIP_32[j], out=work)
+            np.multiply(work, _ODD_32[j], out=work)
+            least[j, lo:hi] = np.minimum.reduceat(work, cuts)
         lo = hi
     bands = np.zeros((n, BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(n, b + 1, np.uint64)
         for r in range(ROWS):
-            key = _mix(key ^ least[b * ROWS + r] * _ODD[r])
+            key = _mix(key ^ least[b * ROWS + r].astype(np.uint64) * _ODD[r])
         bands[:, b] = key
-    bits = _mix(least.T ^ _FLIP) % np.uint64(SKETCH_BITS)
+    bits = _mix(least.T.astype(np.uint64) * _ODD[0] ^ _FLIP) % np.uint64(SKETCH_BITS)
     flips = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + bits.astype(np.int64)).ravel(), minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
     sketches = np.packbits(flips.astype(np.uint8), axis=1).view(np.uint64)
     return marks, bands, sketches
@@ -141,11 +148,8 @@ def _likely(a: Column, b: Column, similarity: float) -> Column:
     return sum(differ[1:], differ[0]) <= most
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the similarity; only texts of pairs move."""
-    pairs = written(pairs, "candidates")
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = written(_sets(docs.join(ids, "id", "left_semi"), width), "sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose full sets reach the similarity."""
     a, b = (sets.select(F.col("id").alias(x), F.col("members").alias(f"set_{x}")) for x in "uv")
     both = pairs.join(a, "u").join(b, "v")
     common = F.size(F.array_intersect("set_u", "set_v"))
@@ -153,6 +157,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     return both.where(100 * common >= per_cent * (F.size("set_u") + F.size("set_v") - common)).select("u", "v")
 
 
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the component of each (own) and of their bucket's center (of_center)."""
+    named = written(components(links), "components")
+    center = named.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
+    both = members.join(named.withColumnRenamed("node", "id"), "id", "left").join(center, "center", "left")
+    return both.select("key", "id", "center", "n", F.coalesce("component", "id").alias("own"), F.coalesce("of_center", "center").alias("of_center"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """id_col, n_shingles, component_id, kept of every document (one row for each row of the input)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -164,24 +176,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keys.join(shared, "key"), "members")
-    once = reps.select("id", "sketch")
-    a, b = (once.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    ids = members.select("id").distinct()
+    # Ids grow with the table, so they are never broadcast; whole sets are made once, of documents that share a bucket.
+    sets = written(_sets(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), width), "sets")
+    sketches = written(reps.join(ids.hint("merge"), "id", "left_semi").select("id", "sketch"), "sketches")
+    a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
     likely = _likely(F.col("sketch_u"), F.col("sketch_v"), similarity)
-    stars = members.where("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")).distinct()
-    links = written(_confirmed(stars.join(a, "u").join(b, "v").where(likely).select("u", "v"), docs, width, similarity), "links")
 
-    named = written(components(links), "components")
-    # Members outside their center's component meet all others of the bucket that are in another component.
-    center = named.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
-    placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").join(center, "center", "left").select("key", "id", "n", F.coalesce("component", "id").alias("own"), F.coalesce("of_center", "center").alias("of_center"))
-    placed = written(placed, "placed")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(_confirmed(pairs.distinct().join(a, "u").join(b, "v").where(likely).select("u", "v"), sets, similarity), "links")
+
+    # First every member meets its bucket's smallest one.
+    links = linked(members.where("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")))
+    # Then those outside its component meet all others of the bucket that are in another component.
+    placed = written(_placed(members, links), "placed")
+    outside = placed.where("own <> of_center")
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = placed.where("own <> of_center").join(a.withColumnRenamed("u", "id"), "id").select("key", F.col("id").alias("u"), F.col("own").alias("own_u"), "sketch_u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    alone = placed.where("own <> of_center").select("key").distinct()
-    rest = placed.join(alone, "key", "left_semi").join(b.withColumnRenamed("v", "id"), "id").select("key", F.col("id").alias("v"), F.col("own").alias("own_v"), (F.col("own") == F.col("of_center")).alias("linked"), "sketch_v", F.pmod(F.hash("id"), salts).alias("salt"))
+    apart = outside.join(a.withColumnRenamed("u", "id"), "id").select("key", F.col("id").alias("u"), F.col("own").alias("own_u"), "sketch_u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rest = placed.join(outside.select("key").distinct(), "key", "left_semi").join(b.withColumnRenamed("v", "id"), "id").select("key", F.col("id").alias("v"), F.col("own").alias("own_v"), (F.col("own") == F.col("of_center")).alias("linked"), "sketch_v", F.pmod(F.hash("id"), salts).alias("salt"))
     other = (F.col("own_u") != F.col("own_v")) & (F.col("linked") | (F.col("u") < F.col("v")))
     pairs = apart.join(rest.withColumnsRenamed({"key": "key_v", "salt": "salt_v"}), (F.col("key") == F.col("key_v")) & (F.col("salt") == F.col("salt_v")) & other & likely).select("u", "v").distinct()
-    more = _confirmed(pairs, docs, width, similarity)
+    more = _confirmed(written(pairs, "candidates"), sets, similarity)
     final = components(links.unionByName(more)).withColumnsRenamed({"node": "rep", "component": "of_rep"})
 
     names = classes.join(final, "rep", "left").select("mark1", "mark2", F.coalesce("of_rep", "rep").alias("component_id"))
