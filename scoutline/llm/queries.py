@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutline.llm import bpe, neardup, tiff, warc
+from scoutline.llm import bpe, mixing, neardup, pii, quality, secrets, sharding, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,33 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(k) for k in pii.KINDS),
+        sha256(pii.joined(F.col("spans"))).alias("base_sha256"),
+        pii.joined(F.concat("spans", "words")).alias("spans"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=0.8)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic").where(toxicity.fold(F.col("id")) != 0)
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), (toxicity.fold(F.col("id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = tiff.tiff_read(tiff.tiff_store(docs)).select(
@@ -53,6 +76,23 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("path"))
+    return secrets.scan(docs).withColumnRenamed("id", "doc_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), entropy_share=0.98, max_passes=4.0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,5 +105,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_tiff, op9_bpe, op10_warc)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_near_duplicates, op4_toxicity, op5_tiff, op6_sharding, op7_secrets, op8_mixing, op9_bpe, op10_warc)}
+SQL: dict[str, str] = {"op6_sharding": sharding.SQL.replace("{limit}", str(SHARD_BYTES))}
