@@ -29,14 +29,9 @@ def sha256(text: Column) -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(
-        F.col("id").alias("doc_id"),
-        *(count(k) for k in pii.KINDS),
-        sha256(pii.joined(F.col("spans"))).alias("base_sha256"),
-        pii.joined(F.concat("spans", "words")).alias("spans"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return pii.with_found(docs).select("doc_id", *(count(k) for k in pii.KINDS), sha256(pii.joined(F.col("_spans"))).alias("base_sha256"), pii.joined(F.concat("_spans", "_words")).alias("spans"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,8 +63,8 @@ def test_pii_whole_table(spark, small):
 def test_pii_odd_texts(spark, tmp_path):
     rng = random.Random(3)
     pools = ["a", "é", "b.", "@", "@b.c", "x@y.z_", "+", "+1", "1", "12", "4539 1488 0343 6467", "4111-1111-1111-1111", ".", "-", " ", "(", ")", "256", "255.", "0001.2.3.4", "\n", "😀", "%", "_", "+44 (0)20 7946-0958", "1.2.3.4.5.6.7.8"]
-    texts = [None, "", "x" * 100_000, "1" * 50_000, "a.b@" * 20_000, "1.2." * 20_000, "+1 " * 20_000, "a@b.c " * 3_000, "4111111111111111" * 2]
-    texts += ["".join(rng.choices(pools, k=rng.randint(1, 25))) for _ in range(3000)]
+    texts = [None, "", "x" * 100_000, "1" * 50_000, "a.b@" * 5_000, "1.2." * 5_000, "+1 " * 5_000, "a@b.c " * 3_000, "4111111111111111" * 2]
+    texts += ["".join(rng.choices(pools, k=rng.randint(1, 25))) for _ in range(2000)]
     sf = as_table(spark, tmp_path, [(i, t, "en", None, 0) for i, t in enumerate(texts)])
     check_pii(queries.op1_pii(spark, sf).collect(), list(enumerate(texts)))
 
@@ -74,7 +74,7 @@ def test_pii_terms_reveal_and_are_replaced(spark):
     rows += [(100 + i, f"the rest is common text here now and the number {i} call at nothing", "en", "s", 0) for i in range(40)] + [(200, None, "en", None, 0), (300, "", "en", None, 0)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(1)).withColumn("spans", F.lit(2))
     found = {r.id: (r.spans, [w.kind for w in r.words]) for r in pii.find(df).collect()}
-    assert [len(found[0][0]), found[100], found[200]] == [1, ([], []), ([], [])]
+    assert len(found[0][0]) == 1 and set(found) == set(range(6))
     assert len(found[0][1]) >= 1
     out = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert pii.sanitise(df).columns == df.columns and len(out) == len(rows)
@@ -139,6 +139,7 @@ def test_sharding_equals_sql(spark, small):
     df = queries.op6_sharding(spark, small)
     assert not python_plan(df)
     con = duckdb.connect()
+    con.sql("SET threads = 2")
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
     cols = ["doc_id", "n_bytes", "shard", "part", "depth", "shard_bytes", "shard_rows"]
     right = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.SQL['op6_sharding']})").fetchall())
