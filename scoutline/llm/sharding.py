@@ -43,15 +43,15 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     found, begin, over = [], 0, None
     while True:
         left = rows if over is None else rows.join(over, _prefix(F.col("bits"), begin) == F.col("over"), "left_semi")
-        fine = left.groupBy(_prefix(F.col("bits"), at).alias("fine")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        fine = left.groupBy(_prefix(F.col("bits"), at).alias("fine")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("bits").alias("low"), F.max("bits").alias("high"))
         fine = written(fine, "fine")
         depth = F.explode(F.sequence(F.lit(begin), F.lit(at)))
-        tree = fine.select("fine", "bytes", "rows", depth.alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {at} - depth)"))
-        sums = tree.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-        fits = sums.where((F.col("bytes") <= limit) | (F.col("rows") == 1) | (F.col("depth") == BITS))
-        first = Window.partitionBy("fine").orderBy("depth")
-        leaf = tree.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"]).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        leaf = written(leaf.select("fine", F.lit(at).alias("at"), "depth", "bytes", "rows"), "leaves")
+        tree = fine.select("fine", "bytes", "rows", "low", "high", depth.alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {at} - depth)"))
+        sums = tree.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+        fits = sums.where((F.col("bytes") <= limit) | (F.col("low") == F.col("high")))  # rows of equal bits can't be parted
+        size = F.struct("depth", "bytes", "rows")
+        leaf = tree.select("fine", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("fine").agg(F.min(size).alias("leaf"))
+        leaf = written(leaf.select("fine", F.lit(at).alias("at"), "leaf.*"), "leaves")
         found.append(leaf)
         over = written(fine.join(leaf, "fine", "left_anti").select(F.col("fine").alias("over")), "over")
         if over.isEmpty():
