@@ -30,7 +30,7 @@ from scoutline.llm.components import components
 
 BANDS, ROWS = 40, 5
 #: All samples flip sketch bits, the first BANDS * ROWS of them make band keys.
-SAMPLES, SKETCH_BITS, SLACK = 800, 2048, 0.08
+SAMPLES, SKETCH_BITS, SLACK = 1200, 3072, 0.065
 #: Members of a bucket that are compared by one task.
 BLOCK = 1000
 #: Bytes of text that are hashed at a time in a task.
@@ -162,7 +162,7 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     named = written(components(links), "components")
     center = named.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
     both = members.join(named.withColumnRenamed("node", "id"), "id", "left").join(center, "center", "left")
-    return both.select("key", "id", "center", "n", F.coalesce("component", "id").alias("own"), F.coalesce("of_center", "center").alias("of_center"))
+    return both.select("key", "band", "id", "center", "n", F.coalesce("component", "id").alias("own"), F.coalesce("of_center", "center").alias("of_center"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -173,13 +173,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(marked.groupBy("mark1", "mark2").agg(F.min("id").alias("rep")), "classes")
     reps = written(marked.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "bands", "sketch"), "representatives")
 
-    keys = reps.select("id", F.explode("bands").alias("key"))
+    keys = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(keys.join(shared, "key"), "members")
     ids = members.select("id").distinct()
     # Ids grow with the table, so they are never broadcast; whole sets are made once, of documents that share a bucket.
     sets = written(_sets(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), width), "sets")
-    sketches = written(reps.join(ids.hint("merge"), "id", "left_semi").select("id", "sketch"), "sketches")
+    sketches = written(reps.join(ids.hint("merge"), "id", "left_semi").select("id", "sketch", "bands"), "sketches")
     a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
     likely = _likely(F.col("sketch_u"), F.col("sketch_v"), similarity)
 
@@ -188,13 +188,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # First every member meets its bucket's smallest one.
     links = linked(members.where("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")))
-    # Then those outside its component meet all others of the bucket that are in another component.
+    # Then those outside its component meet all others of the bucket that are in another component; a pair
+    # that shares several buckets meets in the first of them only.
     placed = written(_placed(members, links), "placed")
     outside = placed.where("own <> of_center")
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = outside.join(a.withColumnRenamed("u", "id"), "id").select("key", F.col("id").alias("u"), F.col("own").alias("own_u"), "sketch_u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rest = placed.join(outside.select("key").distinct(), "key", "left_semi").join(b.withColumnRenamed("v", "id"), "id").select("key", F.col("id").alias("v"), F.col("own").alias("own_v"), (F.col("own") == F.col("of_center")).alias("linked"), "sketch_v", F.pmod(F.hash("id"), salts).alias("salt"))
+    earlier = lambda x: sketches.select("id", F.col("sketch").alias(f"sketch_{x}"), "bands")
+    before = lambda x: F.slice("bands", F.lit(1), F.col("band")).alias(f"before_{x}")
+    apart = outside.join(earlier("u"), "id").select("key", F.col("id").alias("u"), F.col("own").alias("own_u"), "sketch_u", before("u"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rest = placed.join(outside.select("key").distinct(), "key", "left_semi").join(earlier("v"), "id").select("key", F.col("id").alias("v"), F.col("own").alias("own_v"), (F.col("own") == F.col("of_center")).alias("linked"), "sketch_v", before("v"), F.pmod(F.hash("id"), salts).alias("salt"))
     other = (F.col("own_u") != F.col("own_v")) & (F.col("linked") | (F.col("u") < F.col("v")))
+    likely = likely & ~F.arrays_overlap("before_u", "before_v")
     pairs = apart.join(rest.withColumnsRenamed({"key": "key_v", "salt": "salt_v"}), (F.col("key") == F.col("key_v")) & (F.col("salt") == F.col("salt_v")) & other & likely).select("u", "v").distinct()
     more = _confirmed(written(pairs, "candidates"), sets, similarity)
     final = components(links.unionByName(more)).withColumnsRenamed({"node": "rep", "component": "of_rep"})
