@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
     """Value of a small fixed table, null for other keys."""
-    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
+    literal = lambda x: "'" + x + "'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
+    return F.expr("map(" + ", ".join(literal(x) for pair in table.items() for x in pair) + ")")[key]
 
 
 def band(x: Column, bands: Sequence[tuple[float, float]], unknown: float) -> Column:

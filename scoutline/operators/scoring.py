@@ -14,6 +14,7 @@ any_psc, signal_kinds (array), website.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -66,10 +67,10 @@ def with_derived(df: DataFrame, as_of: Column) -> DataFrame:
     """Fill geography, sector, stage, founder and traction signals; what is stated always wins."""
     has = lambda kind: F.array_contains("signal_kinds", kind)
     born = F.coalesce("incorporated_on", F.make_date("founded_year", F.lit(7), F.lit(1)))
-    df = df.withColumn("age_months", months(born, as_of, "mean"))
+    df = df.withColumns({"age_months": months(born, as_of, "mean"), "by_city": city_region(F.col("city")), "by_outcode": outcode_region(F.col("outcode"))})
     located = F.when(F.col("region").isNotNull() | F.col("country").isin(*config.UK_COUNTRIES), api_region(F.col("region"), F.col("country")))
-    geography = F.coalesce("hq_region", city_region(F.col("city")), F.nullif(outcode_region(F.col("outcode")), F.lit("uk_wide")), located, outcode_region(F.col("outcode")))
-    df = df.withColumns({"geography": geography, "sector": F.coalesce("sector", sector_of_codes(F.col("sic_codes")))})
+    geography = F.coalesce("hq_region", "by_city", F.nullif("by_outcode", F.lit("uk_wide")), located, "by_outcode")
+    df = df.withColumns({"geography": geography, "place": F.coalesce(F.nullif(geography, F.lit("uk_wide")), "by_city", geography), "sector": F.coalesce("sector", sector_of_codes(F.col("sic_codes")))})
     young = lambda n: F.col("age_months") <= n
     issue = F.coalesce("has_share_issue", F.lit(False))
     stage = F.when(issue & young(config.SHARE_ISSUE_PRE_SEED_MONTHS), "pre_seed").when(issue, "seed").when(young(config.IDEA_MONTHS), "idea")
@@ -170,16 +171,16 @@ def with_fit(df: DataFrame) -> DataFrame:
     return df.withColumn("fits", F.array(*map(one, config.FUNDS)))
 
 
-def _geo_verdict(rule: Column, place: Column) -> Column:
-    """True, false or null (cannot tell) for one geography rule; place: geography refined by the stated city."""
+def _geo_verdict(rule: Column) -> Column:
+    """True, false or null (cannot tell) for one geography rule; the column place is geography refined by the stated city."""
+    place = F.col("place")
     city, outcode, geography = norm_city(F.coalesce("city", F.lit(""))), F.upper(F.coalesce("outcode", F.lit(""))), F.col("geography")
     starts = lambda prefixes: reduce(lambda a, b: a | b, (outcode.startswith(p) for p in prefixes))
-    by_city = city_region(F.col("city"))
     triangle = (
         F.when(starts(config.TRIANGLE_OUTCODES), False)
         .when((F.coalesce(geography, F.lit("")) == "london") | city.isin(*config.TRIANGLE_CITIES), False)
         .when((outcode != "") | (geography != "uk_wide"), True)
-        .when(by_city != "uk_wide", True)
+        .when(F.col("by_city") != "uk_wide", True)
     )
     sunderland = F.when(city != "", city.isin(*config.SUNDERLAND_CITIES)).when(outcode != "", starts(config.SUNDERLAND_OUTCODES))
     return (
@@ -197,9 +198,8 @@ def judged(v: Callable[[str], Column]) -> tuple[Column, Column]:
 
     v gives the vehicle's fields: columns of a joined table or literals.
     """
-    place = F.coalesce(F.nullif(F.col("geography"), F.lit("uk_wide")), city_region(F.col("city")), F.col("geography"))
     stage, hard = stage_ordinal(F.col("stage")), v("geo_rule") == "HARD"
-    geo = _geo_verdict(v("geo_value"), place)
+    geo = _geo_verdict(v("geo_value"))
     over = lambda value, cap: F.col(value) > v(cap)
     unknown = lambda value, cap: v(cap).isNotNull() & F.col(value).isNull()
     needs_seis, needs_later = (F.coalesce(v(x), F.lit(False)) for x in ("requires_seis_eis", "beyond_research_stage"))
@@ -248,19 +248,21 @@ def vehicle_gates(df: DataFrame, vehicles: DataFrame) -> DataFrame:
 def with_routes(df: DataFrame) -> DataFrame:
     """Append ``routes``: per fund the first eligible vehicle, and whether any eligible one is unverified.
 
-    The vehicles are literals, so each entity is judged inside its own row and nothing is joined or shuffled.
+    The vehicles are a constant array, so each entity is judged inside its own row and nothing is joined or shuffled.
     """
     names = [x.split()[0] for x in config.VEHICLE_SCHEMA.split(", ")]
-    types = dict(x.split() for x in config.VEHICLE_SCHEMA.split(", "))
-    verdicts: dict[str, list[Column]] = {f: [] for f in config.FUNDS}
-    for row in config.vehicle_rows():
-        vehicle = dict(zip(names, row))
-        if vehicle["active"]:
-            reason, unverified = judged(lambda c, vehicle=vehicle: F.lit(vehicle[c]).cast(types[c]))
-            verdicts[vehicle["fund"]].append(F.when(reason.isNull(), F.struct(F.lit(vehicle["vehicle"]).alias("vehicle"), unverified.alias("unverified"))))
-    df = df.withColumn("_v", F.struct(*(F.array_compact(F.array(*v)).alias(f) for f, v in verdicts.items())))
-    route = lambda f: F.struct(F.get(F.col(f"_v.{f}"), F.lit(0))["vehicle"].alias("vehicle"), F.exists(F.col(f"_v.{f}"), lambda x: x["unverified"]).alias("unverified"))
-    return df.withColumn("routes", F.array(*map(route, config.FUNDS))).drop("_v")
+    active = [dict(zip(names, row)) for row in config.vehicle_rows() if row[3]]
+    df = df.withColumn("_vehicles", F.from_json(F.lit(json.dumps(active)), f"array<struct<{', '.join(x.replace(' ', ':') for x in config.VEHICLE_SCHEMA.split(', '))}>>"))
+
+    def verdict(v: Column) -> Column:
+        reason, unverified = judged(lambda c: v[c])
+        return F.struct(v["fund"].alias("fund"), v["vehicle"].alias("vehicle"), reason.alias("reason"), unverified.alias("unverified"))
+
+    df = df.withColumn("_eligible", F.filter(F.transform("_vehicles", verdict), lambda x: x["reason"].isNull())).drop("_vehicles")
+    funds = F.array(*map(F.lit, config.FUNDS))
+    df = df.withColumn("_eligible", F.transform(funds, lambda f: F.filter("_eligible", lambda x: x["fund"] == f)))
+    route = lambda xs: F.struct(F.get(xs, F.lit(0))["vehicle"].alias("vehicle"), F.exists(xs, lambda x: x["unverified"]).alias("unverified"))
+    return df.withColumn("routes", F.transform("_eligible", route)).drop("_eligible")
 
 
 def tier(fit: Column, edge: Column, coverage: Column, flagged: Column) -> Column:
