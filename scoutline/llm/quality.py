@@ -29,29 +29,38 @@ MAX_LINE_DOCS, MAX_LINE_SHARE = 20, 0.02
 MIN_LEFT_SHARE = 0.3
 
 
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Append columns through a generator of one row.
+
+    A filter on what follows cannot move below it, so the optimiser never copies these expressions into one another.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     """Append the base measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_w": words(F.col(text)), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    df = df.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_h": F.transform("_w", lambda x: F.xxhash64(x)),
-        }
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    df = df.drop(*measures)
+    df = _held(df, _w=words(F.col(text)), _lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = _held(
+        df,
+        n_words=F.size("_w").cast("long"),
+        word_chars=F.length(F.array_join("_w", "")).cast("long"),
+        n_symbols=F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        _h=F.transform("_w", lambda x: F.xxhash64(x)),
     ).drop("_w", "_lines")
     none = F.array().cast("array<bigint>")
     windows = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*(F.col("_h")[i + k] for k in range(WINDOW))))
-    df = df.withColumn("_windows", F.when(F.size("_h") >= WINDOW, windows).otherwise(none)).drop("_h")
+    df = _held(df, _windows=F.when(F.size("_h") >= WINDOW, windows).otherwise(none)).drop("_h")
     pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_pairs", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
+    df = _held(df, _pairs=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
     pairs, n = F.col("_pairs"), F.size("_pairs")
     equal = lambda x, k: F.when(k > 0, pairs[k - 1]["h"] == x["h"]).otherwise(False) | F.when(k < n - 1, pairs[k + 1]["h"] == x["h"]).otherwise(False)
-    df = df.withColumn("_starts", F.sort_array(F.transform(F.filter("_pairs", equal), lambda x: x["i"]))).drop("_pairs")
+    df = _held(df, _starts=F.sort_array(F.transform(F.filter("_pairs", equal), lambda x: x["i"]))).drop("_pairs")
     covered = F.aggregate("_starts", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")))
-    df = df.withColumn("n_repeat_words", covered["n"].cast("long")).drop("_starts")
+    df = _held(df, n_repeat_words=covered["n"].cast("long")).drop("_starts")
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PER_CENT * F.col("n_words")))
 
 
