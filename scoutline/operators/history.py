@@ -28,8 +28,8 @@ def silent_breaks(days: DataFrame, streak: int = 3, baseline_days: int = 14) ->
 def ranges(df: DataFrame, number: str) -> DataFrame:
     """Runs of adjacent numbers as (first, last, n).
 
-    A number begins a run if its predecessor is not there; runs are found by joins on the number, so no
-    task sees all of them: run ends meet run starts inside blocks of a run's rank.
+    A number begins a run if its predecessor is not there and ends one if its successor is not; both are
+    anti-joins on the number.  Only these edges, not the numbers, pass the one ordered window that pairs them.
     """
     xs = df.select(F.col(number).alias("x")).distinct()
     before, after = xs.select((F.col("x") + 1).alias("x")), xs.select((F.col("x") - 1).alias("x"))
