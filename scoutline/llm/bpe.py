@@ -27,7 +27,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Characters for which splitting, case and white space are the same in every Unicode version.
 PLAIN = "\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u0148\\u014a-\\u017e\\u2010-\\u2027\\u2030-\\u203a\\u20ac"
 #: Pieces that a worker remembers before it starts anew.
-CACHED_PIECES = 250_000
+CACHED_PIECES = 300_000
 
 
 class Word(str):
@@ -55,11 +55,10 @@ class PrefixBpe:
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = loaded_tokens(path)
-        self.inner = {t: i for t, i in vocab.items() if not t.endswith(suffix)}
-        self.final = {t[: -len(suffix)]: i for t, i in vocab.items() if t.endswith(suffix)}
-        self.width = {i: len(t) for t, i in self.inner.items()} | {i: len(t) for t, i in self.final.items()}
-        self._suffix_automaton()
-        self.steps: dict[tuple[int, str], int] = {}
+        inner = {t: i for t, i in vocab.items() if not t.endswith(suffix)}
+        final = {t[: -len(suffix)]: i for t, i in vocab.items() if t.endswith(suffix)}
+        self.width = {i: len(t) for t, i in inner.items()} | {i: len(t) for t, i in final.items()}
+        self._suffix_automaton(inner, final)
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
@@ -69,7 +68,7 @@ class PrefixBpe:
             if c in self.parts:
                 raise ValueError(f"{path}: two merges make the token {a + b!r}")
             self.merged[vocab[a], vocab[b]], self.parts[c], self.rank[c] = c, (vocab[a], vocab[b]), n
-        self.stays = functools.lru_cache(250_000)(self._stays)
+        self.stays = functools.lru_cache(150_000)(self._stays)
         self.byte_char = _byte_chars()
         self.library = Tokenizer.from_file(path)  # its normaliser and splitter serve unusual characters
         # A letter or digit begins no other alternative, so letters can be tried first; plain text needs no Unicode classes.
@@ -99,14 +98,14 @@ class PrefixBpe:
             else:
                 before, ties, b = rb, True, self.parts[b][0]
 
-    def _suffix_automaton(self) -> None:
+    def _suffix_automaton(self, inner: dict[str, int], final: dict[str, int]) -> None:
         """For every string that begins a token: the tokens that end it, longest first.
 
         A step appends one character and falls back to the longest suffix that still begins a token.
         """
         go: list[dict[str, int]] = [{}]
         word_of = [""]
-        for token in {*self.inner, *self.final}:
+        for token in {*inner, *final}:
             node = 0
             for i, c in enumerate(token):
                 node = go[node].setdefault(c, len(go))
@@ -122,7 +121,7 @@ class PrefixBpe:
             for node in level:
                 w, up = word_of[node], back[node]
                 if node:
-                    for known, out in ((self.inner, self.ends), (self.final, self.last_ends)):
+                    for known, out in ((inner, self.ends), (final, self.last_ends)):
                         out[node] = ((known[w], len(w)), *out[up]) if w in known else out[up]
                 for c, child in go[node].items():
                     f = up
@@ -133,18 +132,11 @@ class PrefixBpe:
             level = below
         self.go, self.back = go, back
 
-    def _step(self, node: int, c: str) -> int:
-        start = node
-        while node and c not in self.go[node]:
-            node = self.back[node]
-        self.steps[start, c] = node = self.go[node].get(c, 0)
-        return node
-
     def encode_words(self, found: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, in the depth-first order of their trie."""
         out = {}
         plain = {w if w.isascii() and w.isprintable() else "".join(map(self.byte_char.__getitem__, w.encode())): w for w in found}
-        steps, step, stays, ends, last_ends, width = self.steps.get, self._step, self.stays, self.ends, self.last_ends, self.width
+        go, back, stays, ends, last_ends, width = self.go, self.back, self.stays, self.ends, self.last_ends, self.width
         path, state, nodes = "", [-1], [0]  # state[i]: last token of path[:i]; nodes[i]: its place in the automaton
         for word in sorted(plain):
             n, same, most = len(word), 0, min(len(path), len(word) - 1)
@@ -154,9 +146,9 @@ class PrefixBpe:
             node = nodes[same]
             for end in range(same + 1, n):
                 c = word[end - 1]
-                node = steps((node, c))
-                if node is None:
-                    node = step(nodes[end - 1], c)
+                while node and c not in go[node]:
+                    node = back[node]
+                node = go[node].get(c, 0)
                 nodes.append(node)
                 for token, wide in ends[node]:
                     if wide == end or stays(state[end - wide], token):
@@ -164,9 +156,10 @@ class PrefixBpe:
                         break
                 else:
                     raise ValueError(f"no token ends at {end} of {word!r}")
-            node = steps((node, word[-1]))
-            if node is None:
-                node = step(nodes[n - 1], word[-1])
+            c = word[-1]
+            while node and c not in go[node]:
+                node = back[node]
+            node = go[node].get(c, 0)
             for token, wide in last_ends[node]:
                 if wide == n or stays(state[n - wide], token):
                     break
@@ -250,51 +243,54 @@ def loaded_tokens(path: str) -> dict[int, str]:
     return {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """Append a column that ``make(batch)`` computes from each Arrow batch."""
+#: Bytes of text that are encoded at a time, whose words share a trie; rows of an Arrow batch at most.
+BLOCK_BYTES, BATCH_ROWS = 2_000_000, 1_000
+
+
+def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
+    """Append a column that ``make(column)`` computes, block by block, so that few texts are held at a time.
+
+    The session's Arrow batches are made smaller if need be, since ids and decoded texts are larger than texts.
+    """
     if name in df.columns:
         raise ValueError(f"the input has a column {name} already")
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches):
         for batch in batches:
-            yield batch.append_column(name, make(batch))
+            column = batch.column(source)
+            size = max(1, column.nbytes // max(1, len(column)))
+            rows = max(1, BLOCK_BYTES // size)
+            for i in range(0, len(batch), rows):
+                part = batch.slice(i, rows)
+                yield part.append_column(name, make(part.column(source)))
 
     return df.mapInArrow(run, schema)
 
 
-#: Bytes of text that are encoded at a time; words of one such block share a trie.
-BLOCK_BYTES = 4_000_000
-
-
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append the token ids (array<int>) of every whole text; the vocabulary file's place is a parameter."""
 
-    def make(batch):
+    def make(column):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        bpe, column = loaded(path), batch.column(text)
-        size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
-        arrays, i = [], 0
-        while i < len(column):
-            j = max(i + 1, int(np.searchsorted(size, size[i] + BLOCK_BYTES, "right")) - 1)
-            found = bpe.encode_batch(column[i:j].to_pylist())
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found))))
-            i = j
-        return pa.concat_arrays(arrays) if arrays else pa.array([], pa.list_(pa.int32()))
+        found = loaded(path).encode_batch(column.to_pylist())
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
 
-    return _with_column(df, ids, T.ArrayType(T.IntegerType()), make)
+    return _with_column(df, ids, T.ArrayType(T.IntegerType()), text, make)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Append the text of token ids: tokens in order, joined by one space (the file names no decoder)."""
 
-    def make(batch):
+    def make(column):
         import pyarrow as pa
 
-        tokens, column = loaded_tokens(path), batch.column(ids)
+        tokens = loaded_tokens(path)
         return pa.array([decoded(tokens, column[i].values.to_numpy().tolist()) if column[i].is_valid else None for i in range(len(column))], pa.string())
 
-    return _with_column(df, text, T.StringType(), make)
+    return _with_column(df, text, T.StringType(), ids, make)
