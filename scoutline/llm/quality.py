@@ -116,3 +116,23 @@ def clean(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str =
     left = F.array_join(F.filter(F.split(F.col(at[text]), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     judged = judged.withColumn(at[text], F.when(F.col("_gone").isNull(), F.col(at[text])).otherwise(left))
     return judged.select(*names).toDF(*df.columns)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+starts AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+covered AS (SELECT doc_id, sum(least(8, i - before)) AS n FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 8) AS before FROM starts) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, t, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
+  len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+gone AS (SELECT host, norm FROM lines JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) WHERE norm <> '' GROUP BY host, norm, docs HAVING count(DISTINCT t) > greatest({max_docs}, {max_share} * docs)),
+removed AS (SELECT doc_id, sum(n) AS n FROM lines JOIN gone USING (host, norm) GROUP BY doc_id),
+dup_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE n > 0 GROUP BY doc_id),
+measured AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup_lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_removed_words
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN dup_lines USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {min_words} OR n_words - n_removed_words < {min_left} * n_words)) AS kept, n_removed_words
+FROM measured
+""".replace("{max_docs}", str(MAX_LINE_DOCS)).replace("{max_share}", str(MAX_LINE_SHARE)).replace("{min_words}", str(MIN_WORDS)).replace("{min_left}", str(MIN_LEFT_SHARE))

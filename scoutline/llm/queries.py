@@ -101,4 +101,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_near_duplicates, op4_toxicity, op5_tiff, op6_sharding, op7_secrets, op8_mixing, op9_bpe, op10_warc)}
-SQL: dict[str, str] = {"op6_sharding": sharding.SQL.replace("{limit}", str(SHARD_BYTES))}
+SQL: dict[str, str] = {"op2_quality": quality.SQL, "op6_sharding": sharding.SQL.replace("{limit}", str(SHARD_BYTES))}
