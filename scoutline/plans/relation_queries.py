@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
-from scoutline.operators import history, relations, resolve
+from scoutline.operators import grounding, history, relations, resolve
 from scoutline.plans import proxies
 from scoutline.streaming import windows as stream
 
@@ -205,6 +205,13 @@ def verbatim_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(quotes, "line").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
 
 
+def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages that stand in a document as a whole, across lines and inside them."""
+    texts = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    quotes = t(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    return grounding.grounded(texts, quotes).groupBy(F.col("quote_id").alias("item_id")).agg(F.countDistinct("id").alias("n"))
+
+
 def prefilter_cascade(spark: SparkSession, sf: str) -> DataFrame:
     reason = F.when(F.length("text") < 400, "too_short").when(~F.lower(F.substring("text", 1, 6000)).rlike("thing|tion"), "no_signal_word").when(F.size(F.split("text", "\n")) > 60, "roundup").otherwise("pass")
     return t(spark, sf, "documents").groupBy(reason.alias("verdict")).agg(N())
@@ -247,6 +254,7 @@ _SCORES = "(SELECT doc_id, source, (least(floor(n_chars / 40), 120) - 5)::INT AS
 _NAMES = "(SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name)"
 _STREAKS = f"(SELECT source, day, items, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS rn FROM {_SOURCE_DAY})"
 _STREAK = f"(SELECT source, (coalesce(min(rn) FILTER (WHERE items <> 0), count(*) + 1) - 1)::BIGINT AS streak, count(*) AS days FROM {_STREAKS} GROUP BY source)"
+_VERBATIM = "trim(regexp_replace(replace(replace(translate(nfc_normalize(text), '‘’‚‛“”„«»‐‑‒–—―−' || chr(160) || chr(8201) || chr(8239), '''''''''\"\"\"\"\"-------   '), '…', '...'), chr(8203), ''), '[\\s]+', ' ', 'g'))"
 _RAW_MONEY = "(CASE WHEN o_orderkey % 2 = 0 THEN '£' ELSE '$' END)"
 SQL = {
     "shortlist_join": "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'",
@@ -291,6 +299,7 @@ WINDOW w AS (PARTITION BY company_id ORDER BY trust DESC, occurred_on DESC, sign
     "json_props_extract": "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events",
     "near_dup_groups": "SELECT sha256(substr(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), 201, 1000)) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE n_chars > 400 GROUP BY 1 HAVING count(*) > 1",
     "verbatim_grounding": "SELECT item_id, count(DISTINCT doc_id) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d JOIN (SELECT item_id, string_split(text, chr(10))[1] AS line FROM benchmark) q USING (line) WHERE length(line) >= 12 GROUP BY item_id",
+    "quote_grounding": f"SELECT item_id, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, {_VERBATIM} AS text FROM documents) d JOIN (SELECT item_id, {_VERBATIM} AS quote FROM benchmark) q ON contains(d.text, q.quote) WHERE length(quote) >= 12 GROUP BY item_id",
     "prefilter_cascade": "SELECT CASE WHEN length(text) < 400 THEN 'too_short' WHEN NOT regexp_matches(lower(substr(text, 1, 6000)), 'thing|tion') THEN 'no_signal_word' WHEN len(string_split(text, chr(10))) > 60 THEN 'roundup' ELSE 'pass' END AS verdict, count(*) AS n FROM documents GROUP BY 1",
     "html_title": "SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages",
     "block_candidates": f"""SELECT a, b, count(*) AS shared FROM (SELECT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS token FROM {_NAMES}) x JOIN (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS token FROM {_NAMES}) y
