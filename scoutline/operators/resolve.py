@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.functions.identity import fuzzy_score
+from scoutline.functions.identity import fuzzy_score, norm_key
 
 #: Ladder thresholds (fixed values).
 MERGE, REVIEW = 92, 84
 
 
-def block(names: DataFrame, most: int = 200) -> DataFrame:
-    """Pairs that share a distinctive token: (a, b, name_a, name_b, shared).  names: id, name.
+def block(names: DataFrame, keys: tuple[str, ...] = (), part: int = 200) -> DataFrame:
+    """Pairs that share a token or an exact key: (a, b, name_a, name_b, shared), shared counting tokens.
 
-    Tokens of more than ``most`` names are not distinctive and block nothing, which bounds every group.
+    names: id (unique), name and the key columns; ``norm_key`` is made from the name.  Null and empty keys pair
+    nothing.  A group of more than ``part`` names is cut into as many parts as it needs: each name is in one part as a, and
+    meets every part as b, so no pair is lost and no task gets a whole group.
     """
-    tokens = names.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("token")).where("length(token) > 2")
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("token")
-    tokens = tokens.join(rare, "token")
-    other = tokens.select(F.col("id").alias("b"), F.col("name").alias("name_b"), "token")
-    pairs = tokens.withColumnsRenamed({"id": "a", "name": "name_a"}).join(other, "token").where("a < b")
-    return pairs.groupBy("a", "b", "name_a", "name_b").agg(F.count(F.lit(1)).alias("shared"))
+    made = {"norm_key": norm_key(F.col("name"))}
+    token = F.explode(F.array_distinct(F.split("name", " "))).alias("key")
+    blocks = names.select("id", "name", F.lit("token").alias("kind"), token).where("length(key) > 2")
+    for k in keys:
+        blocks = blocks.unionByName(names.select("id", "name", F.lit(k).alias("kind"), made.get(k, F.col(k)).cast("string").alias("key")).where("key <> ''"))
+    sizes = blocks.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    blocks = blocks.join(sizes, ["kind", "key"])
+    one = blocks.select("kind", "key", F.col("id").alias("a"), F.col("name").alias("name_a"), F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("p"))
+    other = blocks.select("kind", "key", F.col("id").alias("b"), F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    pairs = one.join(other, ["kind", "key", "p"]).where("a < b")
+    return pairs.groupBy("a", "b", "name_a", "name_b").agg(F.count_if(F.col("kind") == "token").alias("shared"))
 
 
 def ladder(pairs: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def block_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def match_ladder_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     names = t(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).withColumnRenamed("p_name", "name")
-    return resolve.ladder(resolve.block(names)).select("a", "b", "score", "verdict")
+    return resolve.ladder(resolve.block(names, ("norm_key",))).select("a", "b", "score", "verdict")
 
 
 def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:

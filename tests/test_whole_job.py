@@ -1,6 +1,6 @@
 """Whole jobs: cases that a cut of the input or of the candidates would lose."""
 
-from scoutline.operators import grounding
+from scoutline.operators import grounding, resolve
 
 
 def test_whole_quotes_are_grounded(spark):
@@ -29,3 +29,11 @@ def test_plain_and_odd_texts_are_normalised_alike(spark):
     texts = ["a\x1cb \t\n c", "  «é» – — ‘x’ „y“ £5 €6", "ﬁne print…", "é x​y", "a‑b−c", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert {r.id: r.text for r in grounding.normalised(df).collect()} == {i: grounding.normalise(x) for i, x in enumerate(texts)}
+
+
+def test_frequent_tokens_and_exact_keys_pair(spark):
+    rows = [(i, f"common n{i:04d}", None, None) for i in range(450)] + [(900, "xy ab", "12", None), (901, "XY Ab Ltd", None, "q.org"), (902, "qq", "12", "q.org"), (903, None, "", "")]
+    names = spark.createDataFrame(rows, "id long, name string, number string, domain string")
+    got = {(r.a, r.b): r.shared for r in resolve.block(names, ("number", "domain", "norm_key")).collect()}
+    right = {(a, b): 1 for a in range(450) for b in range(a + 1, 450)} | {(900, 902): 0, (901, 902): 0, (900, 901): 0}
+    assert got == right
