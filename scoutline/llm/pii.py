@@ -1,18 +1,18 @@
 """Personal data: patterns find it, and what the corpus says about it decides which words near it go too.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.  A value of such a span is
-a protected entity.  Words that stand near it are terms, and the corpus tells how strongly a term reveals the
-entity: with N documents, n(e) near-mentions' documents of the entity, n(t) documents that have the term
-anywhere and n(e, t) documents in which they stand near each other,
+a protected entity.  The words of its documents are terms, and the corpus tells how strongly a term reveals
+the entity: with N documents, n(e) documents of the entity, n(t) documents of the term and n(e, t) documents
+that have both, wherever they stand,
 
     PMI(e, t) = log2(N n(e, t) / (n(e) n(t)))      IC(e) = log2(N / n(e))
 
-PMI / IC is 1 for a term that never occurs without the entity.  Terms of at least SUPPORT documents whose
-ratio reaches GENERALISE are generalised to ``[word]``, those that reach REMOVE are removed; both only
-within the window in which they were counted.
+PMI / IC is 1 for a term that never occurs without the entity.  Terms that share at least SUPPORT documents with
+the entity and whose ratio reaches GENERALISE are generalised to ``[word]``, those that reach REMOVE are removed; both
+at every occurrence in the entity's documents.
 
 All of it is DataFrame functions.  Patterns are possessive and start at a run's begin or a match's end, so
-they read each character a bounded number of times.  Per document only windows move, never whole texts.
+they read each character a bounded number of times.  Texts move only for documents of entities of SUPPORT or more.
 
 Edge cases: a null or empty text has no spans; repeated rows get equal spans, and count as one document in
 the statistics if their ids are equal; a null id is not counted; extra columns are ignored by ``find`` and
@@ -35,10 +35,8 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 KINDS = tuple(PATTERNS)
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
-#: Characters on either side of a span in which terms are counted.
-NEAR = 160
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
-TERM = r"\p{L}{3,40}+"
+RUN = r"\p{L}+"
 
 
 def _digits(x: Column) -> Column:
@@ -67,19 +65,8 @@ def _may_have(kind: str, text: Column) -> Column:
     return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": text.contains("+")}[kind]
 
 
-def _starts(found: Column, gaps: Column) -> Column:
-    """Start of every match in a short text, from the lengths of matches and of what lies between them."""
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc, i):
-        start = acc["at"] + F.length(gaps[i])
-        return F.struct((start + F.length(found[i])).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step)["starts"]
-
-
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(id, mark, kind, start, end, value, left, right) of every base span.
+    """(id, mark, kind, start, end, value) of every base span.
 
     A text is cut at its matches; running sums of the pieces' lengths, per document, give the places.
     docs: id, mark, text.  Rows of equal id and mark count once.
@@ -88,15 +75,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def of(kind: str, pattern: str) -> Column:
-        # Matches and the gaps around them; what the windows need of a gap is cut out before rows are made.
+        # Matches and the gaps around them; of a gap only its length is needed.
         found = F.when(_may_have(kind, t), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
         gaps = F.when(_may_have(kind, t), F.split(t, pattern)).otherwise(none)
-        gaps = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(NEAR)).alias("left"), F.left(g, F.lit(NEAR)).alias("right")))
+        gaps = F.transform(gaps, lambda g: F.length(g))
         return F.struct(F.lit(kind).alias("kind"), found.alias("found"), gaps.alias("gaps"))
 
     kinds = docs.select("id", "mark", F.explode(F.array(*(of(k, p) for k, p in PATTERNS.items()))).alias("k")).select("id", "mark", "k.*").where("size(found) > 0")
-    pieces = kinds.select("id", "mark", "kind", F.posexplode(F.arrays_zip(F.col("found").alias("value"), F.col("gaps").alias("gap"), F.slice("gaps", F.lit(2), F.size("found")).alias("after"))).alias("i", "z"))
-    pieces = pieces.where("z.value is not null").select("id", "mark", "kind", "i", F.col("z.value").alias("value"), F.col("z.gap.n").alias("gap"), F.col("z.gap.left").alias("left"), F.col("z.after.right").alias("right"))
+    pieces = kinds.select("id", "mark", "kind", F.posexplode(F.arrays_zip(F.col("found").alias("value"), F.col("gaps").alias("gap"))).alias("i", "z"))
+    pieces = pieces.where("z.value is not null").select("id", "mark", "kind", "i", F.col("z.value").alias("value"), F.col("z.gap").alias("gap"))
     pieces = pieces.dropDuplicates(["id", "mark", "kind", "i"])
     so_far = Window.partitionBy("id", "mark", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(so_far).cast("int")
@@ -104,44 +91,62 @@ def base_spans(docs: DataFrame) -> DataFrame:
     valid = F.lit(True)
     for kind in KINDS:
         valid = valid & ((F.col("kind") != kind) | _valid(kind, F.col("value")))
-    return placed.where(valid).select("id", "mark", "kind", "start", "end", "value", "left", "right")
+    return placed.where(valid).select("id", "mark", "kind", "start", "end", "value")
+
 
+def held_entities(spans: DataFrame) -> DataFrame:
+    """(id, mark, entity, n_e) of the entities of SUPPORT or more documents."""
+    held = spans.where("id is not null").select("id", "mark", F.concat_ws(":", "kind", "value").alias("entity")).distinct()
+    often = held.groupBy("entity").agg(F.countDistinct("id").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    return held.join(often, "entity").select("id", "mark", "entity", "n_e")
 
-def near_terms(spans: DataFrame) -> DataFrame:
-    """(id, mark, entity, term, start, end) of every term that stands near a base span."""
-    one = spans.withColumn("entity", F.concat_ws(":", "kind", "value"))
-    left = one.select("id", "mark", "entity", F.col("left").alias("side"), (F.col("start") - F.length("left")).alias("shift"))
-    right = one.select("id", "mark", "entity", F.col("right").alias("side"), F.col("end").alias("shift"))
-    sides = left.unionByName(right).withColumn("found", F.regexp_extract_all("side", F.lit(TERM), F.lit(0))).where("size(found) > 0")
-    sides = sides.withColumn("at", _starts(F.col("found"), F.split("side", TERM)))
-    each = sides.select("id", "mark", "entity", "shift", "side", F.explode(F.arrays_zip("found", "at")).alias("t"))
-    start = F.col("shift") + F.col("t.at")
-    # A term at a window's outer edge may be cut off there.
-    whole = ~((F.length("side") == NEAR) & ((F.col("t.at") == 0) | (F.col("t.at") + F.length("t.found") == NEAR)))
-    return each.where(whole).select("id", "mark", "entity", F.lower("t.found").alias("term"), start.alias("start"), (start + F.length("t.found")).alias("end")).distinct()
 
+def _maybe(docs: DataFrame) -> DataFrame:
+    """Documents that can have a base span: no other is of an entity, so the others' texts need not move."""
+    some = F.lit(False)
+    for kind in KINDS:
+        some = some | _may_have(kind, F.col("text"))
+    return docs.where(some)
 
-def disclosing(near: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+
+def _terms(text: str) -> Column:
+    """The distinct terms of a text: whole runs of 3 to 40 letters, in lower case."""
+    runs = F.filter(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RUN), F.lit(0)), lambda w: F.length(w).between(3, 40))
+    return F.array_distinct(F.transform(runs, lambda w: F.lower(w)))
+
+
+def disclosing(held: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, ratio) of the terms that reveal an entity too strongly."""
     n = docs.count()
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("id").alias("together")).where(F.col("together") >= SUPPORT)
-    entities = near.groupBy("entity").agg(F.countDistinct("id").alias("n_e"))
-    runs = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"))
-    anywhere = docs.select(F.explode(runs).alias("term")).where(F.length("term").between(3, 40)).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = pairs.join(entities, "entity").join(anywhere, "term")
+    theirs = _maybe(docs).join(held.select("id", "mark").distinct(), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    terms = theirs.select("id", "mark", F.explode(_terms(text)).alias("term"))
+    pairs = held.join(terms, ["id", "mark"]).groupBy("entity", "term", "n_e").agg(F.countDistinct("id").alias("together")).where(F.col("together") >= SUPPORT)
+    anywhere = docs.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    both = pairs.join(anywhere, "term")
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     pmi = information + F.log2(F.least(F.col("together") / F.col("n_t"), F.lit(1.0)))
     ratio = F.when(information > 0, pmi / information).otherwise(0.0)
     return both.withColumn("ratio", ratio).where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
 
 
+def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(id, mark, start, end, ratio) wherever a term of ``told`` (id, mark, term, ratio) stands in its document."""
+    theirs = _maybe(docs).join(told.select("id", "mark").distinct(), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    cut = theirs.select("id", "mark", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("run"), F.transform(F.split("text", RUN), lambda g: F.length(g)).alias("gap"))
+    runs = cut.select("id", "mark", F.posexplode(F.arrays_zip("run", "gap")).alias("i", "z")).where("z.run is not null")
+    so_far = Window.partitionBy("id", "mark").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("z.gap") + F.length("z.run")).over(so_far).cast("int")
+    placed = runs.select("id", "mark", F.lower("z.run").alias("term"), F.length("z.run").alias("n"), end.alias("end")).where("n between 3 and 40")
+    return placed.join(told, ["id", "mark", "term"]).select("id", "mark", (F.col("end") - F.col("n")).alias("start"), "end", "ratio")
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, mark (hash of the text), spans (base), words (added: kind, start, end) of every document with a base span."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     spans = written(base_spans(docs), "spans")
-    near = written(near_terms(spans.where("id is not null")), "near")
-    reveals = disclosing(near, docs)
-    hits = near.join(reveals, ["entity", "term"]).groupBy("id", "mark", "start", "end").agg(F.max("ratio").alias("ratio"))
+    held = written(held_entities(spans), "held")
+    reveals = disclosing(held, docs)
+    hits = occurrences(docs, held.join(reveals, "entity").groupBy("id", "mark", "term").agg(F.max("ratio").alias("ratio")))
     kind = F.when(F.col("ratio") >= REMOVE, "removed").otherwise("word")
     added = hits.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("words"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
