@@ -51,13 +51,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: pages, then of each its size, layout, and mean and entropy of the samples that were read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    layout = lambda p: F.concat_ws("x", p["width"], p["height"], p["compression"], p["predictor"], F.when(p["tiled"], "tiles").otherwise("strips"))
     read = tiff.tiff_read(tiff.tiff_store(docs)).select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         "media",
-        F.aggregate("pages", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["samples"])).alias("payload"),
-        F.transform("pages", lambda p: F.concat_ws("x", p["width"], p["height"], p["compression"], p["predictor"])).alias("pages"),
+        F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["samples"])), "")).alias("payload"),
+        F.transform("pages", lambda p: F.concat(layout(p), F.format_string(":%.6f:%.6f", p["mean"], p["entropy"]))).alias("pages"),
     )
     return read.select(
         "doc_id",

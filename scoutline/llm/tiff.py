@@ -1,7 +1,8 @@
 """TIFF pages as rows: write 8-bit grey images, read any strip or tile layout back.
 
 The reader walks the chain of image directories, decodes PackBits, LZW or deflate data of strips or
-tiles, undoes the horizontal predictor and gives one entry (after ``explode``: one row) per page.
+tiles, undoes the horizontal predictor and gives one entry (after ``explode``: one row) per page, with the
+mean and the entropy (bits) of its decoded samples.
 
 Edge cases: a null or empty payload becomes one page of padding; a payload larger than a page goes on in
 further pages, with no limit on their number; a directory that is met twice ends with an error instead
@@ -29,8 +30,9 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Pixels of an image row, and rows of a page at most: a page holds up to 288 KiB.
 ROW, PAGE_ROWS, STRIP_ROWS = 576, 512, 64
 PAD = 255
-#: Payloads of up to so many bytes are stored with LZW or PackBits, which suit small images.
-SMALL = 2 * ROW
+#: Width and height of a tile; every layout is a compression, a predictor and strips or tiles.
+TILE = (64, 16)
+LAYOUTS = tuple((c, p, t) for c in (LZW, PACKBITS, DEFLATE) for p in (1, 2) for t in (None, TILE))
 
 PAGE = T.StructType(
     [
@@ -40,6 +42,8 @@ PAGE = T.StructType(
         T.StructField("compression", T.IntegerType()),
         T.StructField("predictor", T.IntegerType()),
         T.StructField("tiled", T.BooleanType()),
+        T.StructField("mean", T.DoubleType()),
+        T.StructField("entropy", T.DoubleType()),
         T.StructField("samples", T.BinaryType()),
     ]
 )
@@ -51,27 +55,23 @@ PAGE = T.StructType(
 def packbits(data: bytes) -> bytes:
     """Runs of three or more equal bytes become (257 - length, byte), the rest literal stretches."""
     a = np.frombuffer(data, np.uint8)
-    cuts = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)])).tolist() if len(a) else [0]
-    out, literal = bytearray(), bytearray()
+    cuts = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]))
+    long = np.flatnonzero(np.diff(cuts) >= 3)
+    out, at = bytearray(), 0
 
-    def flush() -> None:
-        for i in range(0, len(literal), 128):
-            part = literal[i : i + 128]
+    def literal(stop: int) -> None:
+        for i in range(at, stop, 128):
+            part = data[i : min(i + 128, stop)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
 
-    for start, stop in zip(cuts, cuts[1:]):
-        n = stop - start
-        if n < 3:
-            literal.extend(data[start:stop])
-            continue
-        flush()
-        while n:
-            k = min(n, 128)
-            out.extend((257 - k, data[start]) if k > 1 else (0, data[start]))
-            n -= k
-    flush()
+    for start, stop in zip(cuts[long].tolist(), cuts[long + 1].tolist()):
+        literal(start)
+        for i in range(start, stop, 128):
+            n = min(128, stop - i)
+            out.extend((257 - n, data[start]) if n > 1 else (0, data[start]))
+        at = stop
+    literal(len(data))
     return bytes(out)
 
 
@@ -159,8 +159,11 @@ def unlzw(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-def compress(kind: int, data: bytes) -> bytes:
-    return {NONE: bytes, LZW: lzw, PACKBITS: packbits, DEFLATE: lambda d: zlib.compress(d, 1)}[kind](data)
+def compress(kind: int, block: np.ndarray) -> bytes:
+    """A strip or tile; PackBits packs each of its rows by itself."""
+    if kind == PACKBITS:
+        return b"".join(packbits(row.tobytes()) for row in block)
+    return {NONE: bytes, LZW: lzw, DEFLATE: lambda d: zlib.compress(d, 1)}[kind](block.tobytes())
 
 
 def decompress(kind: int, data: bytes, size: int) -> bytes:
@@ -179,15 +182,13 @@ def decompress(kind: int, data: bytes, size: int) -> bytes:
 def write_tiff(payload: bytes, row: int = ROW, page_rows: int = PAGE_ROWS, compression: int | None = None, predictor: int | None = None, tile: tuple[int, int] | None = None) -> bytes:
     """A little-endian file of 8-bit grey pages that holds the payload row by row.
 
-    The payload's length must be a multiple of ``row``.  Without a given compression, small payloads
-    take LZW (odd number of rows) or PackBits (even), large ones deflate with the horizontal predictor
-    if they are of two or more pages.
+    The payload's length must be a multiple of ``row``.  Without a given compression a checksum of the payload
+    picks one of LAYOUTS, so payloads of every length meet every layout and equal payloads the same one.
     """
     if not payload or len(payload) % row:
         raise ValueError("the payload must be a positive multiple of the row length")
     if compression is None:
-        compression = DEFLATE if len(payload) > SMALL else PACKBITS if len(payload) // row % 2 == 0 else LZW
-        predictor = 2 if compression == DEFLATE and len(payload) > row * page_rows else 1
+        compression, predictor, tile = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
     image = np.frombuffer(payload, np.uint8).reshape(-1, row)
     out, link = bytearray(struct.pack("<2sHI", b"II", 42, 0)), 4
     for top in range(0, len(image), page_rows):
@@ -207,7 +208,7 @@ def write_tiff(payload: bytes, row: int = ROW, page_rows: int = PAGE_ROWS, compr
         for block in blocks:
             if predictor == 2:
                 block = np.concatenate((block[:, :1], block[:, 1:] - block[:, :-1]), axis=1)
-            data = compress(compression, block.tobytes())
+            data = compress(compression, block)
             offsets.append(len(out))
             sizes.append(len(data))
             out += data
@@ -266,7 +267,10 @@ def read_tiff(file: bytes) -> list[dict]:
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=np.uint8)
             image[y : y + h, x : x + w] = block[: height - y, : width - x]
-        pages.append({"page": len(pages), "width": width, "height": height, "compression": compression, "predictor": predictor, "tiled": tiled, "samples": image.tobytes()})
+        share = np.bincount(image.ravel(), minlength=256) / max(1, image.size)
+        some = share[share > 0]
+        measures = {"mean": round(float(share @ np.arange(256)), 6), "entropy": round(float(-(some * np.log2(some)).sum()) + 0.0, 6)}
+        pages.append({"page": len(pages), "width": width, "height": height, "compression": compression, "predictor": predictor, "tiled": tiled, **measures, "samples": image.tobytes()})
     return pages
 
 

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,11 +104,20 @@ def test_tiff_query_and_pages(spark):
     for i, t in enumerate(texts):
         own = [r for r in rows if r.doc_id == i]
         assert b"".join(bytes(r.samples) for r in own) == tiff.padded((t or "").encode()) and all(r.extra == i for r in own)
+        a = np.frombuffer(b"".join(bytes(r.samples) for r in own), np.uint8)
+        assert abs(sum(r.mean * r.height for r in own) / sum(r.height for r in own) - a.mean()) < 1e-5
     assert len([r for r in rows if r.doc_id == 5]) == 2
     with pytest.raises(ValueError):
         tiff.tiff_store(df.withColumn("media", F.lit(1)))
 
 
+def test_tiff_payloads_of_every_length_meet_every_layout(spark, small):
+    pages = tiff.tiff_pages(tiff.tiff_store(spark.read.parquet(f"{small}/documents.parquet").select("text")))
+    long = F.octet_length("text") > 2 * tiff.ROW
+    seen = {(r.compression, r.predictor, r.tiled, r.long) for r in pages.groupBy("compression", "predictor", "tiled", long.alias("long")).count().collect()}
+    assert seen == {(c, p, t is not None, x) for c, p, t in tiff.LAYOUTS for x in (False, True)}
+
+
 def test_tiff_digests(spark, tiny):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     got = queries.op5_tiff(spark, tiny).collect()
