@@ -46,6 +46,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of an intermediate table that nothing reads any more."""
+    spark, paths = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+#: Keys that hold more than this share of the rows are heavy, so there are at most HEAVY of them.
+HEAVY = 1000
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, rows: str = "n_rows", how: str = "inner") -> DataFrame:
+    """Join where a key may hold a large share of ``big``, without one task getting such a key whole.
+
+    small: one row per key, with ``rows`` (how many rows of ``big`` the key has, dropped from the result).  A key of more
+    than 1/HEAVY of the rows gets a salt for each such share: at most HEAVY keys, so they may be broadcast, and at most
+    2 * HEAVY salted rows.  spread: a column of ``big`` that tells the key's rows apart.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    limit = max(1, total // HEAVY)
+    heavy = F.broadcast(small.where(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts.cast("long")).cast("int")).drop("_salts")
+    right = small.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", rows)
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 # --- words as 64-bit hashes, for a whole Arrow string column at once -----------------------------
 
 

@@ -8,8 +8,9 @@ Each source gets a quota of tokens.  It is read in passes; every pass is a permu
 the documents inside each block, and the last pass ends at the quota.  Running token counts are taken in
 two steps, over the blocks of a source and inside each block, so no source is gathered in one task.
 
-A document has its words plus one separator as tokens, so none is free.  The sources' totals form one row:
-a table of sources larger than MAX_SOURCES raises an error instead.
+A document has its words plus one separator as tokens, so none is free.  There may be any number of sources: a
+round of the bisection is one aggregate over their totals at all exponents that its next HALVINGS halvings may ask for.
+Sums are exact decimals, so the order of rows changes nothing.
 
 Edge cases: a null or empty text has one token; a null source is a source of its own; repeated rows are
 documents of their own (rows with equal id and source get places in any order); extra columns are
@@ -18,12 +19,15 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutline.llm.common import words, written
 
-BLOCKS, STEPS, MAX_SOURCES = 4096, 40, 100_000
+ROUNDS, HALVINGS = 6, 5
 
 
 def tokens(text: Column) -> Column:
@@ -35,15 +39,26 @@ def _order(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts)))
 
 
-def _bisect(test) -> Column:
-    """The border in [0, 1] below which ``test`` of an exponent holds, found by halving; STEPS halvings."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+def _sums(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:
+    """Of every exponent a: the sums over sources of p^a and of p^a ln p."""
+    exact = lambda x, name: F.sum(x.cast("decimal(30,20)")).cast("double").alias(name)
+    p = F.col("p")
+    row = shares.agg(*(exact(x, f"{n}{i}") for i, a in enumerate(exponents) for n, x in (("z", F.pow(p, F.lit(a))), ("l", F.pow(p, F.lit(a)) * F.log(p))))).first()
+    return {a: (row[f"z{i}"], row[f"l{i}"]) for i, a in enumerate(exponents)}
 
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        return F.struct(F.when(test(mid), mid).otherwise(acc["lo"]).alias("lo"), F.when(test(mid), acc["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)
+def _bisect(shares: DataFrame, test: Callable[[float, float, float], bool]) -> tuple[float, float]:
+    """The border in [0, 1] below which ``test(a, sum p^a, sum p^a ln p)`` holds, as the last interval of halving."""
+    lo, hi = 0.0, 1.0
+    for _ in range(ROUNDS):
+        parts = 1 << HALVINGS
+        grid = [lo + (hi - lo) * i / parts for i in range(parts + 1)]
+        sums, i, j = _sums(shares, grid[1:-1]), 0, parts
+        while j - i > 1:
+            mid = (i + j) // 2
+            i, j = (mid, j) if test(grid[mid], *sums[grid[mid]]) else (i, mid)
+        lo, hi = grid[i], grid[j]
+    return lo, hi
 
 
 def weights(sizes: DataFrame, entropy_share: float, max_passes: float, budget: int | None = None, cover: bool = False) -> DataFrame:
@@ -52,25 +67,23 @@ def weights(sizes: DataFrame, entropy_share: float, max_passes: float, budget: i
     budget: tokens of the mix, as many as there are if None.  With ``cover`` the budget is what makes the
     source with the fewest passes pass exactly once, so that every document is used.
     """
-    if sizes.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    row = sizes.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("none"), "source", "held"))).alias("s"))
-    add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
-    row = row.withColumn("total", F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + x["held"]))
-    row = row.withColumn("p", F.transform("s", lambda x: x["held"] / F.col("total")))
-    power = lambda a: add(F.col("p"), lambda x: F.pow(x, a))
+    sizes = written(sizes.select("source", F.col("held").cast("long").alias("held")), "sources")
+    n, total, least, most = sizes.agg(F.count(F.lit(1)), F.sum("held"), F.min("held"), F.max("held")).first()
+    if not n:
+        return sizes.select("source", "held", *(F.lit(0.0).alias(c) for c in ("exponent", "weight")), F.lit(0).cast("long").alias("quota"))
+    shares, least, most = sizes.withColumn("p", F.col("held") / F.lit(float(total))), least / total, most / total
+    asked = budget / total if budget is not None else 1.0
+    passes = (lambda a, z: (least / most) ** (a - 1)) if cover else (lambda a, z: asked * least ** (a - 1) / z)
     # With Z = sum p^a the entropy is ln Z - a / Z * sum p^a ln p.
-    entropy = lambda a: F.log(power(a)) - a / power(a) * add(F.col("p"), lambda x: F.pow(x, a) * F.log(x))
-    least, most = F.array_min("p"), F.array_max("p")
-    asked = F.lit(float(budget)) / F.col("total") if budget is not None else F.lit(1.0)
-    passes = (lambda a: F.pow(least / most, a - 1)) if cover else (lambda a: asked * F.pow(least, a - 1) / power(a))
-    row = row.withColumn("by_entropy", _bisect(lambda a: entropy(a) >= entropy_share * F.log(F.size("s")))["lo"])
-    row = row.withColumn("by_passes", F.when(passes(F.lit(0.0)) <= max_passes, 0.0).otherwise(_bisect(lambda a: passes(a) > max_passes)["hi"]))
-    row = row.withColumn("exponent", F.round(F.greatest("by_entropy", "by_passes"), 9))
-    row = row.withColumn("z", power(F.col("exponent"))).withColumn("b", F.col("total") * (F.col("z") * F.pow(most, 1 - F.col("exponent")) if cover else asked))
-    one = row.select("exponent", "z", "b", F.posexplode("s").alias("i", "x"), "p").select("exponent", "b", F.col("x.source").alias("source"), F.col("x.held").alias("held"), F.round(F.pow(F.col("p")[F.col("i")], F.col("exponent")) / F.col("z"), 12).alias("weight"))
-    quota = F.floor(F.col("b") * F.col("weight") + 1e-6).cast("long")
-    return one.withColumn("quota", F.greatest(quota, F.col("held")) if cover else quota).drop("b")
+    by_entropy = _bisect(shares, lambda a, z, logs: math.log(z) - a / z * logs >= entropy_share * math.log(n))[0]
+    by_passes = 0.0 if passes(0.0, float(n)) <= max_passes else _bisect(shares, lambda a, z, logs: passes(a, z) > max_passes)[1]
+    exponent = round(max(by_entropy, by_passes), 9)
+    z = _sums(shares, [exponent])[exponent][0]
+    tokens_asked = total * (z * most ** (1 - exponent) if cover else asked)
+    weight = F.round(F.pow("p", F.lit(exponent)) / F.lit(z), 12)
+    quota = F.floor(F.lit(tokens_asked) * F.col("weight") + 1e-6).cast("long")
+    mix = shares.select("source", "held", F.lit(exponent).alias("exponent"), weight.alias("weight"))
+    return mix.withColumn("quota", F.greatest(quota, F.col("held")) if cover else quota)
 
 
 def mixed(df: DataFrame, entropy_share: float = 0.98, max_passes: float = 4.0, budget: int | None = None, cover: bool = False, seed: int = 7, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -79,8 +92,10 @@ def mixed(df: DataFrame, entropy_share: float = 0.98, max_passes: float = 4.0, b
     Sorting by place gives a stream that has the mix at every point.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), tokens(F.col(text)).alias("n"))
-    docs = docs.withColumn("block", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null"))), 1, 4), 16, 10).cast("int"), F.lit(BLOCKS)))
     docs = written(docs, "tokens")
+    # As many blocks as a block has documents: both running sums then see about the square root of the table.
+    n_blocks = max(16, math.isqrt(docs.count()))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.lit(n_blocks)).cast("int"))
     blocks = docs.groupBy("source", "block").agg(F.sum("n").alias("in_block"))
     mix = written(weights(docs.groupBy("source").agg(F.sum("n").alias("held")), entropy_share, max_passes, budget, cover), "weights")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scoutline.llm import mixing, pii, quality, queries, sharding
@@ -219,3 +220,45 @@ def test_mixing(spark, small, options):
         assert {r.doc_id for r in uses} == {r[0] for r in rows} | {10**6, 10**6 + 1}
         assert max(r["pass"] for r in uses) <= 1
     assert mixing.mixed(df.limit(0), **options).count() == 0
+
+
+def brute_order(rows, mix, seed=7):
+    """(source, pass, id, start) of every use, by sorting blocks and the documents inside them."""
+    n_blocks = max(16, math.isqrt(len(rows)))
+    text = lambda x: "null" if x is None else str(x)
+    key = lambda *parts: hashlib.md5("|".join([str(seed), *map(text, parts)]).encode()).hexdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    held = defaultdict(lambda: defaultdict(list))
+    for d, t, s in rows:
+        held[s][signed(xxhash.xxh64(text(d).encode(), seed=42).intdigest()) % n_blocks].append((d, len(SPACE.findall(t or "")) + 1))
+    out = []
+    for s, quota in mix.items():
+        total, k = sum(n for b in held[s].values() for _, n in b), 0
+        while k * total < quota:
+            at = k * total
+            for b in sorted(held[s], key=lambda b: (key(s, k, b), b)):
+                for d, n in sorted(held[s][b], key=lambda x: (key(k, x[0]), x[0])):
+                    if at < quota:
+                        out.append((s, k, d, at))
+                    at += n
+            k += 1
+    return out
+
+
+def test_mixing_order_equals_brute_force(spark, small):
+    rows = [(r.doc_id, r.text, r.source if r.doc_id % 5 else None) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    uses = mixing.mixed(df, 0.98, 4.0).collect()
+    held = sizes_of(rows)
+    _, w = brute_weights(held, 0.98, 4.0)
+    mix = {s: math.floor(sum(held.values()) * r + 1e-6) for s, r in {r.source: r.weight for r in uses}.items()}
+    assert all(abs(q - w[s] * sum(held.values())) <= 2 for s, q in mix.items())
+    order = lambda xs: sorted(xs, key=lambda x: (str(x[0]), *x[1:]))
+    assert order((r.source, r["pass"], r.doc_id, r.start) for r in uses) == order(brute_order(rows, mix))
+
+
+def test_mixing_of_many_sources(spark):
+    rows = [(i, "a b c " * (1 + i % 3), f"s{i}") for i in range(3000)] + [(10_000 + i, "a b", "hot") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    uses = mixing.mixed(df, cover=True, max_passes=2.0).collect()
+    assert {r.doc_id for r in uses} == {r[0] for r in rows}
