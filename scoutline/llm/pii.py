@@ -8,14 +8,15 @@ that have both, wherever they stand,
     PMI(e, t) = log2(N n(e, t) / (n(e) n(t)))      IC(e) = log2(N / n(e))
 
 PMI / IC is 1 for a term that never occurs without the entity.  Terms that share at least SUPPORT documents with
-the entity and whose ratio reaches GENERALISE are generalised to ``[word]``, those that reach REMOVE are removed; both
-at every occurrence in the entity's documents.
+the entity and whose ratio reaches GENERALISE are generalised to the class of their shape (``[name]`` if capitalised,
+``[acronym]`` if all capitals, else ``[word]``), those that reach REMOVE are removed; both at every occurrence in the
+entity's documents.
 
 All of it is DataFrame functions.  Patterns are possessive and start at a run's begin or a match's end, so
 they read each character a bounded number of times.  Texts move only for documents of entities of SUPPORT or more.
 
-Edge cases: a null or empty text has no spans; repeated rows get equal spans, and count as one document in
-the statistics if their ids are equal; a null id is not counted; extra columns are ignored by ``find`` and
+Edge cases: a null or empty text has no spans; repeated rows get equal spans, and rows of one id count as one
+document in all statistics; a null id is not counted; extra columns are ignored by ``find`` and
 kept by ``sanitise``; an empty table gives an empty result.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import written
+from scoutline.llm.common import salted_join, written
 
 # Fixed patterns of the four kinds, written so that they match what the plain forms do.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -117,12 +118,16 @@ def _terms(text: str) -> Column:
 
 def disclosing(held: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, ratio) of the terms that reveal an entity too strongly."""
-    n = docs.count()
-    theirs = _maybe(docs).join(held.select("id", "mark").distinct(), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    known = docs.where("id is not null")
+    n = known.agg(F.countDistinct("id")).first()[0]
+    theirs = _maybe(known).join(held.select("id", "mark").distinct(), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
     terms = theirs.select("id", "mark", F.explode(_terms(text)).alias("term"))
     pairs = held.join(terms, ["id", "mark"]).groupBy("entity", "term", "n_e").agg(F.countDistinct("id").alias("together")).where(F.col("together") >= SUPPORT)
-    anywhere = docs.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = pairs.join(anywhere, "term")
+    pairs = written(pairs, "pairs")
+    # Ids are counted by (term, id) first, so a term that is in every document is spread by the ids.
+    anywhere = known.select("id", F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.countDistinct("id").alias("n_t"))
+    sizes = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows")).join(anywhere, "term")
+    both = salted_join(pairs, written(sizes, "terms"), ["term"], "entity")
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     pmi = information + F.log2(F.least(F.col("together") / F.col("n_t"), F.lit(1.0)))
     ratio = F.when(information > 0, pmi / information).otherwise(0.0)
@@ -130,29 +135,31 @@ def disclosing(held: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
 
 
 def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """(id, mark, start, end, ratio) wherever a term of ``told`` (id, mark, term, ratio) stands in its document."""
+    """(id, mark, start, end, ratio, shape) wherever a term of ``told`` (id, mark, term, ratio) stands in its document."""
     theirs = _maybe(docs).join(told.select("id", "mark").distinct(), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
     cut = theirs.select("id", "mark", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("run"), F.transform(F.split("text", RUN), lambda g: F.length(g)).alias("gap"))
     runs = cut.select("id", "mark", F.posexplode(F.arrays_zip("run", "gap")).alias("i", "z")).where("z.run is not null")
     so_far = Window.partitionBy("id", "mark").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("z.gap") + F.length("z.run")).over(so_far).cast("int")
-    placed = runs.select("id", "mark", F.lower("z.run").alias("term"), F.length("z.run").alias("n"), end.alias("end")).where("n between 3 and 40")
-    return placed.join(told, ["id", "mark", "term"]).select("id", "mark", (F.col("end") - F.col("n")).alias("start"), "end", "ratio")
+    run, first = F.col("z.run"), F.left("z.run", F.lit(1))
+    shape = F.when((run == F.upper(run)) & (run != F.lower(run)), "acronym").when(first != F.lower(first), "name").otherwise("word")
+    placed = runs.select("id", "mark", F.lower("z.run").alias("term"), shape.alias("shape"), F.length("z.run").alias("n"), end.alias("end")).where("n between 3 and 40")
+    return placed.join(told, ["id", "mark", "term"]).select("id", "mark", (F.col("end") - F.col("n")).alias("start"), "end", "ratio", "shape")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, mark (hash of the text), spans (base), words (added: kind, start, end) of every document with a base span."""
+    """id, mark (hash of the text), spans (base), words (added) of every document with a base span."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     spans = written(base_spans(docs), "spans")
     held = written(held_entities(spans), "held")
     reveals = disclosing(held, docs)
     hits = occurrences(docs, held.join(reveals, "entity").groupBy("id", "mark", "term").agg(F.max("ratio").alias("ratio")))
-    kind = F.when(F.col("ratio") >= REMOVE, "removed").otherwise("word")
-    added = hits.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("words"))
+    kind = F.when(F.col("ratio") >= REMOVE, "removed").otherwise(F.col("shape"))
+    added = hits.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("words"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     base = spans.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "start", "end", "kind"))).alias("spans"))
     both = base.join(added.withColumnsRenamed({"id": "id2", "mark": "mark2"}), (F.col("id") == F.col("id2")) & (F.col("mark") == F.col("mark2")), "left").drop("id2", "mark2")
-    words = F.coalesce("words", F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    words = F.coalesce("words", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     apart = F.filter(words, lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     plain = lambda xs: F.transform(xs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return both.select("id", "mark", plain(F.col("spans")).alias("spans"), plain(apart).alias("words"))

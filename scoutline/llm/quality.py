@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import SPACE, words, written
+from scoutline.llm.common import salted_join, words, written
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED_PER_CENT = 20, 30
@@ -37,23 +37,31 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append the base measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """Append the base measures, and ``_line_words`` (words of every line).
+
+    Names of the input that begin with an underscore must not clash; ``_judged`` renames its input for that.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    df = df.drop(*measures)
-    df = _held(df, _w=words(F.col(text)), _lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    # Each character is split once: the text's words are those of its lines.
+    df = _held(df.drop(*MEASURES), _lines=F.split(t, "\n"))
+    df = _held(df, _by_line=F.transform("_lines", words))
+    df = _held(df, _w=F.flatten("_by_line"), _line_words=F.transform("_by_line", F.size), _full=F.filter("_lines", lambda x, i: F.size(F.col("_by_line")[i]) > 0)).drop("_lines", "_by_line")
     df = _held(
         df,
         n_words=F.size("_w").cast("long"),
         word_chars=F.length(F.array_join("_w", "")).cast("long"),
         n_symbols=F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_dup_lines=(F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         _h=F.transform("_w", lambda x: F.xxhash64(x)),
-    ).drop("_w", "_lines")
+    ).drop("_w", "_full")
     none = F.array().cast("array<bigint>")
-    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*(F.col("_h")[i + k] for k in range(WINDOW))))
-    df = _held(df, _windows=F.when(F.size("_h") >= WINDOW, windows).otherwise(none)).drop("_h")
+    windows = F.transform(F.sequence(F.lit(1), F.size("_h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_h", i, F.lit(WINDOW))))
+    # A window can only be there twice if its first word is.
+    df = _held(df, _windows=F.when((F.size("_h") >= WINDOW) & (F.size(F.array_distinct("_h")) < F.size("_h")), windows).otherwise(none)).drop("_h")
     pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = _held(df, _pairs=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
     pairs, n = F.col("_pairs"), F.size("_pairs")
@@ -74,14 +82,14 @@ def frequent_lines(df: DataFrame, id_col: str, text: str, host: str, max_docs: i
     """(id, mark, pos, words) of every line that goes; mark is a hash of the text, pos the line's place."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.xxhash64(text).alias("mark"), F.transform(normal_lines(F.col(text)), lambda x: F.when(x != "", F.xxhash64(x))).alias("hashes"))
     once = docs.select("host", F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null")
-    over = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("host", "h")
+    over = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > max_docs)
     each = docs.where("id is not null").select("id", "host", "mark", F.posexplode("hashes").alias("pos", "h")).where("h is not null")
-    hits = written(each.join(over, ["host", "h"]).distinct(), "lines")
+    hits = written(salted_join(each, written(over, "over"), ["host", "h"], "mark").distinct(), "lines")
     # Exact only now, for the few lines that may be over the limits: equal texts count once.
     hosts = df.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host")).agg((max_share * F.count(F.lit(1))).alias("share"))
-    spread = hits.groupBy("host", "h", "mark").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    gone = spread.join(hosts, "host").where((F.col("n") > max_docs) & (F.col("n") > F.col("share"))).select("host", "h")
-    return hits.join(gone, ["host", "h"]).select("id", "mark", "pos")
+    spread = hits.groupBy("host", "h", "mark").agg(F.count(F.lit(1)).alias("lines")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("n_rows"))
+    gone = spread.join(hosts, "host").where((F.col("n") > max_docs) & (F.col("n") > F.col("share"))).select("host", "h", "n_rows")
+    return salted_join(hits, written(gone, "gone"), ["host", "h"], "mark").select("id", "mark", "pos")
 
 
 def _removed(df: DataFrame, id_col: str, text: str, host: str, **limits) -> DataFrame:
@@ -89,13 +97,14 @@ def _removed(df: DataFrame, id_col: str, text: str, host: str, **limits) -> Data
     return lines.groupBy("id", "mark").agg(F.collect_set("pos").alias("_gone"))
 
 
-def _judged(df: DataFrame, id_col: str, text: str, host: str, limits: dict, payload: list[str]) -> DataFrame:
-    """Base measures, ``_gone`` (places of removed lines), n_removed_words and kept, with the payload columns."""
-    lines_words = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.size(words(x)))
-    base = with_base(df.withColumns({"_mark": F.xxhash64(text), "_line_words": lines_words}), text)
-    base = base.select(*payload, F.col(id_col).alias("_id"), "_mark", "_line_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+def _judged(df: DataFrame, id_col: str, text: str, host: str, limits: dict) -> DataFrame:
+    """The input as _c0, _c1, ..., its base measures, ``_gone`` (places of removed lines), n_removed_words and kept."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    id_col, text, host = (names[df.columns.index(c)] for c in (id_col, text, host))
+    df = df.toDF(*names)  # clashing names of extra columns do no harm
+    base = with_base(df.withColumn("_mark", F.xxhash64(text)), text)
     gone = _removed(df, id_col, text, host, **limits).withColumnsRenamed({"id": "_gone_id", "mark": "_gone_mark"})
-    both = base.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left").drop("_gone_id", "_gone_mark", "_mark", "_id")
+    both = base.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left").drop("_gone_id", "_gone_mark", "_mark")
     removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda acc, i: acc + F.col("_line_words")[i]), F.lit(0)).cast("long")
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < MIN_WORDS) | (left < MIN_LEFT_SHARE * F.col("n_words")))
@@ -104,17 +113,16 @@ def _judged(df: DataFrame, id_col: str, text: str, host: str, limits: dict, payl
 
 def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """Measures and verdict of every document."""
-    return _judged(df, id_col, text, host, limits, [F.col(f"`{id_col}`")]).select(f"`{id_col}`", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    judged = _judged(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(host).alias("host")), "id", "text", "host", limits)
+    return judged.select(F.col("_c0").alias(id_col), *MEASURES, "kept", "n_removed_words")
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """Documents that pass, with the input's columns; lines above the limits are gone from their texts."""
-    names = [f"_c{i}" for i in range(len(df.columns))]
-    inner = df.toDF(*names)  # clashing names of extra columns do no harm
-    at = {c: names[df.columns.index(c)] for c in (id_col, text, host)}
-    judged = _judged(inner, at[id_col], at[text], at[host], limits, names).where("kept")
-    left = F.array_join(F.filter(F.split(F.col(at[text]), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    judged = judged.withColumn(at[text], F.when(F.col("_gone").isNull(), F.col(at[text])).otherwise(left))
+    judged = _judged(df, id_col, text, host, limits).where("kept")
+    names, t = [f"_c{i}" for i in range(len(df.columns))], f"_c{df.columns.index(text)}"
+    left = F.array_join(F.filter(F.split(F.col(t), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    judged = judged.withColumn(t, F.when(F.col("_gone").isNull(), F.col(t)).otherwise(left))
     return judged.select(*names).toDF(*df.columns)
 
 

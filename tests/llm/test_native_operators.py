@@ -125,7 +125,7 @@ def test_quality_lines_and_edges(spark):
     rows += [(70, "\n".join(["share this line"] * 30) + f"\n{own(70)}", "en", "h", 0), (80, None, "en", None, 0), (81, "", "en", "h", 0), (82, " \t\n", "en", None, 0)]
     rows += [(90 + i, own(90) + "\ncopied line of a copied text", "en", "h", 0) for i in range(9)] + [(90, own(90) + "\ncopied line of a copied text", "en", "h", 0)]
     rows += [(None, f"{own(99)}\nshare this line", "en", "h", 0), (100, "é" * 30 + " a" * 50, "en", "g", 0), (101, "word " * 20_000, "en", "g", 0)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(0)).withColumn("mark", F.lit(0)).withColumn("n_words", F.lit(0))
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(0) for c in ("id", "mark", "n_words", "_w", "_h", "_lines", "_windows", "_mark", "_gone", "_c0", "host")})
     limits = {"max_docs": 5, "max_share": 0.0}
     right = brute_quality([(r[0], r[1], r[3]) for r in rows], 5, 0.0)
     got = sorted(((r.doc_id or -1, r.n_words, r.kept) for r in quality.quality(df, **limits).collect()))
