@@ -47,11 +47,43 @@ def test_toxicity_edges(spark):
 def test_secrets(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     found = queries.op7_secrets(spark, small).collect()
-    for r in found:
-        value, before = docs[r.doc_id][r.start : r.end], docs[r.doc_id][: r.start]
-        assert len(value) >= secrets.MIN_LENGTH
-        assert r.secret == (before.lower().endswith('token = "') and len(value) == 40), (value, before[-20:])
-    assert sum(r.secret for r in found) > 10
+    assert sorted((r.doc_id, r.start, r.end) for r in found) == sorted((d, *s) for d, t in docs.items() for s in secrets.spans(t or ""))
+    held = [r for r in found if r.held_out and r.label is not None]
+    assert len(held) > 10 and np.mean([r.secret == (r.label == 1) for r in held]) >= 0.95
+    planted = [r for r in found if docs[r.doc_id][: r.start].lower().endswith('token = "')]
+    assert len(planted) > 10 and all(r.secret for r in planted)
+    assert sum(r.secret for r in found) <= len(planted) + 2
+
+
+def test_secrets_without_a_name_are_left_to_the_forest(spark, small):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("path"))
+    alone = [(10**6 + i, f"the value {key(40)} stands alone", "x") for i in range(5)]
+    long = "the" + "andthetheto" * 2000
+    rows = [*alone, (10**6 + 10, f"the value {long} is of words", "x"), (10**6 + 11, "password = hunter2secret", "x"), (10**6 + 12, f"-----BEGIN PRIVATE KEY-----\n{key(64)}\n{key(64)}\n-----END PRIVATE KEY-----", "x")]
+    got = {}
+    for r in secrets.scan(docs.unionByName(spark.createDataFrame(rows, docs.schema))).where("id >= 1000000").collect():
+        got.setdefault(r.id, []).append(r)
+    assert all(r.secret and r.label is None for i in range(5) for r in got[10**6 + i])
+    assert [(r.secret, r.end - r.start) for r in got[10**6 + 10]] == [(False, len(long))]
+    assert [r.label for r in got[10**6 + 11]] == [1.0] and [r.label for r in got[10**6 + 12]] == [1.0, 1.0]
+    assert all(r.secret for r in got[10**6 + 12])
+
+
+def test_secret_statistics_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    assert np.array_equal(*(secrets.transitions(docs.repartition(n)) for n in (1, 17)))
+
+
+def test_secrets_learn_from_given_findings(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij0123456789", k=20))
+    rows = [(i, f"{'checksum' if i % 2 else 'grants access'} {word()} here", "p") for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string, path string")
+    labels = spark.createDataFrame([(i, t.index(" " if i % 2 else "access") + (1 if i % 2 else 7), t.rindex(" "), i % 2 ^ 1) for i, t, _ in rows], "id long, start long, end long, label int")
+    got = secrets.scan(docs, labels).collect()
+    assert len(got) == 200 and np.mean([r.secret == (r.id % 2 == 0) for r in got if r.held_out]) >= 0.9
 
 
 def test_secrets_edges(spark):
@@ -77,7 +109,7 @@ def test_pipeline_stages(spark, tiny):
     assert {r.doc_id for r in kept["quality rules"]} == {d for d, k in verdict.items() if k}
     ids = [r.doc_id for r in kept["near-duplicates"]]
     assert len(ids) == len(set(ids)) and set(ids) <= {r.doc_id for r in kept["quality rules"]}
-    assert [r.doc_id for r in kept["personal data"]].sort() == ids.sort()
+    assert sorted(r.doc_id for r in kept["personal data"]) == sorted(ids)
     assert not any("@mail" in r.text for r in kept["personal data"])
     assert {r.doc_id for r in kept["mixing"]} == set(ids)
     assert len(kept["bpe"]) == len(kept["mixing"]) and all(r.n_tokens == len(r.ids) for r in kept["bpe"])
