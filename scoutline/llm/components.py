@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import written
+from scoutline.llm.common import forget, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -38,6 +38,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
     while state != before and state[0]:
         if not rounds:
             raise RuntimeError("components did not settle")
-        now = written(_small_star(_large_star(now)), "edges")
+        last, now = now, written(_small_star(_large_star(now)), "edges")
+        forget(last)
         before, state, rounds = state, _state(now), rounds - 1
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,18 +5,22 @@ bands of samples (documents that share a key are candidates) and an odd sketch,
 sample flips one bit.  The bits in which two sketches differ estimate how many samples differ, most
 precisely for very similar sets, so almost only true pairs reach the confirmation on full sets.
 
-No group is ever spread into all its pairs.  Equal sets are one representative.  In a bucket every member
-meets the bucket's smallest member; after links are contracted, only members outside that member's
-component meet the rest of the bucket, in salted blocks if it is large.  Pairs inside one component need no
-check, since they cannot change the result.
+No group is ever spread into all its pairs.  Documents of equal sets are one class.  In a bucket every class
+meets the bucket's first one; after links are contracted, only classes outside that one's
+component (outsiders) meet the rest of the bucket, in salted blocks if it is large.  Pairs inside one component need no
+check, since they cannot change the result.  A bucket of more than OUTSIDERS outsiders (pages of one template, say)
+is banded again: its classes meet by pairs of shared bands, which agree in twice as many samples; so the work in
+a bucket of n classes is a multiple of n, whatever they have in common.
 
-Two sets of similarity s share no bucket with probability (1 - s^5)^40: 1.3e-7 at 0.8, less above.  The
-sketch lets pass every estimate of at least ``similarity - SLACK``, five standard deviations.
+Two sets of similarity s share no bucket with probability (1 - s^5)^40: 1.3e-7 at 0.8, less above; they share fewer
+than two, which they need where buckets are banded again, with 2.6e-6.  The sketch lets pass every estimate of
+at least ``similarity - SLACK``, five standard deviations.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer
-words than a shingle have their whole sequence as the only one; repeated rows (same id) are counted as
-one document whose rows share a result; extra columns are ignored; an empty table gives an empty result;
-a null id takes part like any other but is never a component's name if the component has another id.
+words than a shingle have their whole sequence as the only one; repeated rows (same id and text) share a result;
+rows of one id with different texts are judged each by its own text; a row with a null id takes part like any
+other, but never names a component (one of null ids only has a null name, and its rows are kept); extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import WordHasher, _mix, slices, string_buffers, written
+from scoutline.llm.common import WordHasher, _mix, forget, salted_join, slices, string_buffers, written
 from scoutline.llm.components import components
 
 BANDS, ROWS = 40, 5
 #: All samples flip sketch bits, the first BANDS * ROWS of them make band keys.
 SAMPLES, SKETCH_BITS, SLACK = 1200, 3072, 0.065
-#: Members of a bucket that are compared by one task.
-BLOCK = 1000
+#: Members of a bucket that are compared by one task; outsiders of a bucket that meet the rest of it without more bands.
+BLOCK, OUTSIDERS = 1000, 100
 #: Bytes of text that are hashed at a time in a task.
 TEXT_BYTES = 2_000_000
 
@@ -100,7 +104,7 @@ def _list_column(values: np.ndarray, offsets: np.ndarray):
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """id, n_shingles, mark (two longs), bands, sketch of every document; null marks for empty sets."""
+    """id, hash of the text, n_shingles, mark (two longs), bands, sketch of every document; null marks for empty sets."""
 
     def run(batches):
         import pyarrow as pa
@@ -119,9 +123,9 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 step = lambda x: np.arange(len(full) + 1) * x.shape[1]
                 lists = [_list_column(x.ravel(), step(x)).take(rows) for x in (bands, sketches)]
                 first, second = (pa.array(marks[:, k].astype(np.uint64).view(np.int64)).take(rows) for k in (0, 1))
-                yield pa.record_batch([batch.column("id")[i:j], pa.array(sizes), first, second, *lists], names=["id", "n_shingles", "mark1", "mark2", "bands", "sketch"])
+                yield pa.record_batch([batch.column("id")[i:j], batch.column("hash")[i:j], pa.array(sizes), first, second, *lists], names=["id", "hash", "n_shingles", "mark1", "mark2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, mark1 long, mark2 long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "id long, hash long, n_shingles long, mark1 long, mark2 long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -165,48 +169,93 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("key", "band", "id", "center", "n", F.coalesce("component", "id").alias("own"), F.coalesce("of_center", "center").alias("of_center"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id_col, n_shingles, component_id, kept of every document (one row for each row of the input)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(_signed(docs, width), "signatures")
-    marked = signed.where("mark1 is not null and id is not null")
-    classes = written(marked.groupBy("mark1", "mark2").agg(F.min("id").alias("rep")), "classes")
-    reps = written(marked.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "bands", "sketch"), "representatives")
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row per distinct set: node (a number of its own), the smallest id, one document (id, hash), marks, rows, bands, sketch."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    grouped = signed.where("mark1 is not null").groupBy("mark1", "mark2").agg(first, F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return grouped.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.hash", "mark1", "mark2", "n_rows", "bands", "sketch")
+
 
-    keys = reps.select("id", F.posexplode("bands").alias("band", "key"))
+def _members(keys: DataFrame) -> DataFrame:
+    """Classes of buckets of two or more: key, band, id, center (the bucket's smallest), n."""
     shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keys.join(shared, "key"), "members")
-    ids = members.select("id").distinct()
-    # Ids grow with the table, so they are never broadcast; whole sets are made once, of documents that share a bucket.
-    sets = written(_sets(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), width), "sets")
-    sketches = written(reps.join(ids.hint("merge"), "id", "left_semi").select("id", "sketch", "bands"), "sketches")
-    a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
-    likely = _likely(F.col("sketch_u"), F.col("sketch_v"), similarity)
+    return keys.join(shared, "key")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return written(_confirmed(pairs.distinct().join(a, "u").join(b, "v").where(likely).select("u", "v"), sets, similarity), "links")
 
-    # First every member meets its bucket's smallest one.
-    links = linked(members.where("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")))
-    # Then those outside its component meet all others of the bucket that are in another component; a pair
-    # that shares several buckets meets in the first of them only.
-    placed = written(_placed(members, links), "placed")
+def _met(placed: DataFrame, sketches: DataFrame, likely: Column, first_only: bool) -> DataFrame:
+    """Likely pairs (u, v) of outsiders with the classes of their bucket that are in other components.
+
+    first_only: a pair that shares several buckets meets in the first of them only.
+    """
     outside = placed.where("own <> of_center")
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
     earlier = lambda x: sketches.select("id", F.col("sketch").alias(f"sketch_{x}"), "bands")
     before = lambda x: F.slice("bands", F.lit(1), F.col("band")).alias(f"before_{x}")
     apart = outside.join(earlier("u"), "id").select("key", F.col("id").alias("u"), F.col("own").alias("own_u"), "sketch_u", before("u"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rest = placed.join(outside.select("key").distinct(), "key", "left_semi").join(earlier("v"), "id").select("key", F.col("id").alias("v"), F.col("own").alias("own_v"), (F.col("own") == F.col("of_center")).alias("linked"), "sketch_v", before("v"), F.pmod(F.hash("id"), salts).alias("salt"))
-    other = (F.col("own_u") != F.col("own_v")) & (F.col("linked") | (F.col("u") < F.col("v")))
-    likely = likely & ~F.arrays_overlap("before_u", "before_v")
-    pairs = apart.join(rest.withColumnsRenamed({"key": "key_v", "salt": "salt_v"}), (F.col("key") == F.col("key_v")) & (F.col("salt") == F.col("salt_v")) & other & likely).select("u", "v").distinct()
-    more = _confirmed(written(pairs, "candidates"), sets, similarity)
-    final = components(links.unionByName(more)).withColumnsRenamed({"node": "rep", "component": "of_rep"})
-
-    names = classes.join(final, "rep", "left").select("mark1", "mark2", F.coalesce("of_rep", "rep").alias("component_id"))
-    return (
-        signed.select("id", "n_shingles", "mark1", "mark2")
-        .join(names, ["mark1", "mark2"], "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    )
+    test = (F.col("own_u") != F.col("own_v")) & (F.col("linked") | (F.col("u") < F.col("v"))) & likely
+    if first_only:
+        test = test & ~F.arrays_overlap("before_u", "before_v")
+    return apart.join(rest.withColumnsRenamed({"key": "key_v", "salt": "salt_v"}), (F.col("key") == F.col("key_v")) & (F.col("salt") == F.col("salt_v")) & test).select("u", "v").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id_col, text_hash, n_shingles, component_id, kept of every document (one row for each row of the input)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    signed = written(_signed(docs, width), "signatures")
+    classes = written(_classes(signed), "classes")
+    members = written(_members(classes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))), "members")
+    ids = members.select("id").distinct()
+    # Ids grow with the table, so they are never broadcast; whole sets are made once, of one document of each class that shares a bucket.
+    wanted = classes.join(ids.hint("merge"), F.col("node") == ids["id"], "left_semi")
+    some = F.coalesce("id", F.lit(-1)).alias("id")
+    texts = docs.select(some, "hash", "text").join(wanted.select("node", some, "hash").hint("merge"), ["id", "hash"]).dropDuplicates(["id", "hash"])
+    sets = written(_sets(texts.select(F.col("node").alias("id"), "text"), width), "sets")
+    sketches = written(wanted.select(F.col("node").alias("id"), "sketch", "bands"), "sketches")
+    a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    likely = _likely(F.col("sketch_u"), F.col("sketch_v"), similarity)
+
+    def linked(members: DataFrame) -> DataFrame:
+        pairs = members.where("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")).distinct()
+        return written(_confirmed(pairs.join(a, "u").join(b, "v").where(likely).select("u", "v"), sets, similarity), "links")
+
+    # First every class meets its bucket's smallest one, then outsiders meet the others.
+    links = linked(members)
+    placed = written(_placed(members, links), "placed")
+    forget(members)
+    crowds = written(placed.where("own <> of_center").groupBy("key").agg(F.count(F.lit(1)).alias("outsiders")).where(F.col("outsiders") > OUTSIDERS).select("key"), "crowds")
+    pairs = _met(placed.join(crowds, "key", "left_anti"), sketches, likely, True)
+    if not crowds.isEmpty():
+        inside = placed.join(crowds, "key", "left_semi").select("id", "key", "band").join(sketches.select("id", "bands"), "id")
+        other = F.posexplode(F.filter("bands", lambda k, i: i != F.col("band"))).alias("at", "second")
+        twice = inside.select("id", "key", "band", other).select("id", "band", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
+        again = written(_members(twice), "members")
+        links = written(links.unionByName(linked(again)), "links")
+        pairs = written(pairs, "pairs").unionByName(_met(written(_placed(again, links), "placed"), sketches, likely, False))
+    more = _confirmed(written(pairs.distinct(), "candidates"), sets, similarity)
+    final = components(links.unionByName(more))
+    named = classes.select("node", "id", "mark1", "mark2", "n_rows").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    names = written(named.join(names, "component").select("mark1", "mark2", "n_rows", "component_id", F.lit(True).alias("full")), "names")
+    forget(sets)
+    full = salted_join(signed.where("mark1 is not null").select("id", "hash", "n_shingles", "mark1", "mark2"), names, ["mark1", "mark2"], "id").drop("mark1", "mark2")
+    empty = signed.where("mark1 is null").select("id", "hash", "n_shingles", F.col("id").alias("component_id"), F.lit(False).alias("full"))
+    kept = ~F.col("full") | F.col("component_id").isNull() | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The input with one row of each group: that of the smallest id (of its texts the one with the smallest hash).
+
+    Rows without an id stay if no row of their group has one, one row for each text.
+    """
+    kept = written(near_duplicates(docs, id_col, text_col, width, similarity).where("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "component_id"), "kept")
+    named = kept.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("_id", "_hash")).alias("first")).select("first.*")
+    chosen = named.unionByName(kept.where("component_id is null").select("_id", "_hash").distinct())
+    chosen = chosen.select(F.coalesce("_id", F.lit(-1)).alias("_key"), F.col("_id").isNull().alias("_none"), "_hash")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    i, t = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    inner = inner.withColumns({"_key": F.coalesce(i.cast("long"), F.lit(-1)), "_none": i.isNull(), "_hash": F.xxhash64(t)})
+    keys = ["_key", "_none", "_hash"]
+    return inner.join(chosen.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*names).toDF(*docs.columns)

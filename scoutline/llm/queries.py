@@ -39,7 +39,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=0.8)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=0.8).drop("text_hash")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

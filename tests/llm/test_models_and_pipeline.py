@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from scoutline.llm import queries, secrets, toxicity
-from scoutline.llm.common import word_hash
+from scoutline.llm.common import WordHasher, word_hash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,6 +37,44 @@ def test_swapped_identity_terms_move_no_score():
     assert right(fair) >= 0.97
 
 
+def test_toxicity_loss_and_gradient_equal_brute_force():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["women", "gay", "muslim"]
+    texts = [rng.sample(words, rng.randint(1, 8)) for _ in range(60)]
+    bags = [np.unique(np.array([word_hash(w) for w in t], np.uint64)) for t in texts]
+    labels = np.array([float("w0" in t) for t in texts])
+    used, loss = toxicity.objective(bags, labels, terms=("women", "gay", "muslim"))
+    w, b = np.random.default_rng(1).normal(size=len(used)), 0.3
+    place = {h: i for i, h in enumerate(used)}
+    logit = lambda bag: b + sum(w[place[h]] for h in bag if h in place)
+    right, n1 = 0.0, labels.sum()
+    for bag, y in zip(bags, labels):
+        p = 1 / (1 + np.exp(-logit(bag)))
+        right -= (0.5 / (n1 if y else len(labels) - n1)) * np.log(p if y else 1 - p)
+    swaps = [(w[g] - w[x]) ** 2 for g, x in zip(loss.gained, loss.lost)] + [w[g] ** 2 for g in loss.added]
+    groups = {word_hash(t) for t in ("women", "gay", "muslim")}
+    assert len(loss.lost) == sum(h in groups for bag in bags for h in bag) and len(loss.added) == sum(not groups & set(bag.tolist()) for bag in bags)
+    right += toxicity.L2 / 2 * sum(w * w) + toxicity.COUNTERFACTUAL / 2 * np.mean(swaps)
+    assert abs(loss.value(w, b) - right) < 1e-9
+    gradient, slope = loss.gradient(w, b)
+    for i in range(len(used)):
+        e = np.eye(len(used))[i] * 1e-5
+        assert abs((loss.value(w + e, b) - loss.value(w - e, b)) / 2e-5 - gradient[i]) < 1e-6
+    assert abs((loss.value(w, b + 1e-5) - loss.value(w, b - 1e-5)) / 2e-5 - slope) < 1e-6
+
+
+def test_toxicity_sample_keeps_every_word_that_counts(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text").where(F.octet_length("text") <= toxicity.SAMPLE_BYTES)
+    labels = spark.read.parquet(f"{small}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
+    model = toxicity.train(docs, labels)
+    known = {r.id: r.toxic for r in labels.collect()}
+    rows = sorted((r.id, r.text) for r in docs.collect() if r.id in known)
+    hasher = WordHasher()
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    whole = toxicity.fit([np.unique(hasher(d, np.array([0, len(d)]), letters=True)[0]) for d in data], np.array([known[i] for i, _ in rows]))
+    assert np.array_equal(model.words, whole.words) and np.allclose(model.weights, whole.weights)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "fine words"), (3, "fine words"), (None, "x" * 50_000)], "id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(1, 0), (3, None), (99, 1), (None, 1)], "id long, toxic int"))

@@ -73,7 +73,10 @@ def test_near_duplicate_chains_and_large_buckets(spark, monkeypatch):
         rows.append((n := n + 1, " ".join(text), 0))
     for shift in range(0, 60, 5):  # a chain whose ends are not alike
         rows.append((n := n + 1, " ".join((base[::-1] + [f"w{i}" for i in range(60)])[shift : shift + 120]), 0))
-    assert near(spark, rows) == brute_near({d: t for d, t, _ in rows})
+    right = brute_near({d: t for d, t, _ in rows})
+    assert near(spark, rows) == right
+    monkeypatch.setattr(neardup, "OUTSIDERS", 2)  # all buckets are banded again
+    assert near(spark, rows) == right
 
 
 def test_near_duplicate_edges(spark):
@@ -83,6 +86,17 @@ def test_near_duplicate_edges(spark):
     assert near(spark, []) == {}
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    text, other = " ".join(base), " ".join(f"v{i}" for i in range(100))
+    alone = " ".join(f"u{i}" for i in range(100))
+    rows = [(7, text, 0), (None, text, 0), (None, " ".join(base[:99] + ["end"]), 0), (3, other, 0), (3, text + " more", 0), (None, alone, 0), (None, alone, 0), (None, None, 0), (5, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash int")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=4).collect()), key=str)
+    right = [(7, 97, 3, False), (0, 97, 3, False), (0, 97, 3, False), (3, 97, 3, True), (3, 98, 3, True), (0, 97, None, True), (0, 97, None, True), (0, 0, None, True), (5, 0, 5, True)]
+    assert got == sorted(right, key=str)
+
+
 def test_tiff_round_trip_every_layout():
     rng = random.Random(1)
     for rows in (1, 2, 7, 65, 520):
