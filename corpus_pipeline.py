@@ -29,9 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id (five-word shingles, similarity 0.8)."""
-    kept = neardup.near_duplicates(docs, width=5, similarity=0.8).where("kept").select("doc_id").distinct()
-    whole = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return whole.select(docs.columns)
+    return neardup.deduplicate(docs, width=5, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +39,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix uses them: the largest source once, smaller ones up to twice, none never."""
-    uses = mixing.mixed(docs, entropy_share=0.98, max_passes=2.0, cover=True).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
-    times = uses.groupBy("_id", "_source").agg(F.count(F.lit(1)).alias("_times"))
-    rows = docs.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("_rows")).withColumnsRenamed({"doc_id": "_id2", "source": "_source2"})
-    per_row = times.join(rows, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2"))).select("_id", "_source", F.ceil(F.col("_times") / F.col("_rows")).cast("int").alias("_each"))
-    both = docs.join(per_row, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    return both.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*(docs[c] for c in docs.columns))
+    uses = mixing.mixed(docs, entropy_share=0.98, max_passes=2.0, cover=True)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # clashing names of extra columns do no harm
+    inner = docs.toDF(*names)
+    key, source = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source"))
+    times = uses.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("times"))
+    rows = inner.groupBy(key.alias("id2"), source.alias("of2")).agg(F.count(F.lit(1)).alias("rows"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & F.col("of").eqNullSafe(F.col("of2"))
+    per_row = times.join(rows, same).select("id", "of", F.ceil(F.col("times") / F.col("rows")).cast("int").alias("each"))
+    both = inner.join(per_row, key.eqNullSafe(F.col("id")) & source.eqNullSafe(F.col("of")))
+    return both.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("each")))).select(*names).toDF(*docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
