@@ -5,8 +5,9 @@ they can be written and read wherever Spark can.  Payloads that occur more than
 of records with equal payloads the one with the largest id is the response, the others revisit it.
 
 Edge cases: a null payload is an empty one; a null id is written as an empty one and read as null; an empty table makes no archive; repeated ids with one
-payload all keep their kind (each is the response if its id is the largest); too few or too small
-records for a dictionary make an archive without one; a wrong header, length or digest raises an error.
+payload all keep their kind (each is the response if its id is the largest); all archives of a table share one
+dictionary, trained on a bounded sample of its pages (only a table whose pages are too few or too alike to train one has
+none); extra columns are ignored; a wrong header, length or digest raises an error.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutline.llm.common import written
+from scoutline.llm.common import salted_join, written
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -26,8 +27,10 @@ DICTIONARY_MAGIC = b"\x37\xa4\x30\xec"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Bytes of payload after which an archive is closed, records that train its dictionary, and its size.
-ARCHIVE_BYTES, TRAINING_RECORDS, DICTIONARY_BYTES = 4_000_000, 200, 8_192
+#: Bytes of payload after which an archive is closed; pages that train the dictionary, characters of each, and its size.
+ARCHIVE_BYTES, TRAINING_PAGES, TRAINING_CHARS, DICTIONARY_BYTES = 4_000_000, 500, 8_192, 8_192
+#: Bytes of an archive that are decoded at a time.
+PIECE = 16_384
 
 
 def digest(payload: bytes) -> str:
@@ -46,21 +49,25 @@ def record(page_id: int, url: str | None, payload: bytes, sha1: str, length: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archive(records: list[bytes]) -> bytes:
+def trained(records: list[bytes]) -> bytes | None:
+    """A dictionary of the records; None if they are too few or too alike for one."""
+    import zstandard as zstd
+
+    try:
+        return zstd.train_dictionary(DICTIONARY_BYTES, records, k=200, d=8).as_bytes() if records else None
+    except zstd.ZstdError:
+        return None
+
+
+def write_archive(records: list[bytes], dictionary: bytes | None = None) -> bytes:
     import zstandard as zstd
 
-    trained = None
-    sample = records[:: max(1, len(records) // TRAINING_RECORDS)][:TRAINING_RECORDS]
-    if len(records) >= 16 and sum(map(len, sample)) >= 4 * DICTIONARY_BYTES:
-        try:
-            trained = zstd.train_dictionary(DICTIONARY_BYTES, sample, k=200, d=8)
-        except zstd.ZstdError:  # the records are too alike or too short for one
-            trained = None
     out = []
-    if trained:
-        held = zstd.ZstdCompressor().compress(trained.as_bytes())
+    if dictionary:
+        held = zstd.ZstdCompressor().compress(dictionary)
         out.append(struct.pack("<II", SKIPPABLE, len(held)) + held)
-    press = zstd.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True) if trained else zstd.ZstdCompressor(level=3, write_checksum=True)
+    known = zstd.ZstdCompressionDict(dictionary) if dictionary else None
+    press = zstd.ZstdCompressor(level=3, dict_data=known, write_checksum=True, write_content_size=True)
     out += map(press.compress, records)
     return b"".join(out)
 
@@ -83,11 +90,15 @@ def read_archive(archive: bytes):
     open_ = zstd.ZstdDecompressor(dict_data=trained) if trained else zstd.ZstdDecompressor()
     view = memoryview(archive)
     while at < len(archive):
-        frame = open_.decompressobj()
-        yield frame.decompress(view[at:])
+        # Bytes are handed over in pieces, so no frame copies the rest of the archive.
+        frame, parts = open_.decompressobj(), []
+        while not frame.eof and at < len(archive):
+            parts.append(frame.decompress(view[at : at + PIECE]))
+            at = min(len(archive), at + PIECE)
         if not frame.eof:
             raise ValueError("a frame is cut off")
-        at = len(archive) - len(frame.unused_data)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes) -> dict:
@@ -123,16 +134,29 @@ def parse(data: bytes) -> dict:
 def with_response(pages: DataFrame) -> DataFrame:
     """page_id, url, html and ``_response``: the largest id among pages of the same payload.
 
-    Ids meet by the payload's digest alone (grouping sums up before the shuffle); texts move only for the
-    join by page, and those of pages that revisit another are dropped before it.
+    Payloads meet by their digests alone (grouping sums up before the shuffle, and a payload of very many pages
+    is salted).  Texts then move once, by page and digest, which no payload's copies share.
     """
-    key = pages.select(F.col("page_id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("_key"))
-    last = key.groupBy("_key").agg(F.max("page_id").alias("_response"))
-    return pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("_key")).join(last, "_key").drop("_key")
+    digests = F.sha2(F.coalesce("html", F.lit("")), 256).alias("_key")
+    key = written(pages.select("page_id", digests), "digests")
+    last = written(key.groupBy("_key").agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("n_rows")), "responses")
+    revisits = salted_join(key, last.where("n_rows > 1"), ["_key"], "page_id").where("page_id <> _response").distinct()
+    named = revisits.select(F.col("page_id").alias("_page"), F.col("_key").alias("_revisited"), "_response")
+    both = pages.select("page_id", "url", "html", digests).join(named.hint("merge"), (F.col("page_id") == F.col("_page")) & (F.col("_key") == F.col("_revisited")), "left")
+    return both.select("page_id", "url", "html", F.coalesce("_response", "page_id").alias("_response"))
+
+
+def dictionary(pages: DataFrame) -> bytes | None:
+    """Trained on the driver from TRAINING_PAGES pages, cut to TRAINING_CHARS each; it only helps to compress."""
+    order = F.xxhash64("page_id")
+    rows = pages.where("page_id is not null").select("page_id", "url", F.left("html", F.lit(TRAINING_CHARS)).alias("html")).orderBy(order, "page_id").limit(TRAINING_PAGES).collect()
+    payloads = [(r, (r.html or "").encode()) for r in rows]
+    return trained([record(r.page_id, r.url, p, digest(p), len(p), None) for r, p in payloads])
 
 
 def warc_write(pages: DataFrame) -> DataFrame:
     """Write one record per page; the result is the table of archives (archive: binary)."""
+    shared = pages.sparkSession.sparkContext.broadcast(dictionary(pages))
 
     def run(batches):
         import pyarrow as pa
@@ -145,10 +169,10 @@ def warc_write(pages: DataFrame) -> DataFrame:
                 held.append(record(page, urls[i].as_py(), payload, digest(payload), len(payload), None if first == page else first))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
-                    yield pa.record_batch({"archive": pa.array([write_archive(held)], pa.binary())})
+                    yield pa.record_batch({"archive": pa.array([write_archive(held, shared.value)], pa.binary())})
                     held, size = [], 0
         if held:
-            yield pa.record_batch({"archive": pa.array([write_archive(held)], pa.binary())})
+            yield pa.record_batch({"archive": pa.array([write_archive(held, shared.value)], pa.binary())})
 
     return written(with_response(pages).mapInArrow(run, "archive binary"), "warc")
 

@@ -201,7 +201,7 @@ def test_warc_edges(spark, monkeypatch):
     rows = warc.warc_read(archives).collect()
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == warc_right(pages)
     assert all(bytes(r.payload).decode() == (dict(pages)[r.page_id] or "") for r in rows if r.record_type == "response")
-    assert any(bytes(a.archive)[:4] == b"\x5d\x2a\x4d\x18" for a in archives.collect())
+    assert all(bytes(a.archive)[:4] == b"\x5d\x2a\x4d\x18" for a in archives.collect())
     assert warc.warc_read(warc.warc_write(df.limit(0))).count() == 0
 
 
@@ -211,6 +211,9 @@ def test_warc_checks():
     for bad in (good[:-1], good.replace(b"abc\r\n\r\n", b"abd\r\n\r\n"), good.replace(b"WARC-Date", b"X-Date"), b"WARC/9" + good[8:]):
         with pytest.raises(ValueError):
             warc.parse(bad)
+    more = [warc.record(i, f"http://a/{i}", p := random.Random(i).randbytes(20_000 * (i % 4)), warc.digest(p), len(p), None) for i in range(40)]
+    known = warc.trained(more)
+    assert known and list(warc.read_archive(warc.write_archive(more, known))) == more
     packed = warc.write_archive([good] * 3)
     assert list(warc.read_archive(packed)) == [good] * 3
     with pytest.raises(Exception):
