@@ -2,27 +2,35 @@
 
 One declarative pipeline without Python per row.  Unknown is never zero: a null input passes a gate with a
 flag, a null sub-score earns nothing but keeps its weight in the denominator.  ``as_of`` is always an
-argument.  The dimensions (fund, vehicle, matrix, importance) are fixed by the configuration and are
-literals in the plan; entities are never shuffled, so the plan is one stage over the entity table.
+argument.  The dimensions (fund, vehicle, matrix, importance) are fixed by the configuration and are unrolled
+into the plan as text, so each rule is only the comparison that it needs; entities are never shuffled, so the plan is
+one stage over the entity table.
 
 Input columns (null where unknown): company_id, name, incorporated_on, founded_year, total_funding_gbp,
 announced_stage, sector, sic_codes (array), region, country, outcode, city, hq_region,
 is_spinout, spinout_university, seis_eis_qualifying, uk_exec_pct, last_round_gbp, prior_total_gbp,
 valuation_gbp, on_portfolio, press_count, route, has_share_issue, max_prior_appointments, n_founders,
-any_psc, signal_kinds (array), website.
+any_psc, signal_kinds (array), website; and, if there is one, signals (array of headline, occurred_on).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutline import config
-from scoutline.functions.ladders import any_of, band, curve, first_reason, flags, lookup, months, rounded
+from scoutline.functions.ladders import band, curve, first_reason, flags, lookup, months, rounded
+
+
+def held(df: DataFrame, *columns: str) -> DataFrame:
+    """The frame with these columns behind a generator of one row.
+
+    The optimiser copies no expression through it, neither into later ones nor into filters that it moves or infers.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.expr(f"inline(array(struct({', '.join(columns)})))"))
 
 
 def stage_ordinal(stage: Column) -> Column:
@@ -90,16 +98,19 @@ def uk_presence() -> Column:
 
 
 def with_freshness(df: DataFrame) -> DataFrame:
-    """reject_reason (first gate that fails) and gate_flags (what could not be verified)."""
-    late = stage_ordinal(F.col("stage")) > config.STAGES.index(config.MAX_STAGE)
+    """reject_reason (first gate that fails) and gate_flags (what could not be verified up to that gate)."""
+    late = F.col("stage_no") > config.STAGES.index(config.MAX_STAGE)
     reason = first_reason(
         (F.col("age_months") > config.MAX_AGE_MONTHS, "max_company_age_months"),
         (F.col("total_funding_gbp") > config.MAX_FUNDING, "max_total_funding_gbp"),
         (late, "max_stage"),
         (F.col("on_portfolio"), "already_on_vc_portfolio"),
-        (~uk_presence(), "min_uk_presence"),
+        (~F.col("uk"), "min_uk_presence"),
     )
-    return df.withColumns({"reject_reason": reason, "gate_flags": flags((F.col("age_months").isNull(), "age_unknown"), (uk_presence().isNull(), "uk_unverified"))})
+    df = df.withColumns({"uk": uk_presence(), "stage_no": stage_ordinal(F.col("stage"))}).withColumn("reject_reason", reason)
+    unknown = F.col("reject_reason").isNull() & F.col("uk").isNull()
+    df = df.withColumn("gate_flags", flags((F.col("age_months").isNull(), "age_unknown"), (unknown, "uk_unverified")))
+    return held(df, "geography", "place", "sector", "stage", "stage_no", "founder_signal", "traction_signal", "age_months", "by_city", "by_outcode", "uk", "reject_reason", "gate_flags")
 
 
 def qualifiers() -> Column:
@@ -141,197 +152,223 @@ def discovery_edge() -> Column:
     return rounded(100 * reduce(lambda a, b: a + b, (s * F.lit(float(config.EDGE_WEIGHTS[k])) for k, s in parts.items())) / float(total), 1)
 
 
-def raw_scores(fund: str) -> dict[str, Column]:
-    """Cell of the value matrix for each attribute of one fund: null for unknown values, 0 for blank cells."""
-    cells: dict[str, dict[str, int]] = {a: {} for a in config.ATTRIBUTES}
-    for attribute, value, name, raw in config.matrix_rows():
-        if name == fund:
-            cells[attribute][value] = raw
-    return {a: F.when(F.col(a).isNotNull(), F.coalesce(lookup(F.col(a), cells[a]), F.lit(0))) for a in config.ATTRIBUTES}
-
-
-def with_fit(df: DataFrame) -> DataFrame:
-    """fits: fund, fit, coverage, raw_sum and components of every fund, as an array of structs."""
-
-    def one(fund: str) -> Column:
-        raw = raw_scores(fund)
-        weight = {a: config.IMPORTANCE[a][config.FUNDS.index(fund)] for a in config.ATTRIBUTES}
-        points = reduce(lambda a, b: a + b, (F.coalesce(raw[a] * float(weight[a]) / 4.0, F.lit(0.0)) for a in config.ATTRIBUTES))
-        known = reduce(lambda a, b: a + b, (raw[a].isNotNull().cast("int") for a in config.ATTRIBUTES))
-        parts = F.array(*(F.struct(F.lit(a).alias("key"), F.col(a).alias("value"), F.lit(weight[a]).alias("weight"), raw[a].alias("raw"), (raw[a] / 4.0).alias("sub")) for a in config.ATTRIBUTES))
-        return F.struct(
-            F.lit(fund).alias("fund"),
-            F.lit(config.FUNDS.index(fund)).alias("fund_ordinal"),
-            rounded(100 * points / float(sum(weight.values())), 1).alias("fit"),
-            rounded(known / float(len(config.ATTRIBUTES)), 2).alias("coverage"),
-            reduce(lambda a, b: a + b, (F.coalesce(raw[a], F.lit(0)) for a in config.ATTRIBUTES)).alias("raw_sum"),
-            parts.alias("components"),
-        )
+def _sql(x: object) -> str:
+    """A literal of the plan's text."""
+    return f"'{x}'" if isinstance(x, str) else f"{float(x)}D" if isinstance(x, float) else str(x)
 
-    return df.withColumn("fits", F.array(*map(one, config.FUNDS)))
 
+def cells(attribute: str) -> str:
+    """Cells of an attribute's value for all funds, in their order: null for an unknown value, zeros for a blank one."""
+    places = [config.MATRIX_FUNDS.index(f) for f in config.FUNDS]
+    pairs = ", ".join(f"'{v}', array({', '.join(str(marks[i]) for i in places)})" for v, marks in config.MATRIX[attribute].items())
+    return f"if({attribute} is null, null, coalesce(map({pairs})[{attribute}], array({', '.join('0' * len(config.FUNDS))})))"
 
-def _geo_verdict(rule: Column) -> Column:
-    """True, false or null (cannot tell) for one geography rule; the column place is geography refined by the stated city."""
-    place = F.col("place")
-    city, outcode, geography = norm_city(F.coalesce("city", F.lit(""))), F.upper(F.coalesce("outcode", F.lit(""))), F.col("geography")
-    starts = lambda prefixes: reduce(lambda a, b: a | b, (outcode.startswith(p) for p in prefixes))
-    triangle = (
-        F.when(starts(config.TRIANGLE_OUTCODES), False)
-        .when((F.coalesce(geography, F.lit("")) == "london") | city.isin(*config.TRIANGLE_CITIES), False)
-        .when((outcode != "") | (geography != "uk_wide"), True)
-        .when(F.col("by_city") != "uk_wide", True)
-    )
-    sunderland = F.when(city != "", city.isin(*config.SUNDERLAND_CITIES)).when(outcode != "", starts(config.SUNDERLAND_OUTCODES))
-    return (
-        F.when(rule == "outside_golden_triangle", triangle)
-        .when(rule == "sunderland", sunderland)
-        .when(rule == "north_england", F.when(place != "uk_wide", place.isin("north_east", "yorkshire")))
-        .when(rule == "uk_wide", uk_presence())
-        .when(rule == "uk_regions", place.isin("uk_regions", "north_east", "yorkshire", "uk_wide"))
-        .otherwise(F.when(place != "uk_wide", place == rule))
-    )
 
+def with_fit(df: DataFrame, policies: dict[str, str] | None = None, assumed: dict[str, str] | None = None) -> DataFrame:
+    """fits: fund, fit, coverage, raw_sum and components of every fund, as an array of structs.
 
-def judged(v: Callable[[str], Column]) -> tuple[Column, Column]:
-    """Reason of the first rule of a vehicle that fails (else null), and whether some rule could not be verified.
-
-    v gives the vehicle's fields: columns of a joined table or literals.
+    policies: what an unknown attribute does: ``neutral`` (no points, its weight counts), ``pessimistic`` (a known
+    zero) or ``assume`` (the value that ``assumed`` names).
     """
-    stage, hard = stage_ordinal(F.col("stage")), v("geo_rule") == "HARD"
-    geo = _geo_verdict(v("geo_value"))
-    over = lambda value, cap: F.col(value) > v(cap)
-    unknown = lambda value, cap: v(cap).isNotNull() & F.col(value).isNull()
-    needs_seis, needs_later = (F.coalesce(v(x), F.lit(False)) for x in ("requires_seis_eis", "beyond_research_stage"))
-    excluded = F.coalesce(F.col("sector").isin(*config.SEIS_EXCLUDED_SECTORS), F.lit(False))
-    schools, school = F.split(v("university_spinout_required"), ","), F.lower(F.trim(F.coalesce("spinout_university", F.lit(""))))
-    needs_spinout = v("university_spinout_required").isNotNull()
-    reason = first_reason(
-        ((stage < v("first_stage")) | (stage > v("last_stage")), "stage_range"),
-        (F.col("age_months") > v("age_cap_years") * 12, "age_cap"),
-        (hard & ~geo, "geography"),
-        (over("last_round_gbp", "round_max"), "round_max"),
-        (over("prior_total_gbp", "prior_total_max"), "prior_total_max"),
-        (F.col("uk_exec_pct") < v("uk_exec_pct_min"), "uk_exec_pct_min"),
-        (needs_seis & excluded, "seis_eis_excluded_trade"),
-        (needs_seis & ~F.col("seis_eis_qualifying"), "requires_seis_eis"),
-        (over("valuation_gbp", "valuation_max"), "valuation_max"),
-        (needs_spinout & ~F.col("is_spinout"), "university_spinout_required"),
-        (needs_spinout & (school != "") & ~F.exists(schools, lambda s: school.contains(s)), "university_spinout_required"),
-        (needs_later & (F.col("stage") == "idea"), "beyond_research_stage"),
-    )
-    unverified = any_of(
-        F.col("stage").isNull(),
-        v("age_cap_years").isNotNull() & F.col("age_months").isNull(),
-        hard & geo.isNull(),
-        unknown("last_round_gbp", "round_max"),
-        unknown("prior_total_gbp", "prior_total_max"),
-        unknown("uk_exec_pct", "uk_exec_pct_min"),
-        needs_seis & ~excluded & F.col("seis_eis_qualifying").isNull(),
-        unknown("valuation_gbp", "valuation_max"),
-        needs_spinout & (F.col("is_spinout").isNull() | (F.col("is_spinout") & (school == ""))),
-        needs_later & F.col("stage").isNull(),
-    )
-    return reason, F.coalesce(unverified, F.lit(False))
+    policies, assumed = policies or {}, assumed or {}
+    places = [config.MATRIX_FUNDS.index(f) for f in config.FUNDS]
+    raws, subs, evidence = {}, {}, {}
+    df = df.withColumns({f"_{a}": F.expr(cells(a)) for a in config.ATTRIBUTES})
+    labels = ", ".join(f"'{v}', '{config.label(v)}'" for marks in config.MATRIX.values() for v in marks)
+    for a in config.ATTRIBUTES:
+        policy = policies.get(a, "neutral")
+        guess = [config.MATRIX[a].get(assumed.get(a, ""), (0, 0, 0, 0))[i] for i in places] if policy == "assume" and a in assumed else None
+        title = f"initcap(replace({a}, '_', ' '))"
+        known = f"coalesce(map({labels})[{a}], {title})"
+        without = "'unknown (counted against)'" if policy == "pessimistic" else f"'assumed {config.label(assumed[a])}'" if guess else "'unknown'"
+        evidence[a] = f"if({a} is null, {without}, {known})"
+        for i, fund in enumerate(config.FUNDS):
+            raw = f"_{a}[{i}]" if not guess else f"coalesce(_{a}[{i}], {guess[i]})"
+            raws[a, fund] = raw
+            subs[a, fund] = f"coalesce({raw} / 4D, 0D)" if policy == "pessimistic" else f"{raw} / 4D"
+
+    def one(i: int, fund: str) -> str:
+        weight = {a: config.IMPORTANCE[a][i] for a in config.ATTRIBUTES}
+        points = " + ".join(f"coalesce({subs[a, fund]} * {weight[a]}D, 0D)" for a in config.ATTRIBUTES)
+        known = " + ".join(f"int({subs[a, fund]} is not null)" for a in config.ATTRIBUTES)
+        parts = ", ".join(f"struct('{a}' as key, {a} as value, {weight[a]} as weight, {raws[a, fund]} as raw, {subs[a, fund]} as sub, _e_{a} as evidence)" for a in config.ATTRIBUTES)
+        return (
+            f"struct('{fund}' as fund, {i} as fund_ordinal, bround(100 * ({points}) / {sum(weight.values())}D, 1) as fit, "
+            f"bround(({known}) / {len(config.ATTRIBUTES)}D, 2) as coverage, {' + '.join(f'coalesce({raws[a, fund]}, 0)' for a in config.ATTRIBUTES)} as raw_sum, array({parts}) as components)"
+        )
 
+    df = df.withColumns({f"_e_{a}": F.expr(evidence[a]) for a in config.ATTRIBUTES})
+    made = df.withColumn("fits", F.expr(f"array({', '.join(one(i, f) for i, f in enumerate(config.FUNDS))})"))
+    return held(made.drop(*(f"_{a}" for a in config.ATTRIBUTES), *(f"_e_{a}" for a in config.ATTRIBUTES)), "fits")
 
-def vehicle_gates(df: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Every entity with every active vehicle: vehicle_reason (null if it passes) and unverified.
 
-    The vehicle table is fixed by the configuration, so it is broadcast and the entities stay where they are.
-    """
-    both = df.crossJoin(F.broadcast(vehicles.where("active")))
-    reason, unverified = judged(F.col)
-    return both.withColumns({"vehicle_reason": reason, "unverified": unverified})
+def _geo_verdict(rule: str) -> str:
+    """True, false or null (cannot tell) for one geography rule; the column place is geography refined by the stated city."""
+    words = lambda xs: ", ".join(map(_sql, xs))
+    starts = lambda prefixes: "(" + " or ".join(f"startswith(upper(outcode), '{p}')" for p in prefixes) + ")"
+    if rule == "outside_golden_triangle":
+        inside = f"coalesce({starts(config.TRIANGLE_OUTCODES)}, false) or coalesce(geography = 'london', false) or coalesce(lower(trim(city)) in ({words(config.TRIANGLE_CITIES)}), false)"
+        return f"case when {inside} then false when outcode <> '' or geography <> 'uk_wide' or by_city <> 'uk_wide' then true end"
+    if rule == "sunderland":
+        return f"case when trim(city) <> '' then lower(trim(city)) in ({words(config.SUNDERLAND_CITIES)}) when outcode <> '' then {starts(config.SUNDERLAND_OUTCODES)} end"
+    if rule == "north_england":
+        return f"case when place <> 'uk_wide' then place in ({words(config.NORTH_ENGLAND)}) end"
+    if rule == "uk_wide":
+        return "uk"
+    if rule == "uk_regions":
+        return "place in ('uk_regions', 'north_east', 'yorkshire', 'uk_wide')"
+    return f"case when place <> 'uk_wide' then place = '{rule}' end"
+
+
+def judged(v: dict) -> tuple[str, str]:
+    """Reason of the first rule of a vehicle that fails (else null), and whether some rule could not be verified."""
+    rules, stage = v["rules"], config.STAGES.index
+    reasons = [(f"stage_no < {stage(v['first_stage'])} or stage_no > {stage(v['last_stage'])}", "stage_range")]
+    unknown = ["stage_no is null"]
+
+    def rule(fails: str, name: str, input_is_unknown: str) -> None:
+        reasons.append((fails, name))
+        unknown.append(input_is_unknown)
+
+    if v["age_cap_years"]:
+        rule(f"age_months > {v['age_cap_years'] * 12}", "max_age_years", "age_months is null")
+    if v["geo_rule"] == "HARD":
+        geo = "(" + " or ".join(f"geo_{g}" for g in v["geo_values"]) + ")"
+        rule(f"not {geo}", f"geography:{','.join(v['geo_values'])}", f"{geo} is null")
+    for name, column in (("round_max", "last_round_gbp"), ("prior_total_max", "prior_total_gbp")):
+        if name in rules:
+            rule(f"{column} > {rules[name]}", name, f"{column} is null")
+    if "uk_exec_pct_min" in rules:
+        rule(f"uk_exec_pct < {rules['uk_exec_pct_min']}", "uk_exec_pct_min", "uk_exec_pct is null")
+    if rules.get("requires_seis_eis"):
+        excluded = f"coalesce(sector in ({', '.join(map(_sql, config.SEIS_EXCLUDED_SECTORS))}), false)"
+        reasons.append((excluded, "seis_eis_excluded_trade"))
+        rule("not seis_eis_qualifying", "requires_seis_eis", f"(not {excluded} and seis_eis_qualifying is null)")
+    if "valuation_max" in rules:
+        rule(f"valuation_gbp > {rules['valuation_max']}", "valuation_max", "valuation_gbp is null")
+    if "university_spinout_required" in rules:
+        school = "lower(trim(coalesce(spinout_university, '')))"
+        listed = " or ".join(f"contains({school}, '{x}')" for x in rules["university_spinout_required"])
+        reasons.append(("not is_spinout", "university_spinout_required"))
+        rule(f"{school} <> '' and not ({listed})", "university_spinout_required", f"(is_spinout is null or (is_spinout and {school} = ''))")
+    if rules.get("beyond_research_stage"):
+        rule("stage = 'idea'", "beyond_research_stage", "stage is null")
+    reason = "case " + " ".join(f"when {c} then '{n}'" for c, n in reasons) + " end"
+    return reason, f"coalesce({' or '.join(unknown)}, false)"
+
+
+def with_verdicts(df: DataFrame) -> DataFrame:
+    """Append _reason_<i> and _open_<i> (could not be verified) of every active vehicle."""
+    active = config.active_vehicles()
+    rules = dict.fromkeys(g for v in active for g in v["geo_values"])
+    df = df.withColumns({f"geo_{g}": F.expr(_geo_verdict(g)) for g in rules})
+    made = {}
+    for i, v in enumerate(active):
+        reason, unverified = judged(v)
+        made |= {f"_reason_{i}": F.expr(reason), f"_open_{i}": F.expr(unverified)}
+    return held(df.withColumns(made).drop(*(f"geo_{g}" for g in rules)), *made)
+
+
+def vehicle_gates(df: DataFrame) -> DataFrame:
+    """Every entity with every active vehicle: fund, vehicle, vehicle_reason (null if it passes) and unverified."""
+    active = config.active_vehicles()
+    rows = ", ".join(f"struct('{v['fund']}' as fund, '{v['vehicle']}' as vehicle, _reason_{i} as vehicle_reason, _open_{i} as unverified)" for i, v in enumerate(active))
+    hidden = [f"{x}_{i}" for i in range(len(active)) for x in ("_reason", "_open")]
+    return with_verdicts(df).select("*", F.expr(f"inline(array({rows}))")).drop(*hidden)
 
 
 def with_routes(df: DataFrame) -> DataFrame:
-    """Append ``routes``: per fund the first eligible vehicle, and whether any eligible one is unverified.
-
-    The vehicles are a constant array, so each entity is judged inside its own row and nothing is joined or shuffled.
-    """
-    names = [x.split()[0] for x in config.VEHICLE_SCHEMA.split(", ")]
-    active = [dict(zip(names, row)) for row in config.vehicle_rows() if row[3]]
-    df = df.withColumn("_vehicles", F.from_json(F.lit(json.dumps(active)), f"array<struct<{', '.join(x.replace(' ', ':') for x in config.VEHICLE_SCHEMA.split(', '))}>>"))
-
-    def verdict(v: Column) -> Column:
-        reason, unverified = judged(lambda c: v[c])
-        return F.struct(v["fund"].alias("fund"), v["vehicle"].alias("vehicle"), reason.alias("reason"), unverified.alias("unverified"))
-
-    df = df.withColumn("_eligible", F.filter(F.transform("_vehicles", verdict), lambda x: x["reason"].isNull())).drop("_vehicles")
-    funds = F.array(*map(F.lit, config.FUNDS))
-    df = df.withColumn("_eligible", F.transform(funds, lambda f: F.filter("_eligible", lambda x: x["fund"] == f)))
-    route = lambda xs: F.struct(F.get(xs, F.lit(0))["vehicle"].alias("vehicle"), F.exists(xs, lambda x: x["unverified"]).alias("unverified"))
-    return df.withColumn("routes", F.transform("_eligible", route)).drop("_eligible")
-
-
-def tier(fit: Column, edge: Column, coverage: Column, flagged: Column) -> Column:
-    watch = F.when(fit >= config.WATCHLIST_FIT, "watchlist").otherwise("reject")
-    return F.when(flagged, watch).when((fit >= config.SHORTLIST_FIT) & (edge >= config.SHORTLIST_EDGE) & (coverage >= config.SHORTLIST_COVERAGE), "shortlist").otherwise(watch)
-
-
-def tier_reason(fit: Column, edge: Column, coverage: Column, flagged: Column) -> Column:
-    return first_reason(
-        (flagged & (fit >= config.WATCHLIST_FIT), "unverified"),
-        ((fit >= config.SHORTLIST_FIT) & (edge >= config.SHORTLIST_EDGE) & (coverage >= config.SHORTLIST_COVERAGE) & ~flagged, "strong"),
-        ((fit >= config.SHORTLIST_FIT) & (coverage < config.SHORTLIST_COVERAGE), "too little known"),
-        ((fit >= config.SHORTLIST_FIT) & (edge < config.SHORTLIST_EDGE), "likely seen"),
-        (fit >= config.WATCHLIST_FIT, "middling fit"),
-        (fit < config.WATCHLIST_FIT, "below threshold"),
+    """Append ``routes``: per fund the first eligible vehicle, and whether any eligible one is unverified."""
+    active = config.active_vehicles()
+
+    def route(fund: str) -> str:
+        own = [(i, v) for i, v in enumerate(active) if v["fund"] == fund]
+        first = "case " + " ".join(f"when _reason_{i} is null then '{v['vehicle']}'" for i, v in own) + " end"
+        return f"struct({first} as vehicle, {' or '.join(f'(_reason_{i} is null and _open_{i})' for i, _ in own)} as unverified)"
+
+    hidden = [f"{x}_{i}" for i in range(len(active)) for x in ("_reason", "_open")]
+    return held(with_verdicts(df).withColumn("routes", F.expr(f"array({', '.join(map(route, config.FUNDS))})")).drop(*hidden), "routes")
+
+
+def _tiered(strong: str, watch: str) -> tuple[str, str]:
+    """Tier and its reason, from fit, edge, coverage and flags; texts are fixed."""
+    thin, seen = f"fit >= {config.SHORTLIST_FIT} and coverage < {config.SHORTLIST_COVERAGE}", f"fit >= {config.SHORTLIST_FIT} and edge < {config.SHORTLIST_EDGE}"
+    tier = f"case when size(flags) = 0 and {strong} then 'shortlist' when {watch} then 'watchlist' else 'reject' end"
+    verify = "concat(replace(flags[0], '_', ' '), ' — verify before sending')"
+    reason = (
+        f"case when size(flags) > 0 and {watch} then {verify} when size(flags) > 0 then 'below fit threshold' when {strong} then '' "
+        f"when {thin} then 'strong fit but too little known — needs 10 minutes of research' when {seen} then 'good fit but likely already on their radar' when {watch} then '' else 'below fit threshold' end"
     )
+    return tier, reason
 
 
 def rescore(companies: DataFrame, as_of: Column) -> DataFrame:
     """One row per entity and fund with fit, edge, priority, tier, vehicle, flags, reason and components.
 
-    A registry find without a proof yields no row unless a freshness gate has rejected it already.
+    An entity that a freshness gate rejects has a row per fund with nothing in it but the reason and its flags; one
+    without an eligible vehicle keeps its fit.  A registry find without a proof yields no row.
     """
     base = with_routes(with_fit(with_freshness(with_derived(companies, as_of)))).withColumns({"edge_all": discovery_edge(), "admitted": admitted()})
-    base = base.where(F.col("reject_reason").isNotNull() | F.col("admitted"))
-    rejected = F.col("reject_reason").isNotNull()
     kept = [c for c in base.columns if c not in ("fits", "routes")]
-    both = base.select(*kept, F.explode(F.arrays_zip("fits", "routes")).alias("z")).select(*kept, "z.fits.*", F.when(~rejected, F.col("z.routes.vehicle")).alias("vehicle"), F.col("z.routes.unverified").alias("unverified"))
-    none = F.col("vehicle").isNull() & ~rejected
-    flagged = F.array_sort(F.array_distinct(F.when(F.coalesce("unverified", F.lit(False)), F.array_append("gate_flags", F.lit("gate_unverified"))).otherwise(F.col("gate_flags"))))
-    out = both.withColumn("flags", F.when(rejected | none, F.array_sort("gate_flags")).otherwise(flagged))
-    edge = F.when(rejected | none, 0.0).otherwise(F.col("edge_all"))
-    out = out.withColumns({"reject_reason": F.when(none, "no_eligible_vehicle").otherwise(F.col("reject_reason")), "fit": F.when(rejected, 0.0).otherwise(F.col("fit")), "edge": edge})
-    args = (F.col("fit"), F.col("edge"), F.col("coverage"), F.size("flags") > 0)
-    lost = F.col("reject_reason").isNotNull()
-    return out.withColumns({"tier": F.when(lost, "reject").otherwise(tier(*args)), "tier_reason": F.when(~lost, tier_reason(*args))}).withColumn("priority", F.when(lost, 0.0).otherwise(rounded(config.WEIGHT_FIT * F.col("fit") + config.WEIGHT_EDGE * F.col("edge"), 1))).drop("edge_all", "unverified", "admitted")
+    both = base.select(*kept, F.explode(F.when(F.expr("reject_reason is not null or admitted"), F.arrays_zip("fits", "routes"))).alias("z")).selectExpr(*kept, "z.fits.*", "if(reject_reason is null, z.routes.vehicle, null) as vehicle", "z.routes.unverified as unverified")
+    nothing = {"fit": "0D", "coverage": "0D", "raw_sum": "0", "components": "cast(array() as array<struct<key:string,value:string,weight:int,raw:int,sub:double,evidence:string>>)"}
+    both = both.withColumns({c: F.expr(f"if(reject_reason is null, {c}, {empty})") for c, empty in nothing.items()} | {"gate": F.col("reject_reason")})
+    lost = "reject_reason is not null"
+    out = both.withColumn("reject_reason", F.expr("if(reject_reason is null and vehicle is null, 'no_eligible_vehicle', reject_reason)"))
+    out = out.withColumns({"flags": F.expr(f"array_sort(if(not ({lost}) and coalesce(unverified, false), array_append(gate_flags, 'gate_unverified'), gate_flags))"), "edge": F.expr(f"if({lost}, 0D, edge_all)")})
+    strong = f"fit >= {config.SHORTLIST_FIT} and edge >= {config.SHORTLIST_EDGE} and coverage >= {config.SHORTLIST_COVERAGE}"
+    tier, reason = _tiered(strong, f"fit >= {config.WATCHLIST_FIT}")
+    priority = f"bround({config.WEIGHT_FIT}D * fit + {config.WEIGHT_EDGE}D * edge, 1)"
+    made = {"tier": f"if({lost}, 'reject', {tier})", "tier_reason": f"if({lost}, null, {reason})", "priority": f"if({lost}, 0D, {priority})"}
+    out = out.withColumns({c: F.expr(x) for c, x in made.items()}).drop("edge_all", "unverified", "admitted")
+    return held(out, *(c for c in out.columns if c not in kept or c in ("reject_reason", "vehicle")))
 
 
 def components(scores: DataFrame) -> DataFrame:
-    """One row per score and attribute."""
+    """One row per score and attribute; a score that a freshness gate emptied has none."""
     return scores.select("company_id", "fund", F.explode("components").alias("c")).select("company_id", "fund", "c.*")
 
 
 def explanation(scores: DataFrame) -> DataFrame:
-    """Append ``explanation``: what matches, what is against, what is unknown, the route and the caveats."""
+    """Append ``explanation``: how it was found, what matches, what is against, what is unknown, the route and the caveats."""
     parts = F.col("components")
-    pct = lambda c: 100.0 * c["weight"] * c["sub"] / F.aggregate(parts, F.lit(0), lambda a, x: a + x["weight"])
-    order = lambda key: lambda a, b: F.when(key(a) > key(b), -1).when(key(a) < key(b), 1).when(a["key"] < b["key"], -1).otherwise(1)
+    pts = lambda c: 100.0 * c["weight"] * c["sub"] / F.aggregate(parts, F.lit(0), lambda a, x: a + x["weight"])
+    place = lambda c: F.array_position(F.transform(parts, lambda x: x["key"]), c["key"])  # noqa: E731  ties keep their order
+    order = lambda key: lambda a, b: F.when(key(a) > key(b), -1).when(key(a) < key(b), 1).when(place(a) < place(b), -1).otherwise(1)
     top = lambda keep, key, n: F.slice(F.array_sort(F.filter(parts, keep), order(key)), 1, n)
-    label = lambda c: F.regexp_replace(c["key"], "_", " ")
-    positive = top(lambda c: c["sub"] >= 0.6, pct, 3)
-    negative = top(lambda c: c["sub"] <= 0.34, lambda c: c["weight"] * (1 - c["sub"]), 2)
-    unknown = top(lambda c: c["sub"].isNull(), lambda c: c["weight"], 2)
-    clause = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(head), F.array_join(items, "; ")))
-    text = F.concat_ws(
+    name = lambda c: F.replace(c["key"], F.lit("_"), F.lit(" "))
+    whole = lambda x: F.format_string("%d", F.bround(x, 0).cast("long"))
+    scores = scores.withColumns({"_p": top(lambda c: c["sub"] >= config.POSITIVE_AT, pts, 3), "_n": top(lambda c: c["sub"] <= config.NEGATIVE_AT, lambda c: c["weight"] * (1 - c["sub"]), 2), "_u": top(lambda c: c["sub"].isNull(), lambda c: c["weight"], 2)})
+    scores = held(scores, "_p", "_n", "_u")
+    clause = lambda head, items, cut="; ", tail=F.lit(""): F.when(F.size(items) > 0, F.concat(F.lit(head), F.array_join(items, cut), tail))
+    total = F.aggregate("_p", F.lit(0.0), lambda a, c: a + pts(c))
+    routes = F.expr("map(" + ", ".join(f"'{v['vehicle']}', '{v['name']} ({config.cheque_label(*v['cheque'])})'" for v in config.VEHICLES) + ")")
+    found = None
+    if "signals" in scores.columns:
+        said = F.transform(F.slice("signals", 1, 2), lambda s: F.concat(s["headline"], F.coalesce(F.concat(F.lit(" ("), s["occurred_on"].cast("string"), F.lit(")")), F.lit(""))))
+        found = clause("Found via ", said)
+    body = F.concat_ws(
         ". ",
-        clause("Matches on ", F.transform(positive, lambda c: F.concat(label(c), F.lit(" ("), c["value"], F.lit(")")))),
-        clause("Against: ", F.transform(negative, lambda c: F.concat(label(c), F.lit(" ("), c["value"], F.lit(")")))),
-        clause("Unknown: ", F.transform(unknown, label)),
-        F.when(F.col("vehicle").isNotNull(), F.concat(F.lit("Route to "), F.col("vehicle"))),
-        F.when(F.col("edge") >= 70, "Low visibility"),
-        F.when(F.col("coverage") < 0.5, "Few criteria could be assessed"),
-        F.when(F.col("reject_reason").isNotNull(), F.concat(F.lit("Rejected: "), F.regexp_replace("reject_reason", "_", " "))),
-        F.col("tier_reason"),
-        F.when(F.size("flags") > 0, F.concat(F.lit("Check: "), F.array_join(F.transform("flags", lambda f: F.regexp_replace(f, "_", " ")), ", "))),
+        *([found] if found is not None else []),
+        clause("Matches on ", F.transform("_p", lambda c: F.concat(name(c), F.lit(" ("), c["evidence"], F.lit(", +"), whole(pts(c)), F.lit("pts)"))), "; ", F.concat(F.lit(" — "), whole(total), F.lit(" of "), whole(F.col("fit")), F.lit(" total"))),
+        clause("Against: ", F.transform("_n", lambda c: F.concat(name(c), F.lit(" ("), c["evidence"], F.lit(")")))),
+        clause("Unknown: ", F.transform("_u", name), ", "),
+        F.concat(F.lit("Route to "), routes[F.col("vehicle")]),
+        F.when(F.col("edge") >= config.LOW_VISIBILITY_EDGE, "Low visibility — no coverage found in our tracked sources"),
+        F.when(F.col("coverage") < config.COVERAGE_NOTE_BELOW, F.concat(F.lit("Only "), whole(100 * F.col("coverage")), F.lit("% of criteria could be assessed"))),
+        F.nullif("tier_reason", F.lit("")),
     )
-    return scores.withColumn("explanation", text)
-
-
-def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key by the given order (whose last column must be unique)."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    scores = held(scores.withColumn("_body", body), "_body")
+    unsaid = F.filter(F.transform("flags", lambda f: F.replace(f, F.lit("_"), F.lit(" "))), lambda f: ~F.contains(F.lower("_body"), f))
+    text = F.concat(F.concat_ws(". ", "_body", F.when(F.size(unsaid) > 0, F.concat(F.lit("⚠ "), F.array_join(unsaid, ", ")))), F.lit("."))
+    age = F.bround("age_months", 0).cast("long")
+    detail = (
+        F.when(F.col("gate") == "max_company_age_months", F.concat(F.format_string("%d month", age), F.when(age == 1, "").otherwise("s"), F.lit(" old")))
+        .when(F.col("gate") == "max_total_funding_gbp", F.concat(F.lit("£"), F.format_number(F.bround("total_funding_gbp", 0), 0), F.lit(" raised")))
+        .when(F.col("gate") == "max_stage", F.concat(F.lit("stage "), F.col("stage")))
+        .when(F.col("gate") == "already_on_vc_portfolio", "found on a tracked VC portfolio page")
+        .otherwise("not a UK company")
+    )
+    out = F.when(F.col("gate").isNotNull(), F.concat(F.lit("Rejected: "), "gate", F.lit(" ("), detail, F.lit(").")))
+    out = out.when(F.col("vehicle").isNull(), "Rejected: no eligible vehicle — every hard rule failed.").otherwise(text)
+    return scores.withColumn("explanation", out).drop("_p", "_n", "_u", "_body")

@@ -23,9 +23,52 @@ def company(spark, **known):
 
 
 def test_worked_example(spark):
-    df = company(spark, sector="climate_tech", announced_stage="seed", hq_region="north_east", is_spinout=True, signal_kinds=["grant_award"], total_funding_gbp=450_000.0, press_count=2, incorporated_on=dt.date(2024, 3, 11), country="GB", route="news")
-    rows = {r.fund: r for r in scoring.rescore(df, F.lit("2026-08-12").cast("date")).collect()}
-    assert (rows["northstar"].fit, rows["northstar"].raw_sum, rows["northstar"].coverage) == (92.2, 18, 1.0)
+    df = company(spark, sector="climate_tech", announced_stage="seed", hq_region="north_east", is_spinout=True, spinout_university="Durham University", signal_kinds=["grant_award"], total_funding_gbp=450_000.0, press_count=2, incorporated_on=dt.date(2024, 3, 11), country="GB", route="spinout")
+    rows = {r.fund: r for r in scoring.explanation(scoring.rescore(df, F.lit("2026-08-12").cast("date"))).collect()}
+    n = rows["northstar"]
+    assert (n.fit, n.raw_sum, n.coverage, n.edge, n.priority, n.vehicle) == (92.2, 18, 1.0, 55.5, 77.5, "spinout_inspire")
+    assert (rows["outward"].fit, rows["outward"].tier) == (15.0, "reject")
+    assert (rows["dsw"].fit, rows["dsw"].vehicle, rows["dsw"].tier) == (54.7, "eis_service", "watchlist")
+    assert rows["anticus"].reject_reason == "no_eligible_vehicle" and rows["anticus"].fit > 0 and len(rows["anticus"].components) == 5
+    assert n.explanation.startswith("Matches on sector (Climate Tech, +25pts); geography (North East, +25pts); founder signal (research/spinout, +19pts) — 69 of 92 total.")
+    assert "Route to North East Spinout Inspire Fund (£200k–£750k)" in n.explanation
+
+
+@pytest.mark.parametrize(
+    "known, reason",
+    [({"incorporated_on": dt.date(2026, 1, 1) - dt.timedelta(days=int(m * 30.4375))}, r) for m, r in [(1, None), (12, None), (36, None), (36.1, "max_company_age_months"), (60, "max_company_age_months")]]
+    + [({}, None)]
+    + [({"total_funding_gbp": x}, r) for x, r in [(0.0, None), (8e5, None), (3e6, None), (3_000_001.0, "max_total_funding_gbp"), (1.2e7, "max_total_funding_gbp")]]
+    + [({"announced_stage": x}, r) for x, r in [("pre_seed", None), ("series_a", None), ("series_b_plus", "max_stage"), ("growth", "max_stage")]]
+    + [({"on_portfolio": x}, r) for x, r in [(False, None), (True, "already_on_vc_portfolio")]]
+    + [({"country": x}, r) for x, r in [("GB", None), ("US", "min_uk_presence")]],
+)
+def test_freshness_gates(spark, known, reason):
+    df = company(spark, **{"country": "GB", "hq_region": "north_east", "announced_stage": "pre_seed"} | known)
+    assert scoring.with_freshness(scoring.with_derived(df, F.lit("2026-01-01").cast("date"))).first().reject_reason == reason
+
+
+def test_rejected_rows_hold_nothing_but_their_reason(spark):
+    df = company(spark, sector="fintech", country="US", route="news")
+    rows = scoring.explanation(scoring.rescore(df, F.lit("2026-01-01").cast("date"))).collect()
+    assert {r.fund for r in rows} == set(config.FUNDS)
+    for r in rows:
+        assert (r.fit, r.coverage, r.raw_sum, r.components, r.edge, r.priority, r.tier) == (0, 0, 0, [], 0, 0, "reject")
+        assert r.flags == ["age_unknown"] and r.explanation == "Rejected: min_uk_presence (not a UK company)."
+
+
+def test_each_caveat_is_stated_once(spark):
+    df = company(spark, sector="fintech", announced_stage="seed", country="GB", hq_region="london", route="news")
+    text = next(r.explanation for r in scoring.explanation(scoring.rescore(df, F.lit("2026-01-01").cast("date"))).collect() if r.fund == "outward")
+    assert text.count("age unknown") == 1 and text.count("⚠") == 1 and "gate unverified" in text
+
+
+@pytest.mark.parametrize("policy, fit", [("neutral", 0.0), ("pessimistic", 0.0), ("assume", 20.0)])
+def test_unknown_value_policies(spark, policy, fit):
+    df = scoring.with_freshness(scoring.with_derived(company(spark, country="GB", hq_region="us"), F.lit("2026-01-01").cast("date")))
+    row = scoring.with_fit(df, {"stage": policy}, {"stage": "seed"}).select(F.explode("fits").alias("f")).where("f.fund = 'outward'").select("f.*").first()
+    assert row.fit == round({"assume": 100 * 3 * 3 / 4 / 15}.get(policy, 0.0), 1)
+    assert row.coverage == (0.2 if policy == "neutral" else 0.4)
 
 
 def test_unknown_is_not_zero(spark):
