@@ -30,8 +30,10 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Pixels of an image row, and rows of a page at most: a page holds up to 288 KiB.
 ROW, PAGE_ROWS, STRIP_ROWS = 576, 512, 64
 PAD = 255
+#: Bytes of texts or files that a task turns into the other at a time.
+BLOCK_BYTES = 1_000_000
 #: Width and height of a tile; every layout is a compression, a predictor and strips or tiles.
-TILE = (64, 16)
+TILE = (192, 16)
 LAYOUTS = tuple((c, p, t) for c in (LZW, PACKBITS, DEFLATE) for p in (1, 2) for t in (None, TILE))
 
 PAGE = T.StructType(
@@ -52,27 +54,21 @@ PAGE = T.StructType(
 # --- compressions ---------------------------------------------------------------------------------
 
 
-def packbits(data: bytes) -> bytes:
-    """Runs of three or more equal bytes become (257 - length, byte), the rest literal stretches."""
-    a = np.frombuffer(data, np.uint8)
-    cuts = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]))
+def packbits(block: np.ndarray) -> bytes:
+    """Row by row: runs of three or more equal bytes become (257 - length, byte), the rest literal stretches."""
+    a, width = block.ravel(), block.shape[1]
+    rows = np.arange(0, len(a), width)
+    cuts = np.union1d(np.flatnonzero(a[1:] != a[:-1]) + 1, np.append(rows, len(a)))
     long = np.flatnonzero(np.diff(cuts) >= 3)
-    out, at = bytearray(), 0
-
-    def literal(stop: int) -> None:
-        for i in range(at, stop, 128):
-            part = data[i : min(i + 128, stop)]
-            out.append(len(part) - 1)
-            out.extend(part)
-
-    for start, stop in zip(cuts[long].tolist(), cuts[long + 1].tolist()):
-        literal(start)
+    begins = np.zeros(len(a) + 1, bool)
+    begins[cuts[long]] = True
+    edges = np.unique(np.concatenate((rows, cuts[long], cuts[long + 1], [len(a)])))
+    data, out = a.tobytes(), []
+    for start, stop, run in zip(edges.tolist(), edges[1:].tolist(), begins[edges].tolist()):
         for i in range(start, stop, 128):
             n = min(128, stop - i)
-            out.extend((257 - n, data[start]) if n > 1 else (0, data[start]))
-        at = stop
-    literal(len(data))
-    return bytes(out)
+            out.append(bytes((257 - n, data[i])) if run and n > 1 else bytes((n - 1,)) + data[i : i + n])
+    return b"".join(out)
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
@@ -89,80 +85,82 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+CLEAR, END, FIRST, FULL = 256, 257, 258, 4094
+
+
+def _widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear: 9 to 12, widening one code early."""
+    i = np.arange(n) + FIRST
+    return 9 + (i >= 512).astype(np.int64) + (i >= 1024) + (i >= 2048)
+
+
+_WIDTHS = _widths(FULL + 2 - FIRST)
+_STARTS = np.concatenate(([0], np.cumsum(_WIDTHS)))
+
+
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, that widen one code early; the table starts anew when full."""
-    clear, end = 256, 257
-    bits, n_bits, width = clear, 9, 9
-    table: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    prefix, codes = b"", []
-
-    def put(code: int) -> None:
-        nonlocal bits, n_bits
-        bits = bits << width | code
-        n_bits += width
-
-    nxt = 258
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
+    codes, widths, part = [CLEAR], [np.array([9])], []
+    known: dict[int, int] = {}
+    find, put, nxt = known.get, part.append, FIRST
+    code = data[0] if data else None
+    for byte in data[1:]:
+        key = code << 8 | byte
+        longer = find(key)
+        if longer is not None:
+            code = longer
             continue
-        put(table[prefix])
-        table[longer] = nxt
+        put(code)
+        known[key] = nxt
         nxt += 1
-        if nxt in (512, 1024, 2048):
-            width += 1
-        elif nxt == 4094:
-            put(clear)
-            table = {bytes((j,)): j for j in range(256)}
-            width, nxt = 9, 258
-        prefix = data[i : i + 1]
-        if n_bits > 4096:
-            keep = n_bits % 8
-            codes.append((bits >> keep).to_bytes((n_bits - keep) // 8, "big"))
-            bits, n_bits = bits & ((1 << keep) - 1), keep
-    if prefix:
-        put(table[prefix])
-        nxt += 1
-        if nxt in (512, 1024, 2048):
-            width += 1
-    put(end)
-    spare = -n_bits % 8
-    codes.append((bits << spare).to_bytes((n_bits + spare) // 8, "big"))
-    return b"".join(codes)
+        code = byte
+        if nxt == FULL:
+            widths.append(_widths(len(part) + 1))
+            codes += part
+            codes.append(CLEAR)
+            known.clear()
+            part.clear()
+            nxt = FIRST
+    if code is not None:
+        put(code)
+    widths.append(_widths(len(part) + 1))
+    codes = np.array([*codes, *part, END], np.uint32)
+    bits = np.concatenate(widths)
+    at = np.repeat(np.cumsum(bits) - 1, bits) - np.arange(bits.sum())
+    return np.packbits((np.repeat(codes, bits) >> at.astype(np.uint32) & 1).astype(np.uint8)).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
-    clear, end = 256, 257
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, before = base[:], 9, b""
-    out, held, n_held = [], 0, 0
-    for byte in data:
-        held, n_held = held << 8 | byte, n_held + 8
-        if n_held < width:
-            continue
-        n_held -= width
-        code = held >> n_held
-        held &= (1 << n_held) - 1
-        if code == clear:
-            table, width, before = base[:], 9, b""
-            continue
-        if code == end:
+    # A code's bits lie in three bytes from its first one on.
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    out, at = [], 0
+    while at + 9 <= 8 * len(data):
+        many = int(np.searchsorted(_STARTS, 8 * len(data) - at, "right")) - 1
+        bits, wide = at + _STARTS[:many], _WIDTHS[:many].astype(np.uint32)
+        byte = bits >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (bits & 7).astype(np.uint32) - wide) & ((1 << wide) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(stops[0]) if len(stops) else len(codes)
+        if n:
+            table, part = base[:], codes[:n].tolist()
+            add, before = table.append, base[part[0]]
+            out.append(before)
+            for code in part[1:]:
+                entry = table[code] if code < len(table) else before + before[:1]
+                out.append(entry)
+                add(before + entry[:1])
+                before = entry
+        if not len(stops) or codes[n] == END:
             break
-        entry = table[code] if code < len(table) else before + before[:1]
-        out.append(entry)
-        if before:
-            table.append(before + entry[:1])
-            if len(table) in (511, 1023, 2047):
-                width += 1
-        before = entry
+        at += int(_STARTS[n + 1])
     return b"".join(out)[:size]
 
 
 def compress(kind: int, block: np.ndarray) -> bytes:
-    """A strip or tile; PackBits packs each of its rows by itself."""
+    """A strip or tile."""
     if kind == PACKBITS:
-        return b"".join(packbits(row.tobytes()) for row in block)
+        return packbits(block)
     return {NONE: bytes, LZW: lzw, DEFLATE: lambda d: zlib.compress(d, 1)}[kind](block.tobytes())
 
 
@@ -292,8 +290,11 @@ def _appended(df: DataFrame, name: str, kind: T.DataType, each, source: str) ->
 
         arrow = to_arrow_type(kind)
         for batch in batches:
-            column = batch.column(source)
-            yield batch.append_column(name, pa.array((each(column[i].as_py()) for i in range(len(column))), arrow))
+            rows = max(1, BLOCK_BYTES * len(batch) // max(1, batch.column(source).nbytes))
+            for i in range(0, len(batch), rows):  # few files are held as Python objects at a time
+                part = batch.slice(i, rows)
+                column = part.column(source)
+                yield part.append_column(name, pa.array([each(column[k].as_py()) for k in range(len(column))], arrow))
 
     return df.mapInArrow(run, schema)
 
