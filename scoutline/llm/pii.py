@@ -124,8 +124,15 @@ def disclosing(held: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
     terms = theirs.select("id", "mark", F.explode(_terms(text)).alias("term"))
     pairs = held.join(terms, ["id", "mark"]).groupBy("entity", "term", "n_e").agg(F.countDistinct("id").alias("together")).where(F.col("together") >= SUPPORT)
     pairs = written(pairs, "pairs")
-    # Ids are counted by (term, id) first, so a term that is in every document is spread by the ids.
-    anywhere = known.select("id", F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.countDistinct("id").alias("n_t"))
+    # Rows with the term, less those of an id that has been counted; texts move for ids of several rows only.
+    count = F.count(F.lit(1)).alias("n")
+    anywhere = known.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(count)
+    again = written(known.groupBy("id").agg(count).where("n > 1").select("id"), "again")
+    if not again.isEmpty():
+        twice = known.join(again.hint("merge"), "id", "left_semi").select("id", F.explode(_terms(text)).alias("term"))
+        extra = twice.groupBy("term", "id").agg(count).groupBy("term").agg(F.sum(F.col("n") - 1).alias("extra"))
+        anywhere = anywhere.join(extra, "term", "left").select("term", (F.col("n") - F.coalesce("extra", F.lit(0))).alias("n"))
+    anywhere = anywhere.withColumnRenamed("n", "n_t")
     sizes = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows")).join(anywhere, "term")
     both = salted_join(pairs, written(sizes, "terms"), ["term"], "entity")
     information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
