@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,60 @@ def ranges(df: DataFrame, number: str) -> DataFrame:
     order = Window.orderBy("x", "end")
     paired = edges.withColumn("last", F.lead("x").over(order)).where("end = 0")
     return paired.select(F.col("x").alias("first"), "last", (F.col("last") - F.col("x") + 1).alias("n"))
+
+
+def leading_streak(runs: DataFrame, key: str, order: str, bad: Column) -> DataFrame:
+    """How many of the newest recorded runs in a row are bad, per key; runs that are not recorded do not count."""
+    first = F.min(F.when(~F.col("_bad"), F.col("_n")))
+    ranked = runs.withColumns({"_bad": bad, "_n": F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))})
+    return ranked.groupBy(key).agg((F.coalesce(first, F.count(F.lit(1)) + 1) - 1).cast("long").alias("streak"))
+
+
+def _mean_before(days: DataFrame, ends: DataFrame, window: int) -> DataFrame:
+    """(source, mean) of the calendar days before each source's end, without failed ones."""
+    both = days.join(ends, "source").where((F.col("status") != "failed") & (F.col("day") >= F.date_sub("_end", window)) & (F.col("day") < F.col("_end")))
+    return both.groupBy("source").agg(F.avg("items").alias("mean"))
+
+
+def health(days: DataFrame, window: int = 7) -> DataFrame:
+    """Newest run, newest success, mean of the days before the newest run, empty streak.  days: source, day, items, status."""
+    last = days.groupBy("source").agg(F.max("day").alias("last_run"), F.max_by(F.struct("items", "status"), "day").alias("l"), F.max(F.when((F.col("status") == "ok") & (F.col("items") > 0), F.col("day"))).alias("last_success"))
+    mean = _mean_before(days, last.select("source", F.col("last_run").alias("_end")), window)
+    streak = leading_streak(days, "source", "day", F.col("items") == 0)
+    both = last.join(mean, "source", "left").join(streak, "source")
+    return both.select("source", "last_run", "last_success", "l.items", "l.status", F.round(F.coalesce("mean", F.lit(0.0)), 2).alias("average_7d"), F.col("streak").alias("zero_streak"))
+
+
+def breaks(days: DataFrame, streak_days: int = 7, min_average: float = 2.0, window: int = 7) -> DataFrame:
+    """Sources that went quiet: the mean is of the days before the empty streak began, so a long silence cannot hide itself."""
+    streak = leading_streak(days, "source", "day", F.col("items") == 0)
+    last = days.groupBy("source").agg(F.max("day").alias("_last"), F.max_by(F.struct("items", "status"), "day").alias("l")).join(streak, "source")
+    ends = last.select("source", F.expr("date_sub(_last, int(greatest(streak - 1, 0)))").alias("_end"))
+    both = last.join(_mean_before(days, ends, window), "source", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    empty = F.col("l.items") == 0
+    warning, alert = empty & (F.col("l.status") != "failed") & (F.col("mean") >= min_average), empty & (F.col("streak") >= streak_days) & (F.col("mean") > min_average)
+    return both.select("source", "streak", F.round("mean", 6).alias("average"), warning.alias("warning"), alert.alias("alert"))
+
+
+def running(df: DataFrame, keys: list[str], order: str, cost: str, blocks: int = 256) -> DataFrame:
+    """Append ``spent``: the running cost within each key, over blocks of the order and inside them.
+
+    A key may hold a large share of all rows: no task gets more of it than a block.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
+    cut = df.withColumn("_block", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    sums = cut.groupBy(*keys, "_block").agg(F.sum(cost).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("_inside", F.sum(cost).over(inside)).join(sums, [*keys, "_block"]).withColumn("spent", F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")
+
+
+def budgeted(work: DataFrame, key: str, step: str, order: str, cost: str, budget: int) -> DataFrame:
+    """Work that three passes can pay for: steps 0 and 1 a third of the budget each, step 2 what they left."""
+    spent = running(work, [key, step], order, cost)
+    early = spent.where((F.col(step) < 2) & (F.col("spent") <= budget // 3))
+    used = early.groupBy(key).agg(F.sum(cost).alias("_used"))
+    late = spent.where(F.col(step) == 2).join(used, key, "left").where(F.col("spent") <= budget - F.coalesce("_used", F.lit(0)))
+    return early.select(key, step, order, "spent").unionByName(late.select(key, step, order, "spent"))

@@ -41,3 +41,42 @@ def threshold_sweep(scores: DataFrame, labels: DataFrame) -> DataFrame:
     swept = both.groupBy("threshold").agg(total("good", at), total("bad", at), F.coalesce(F.sum(F.when(~at, F.col("good"))), F.lit(0)).alias("fn"))
     share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(a) + F.col(b)), 6)
     return swept.select("threshold", "tp", "fp", "fn", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
+
+
+def threshold_metrics(scores: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """Counts, precision, recall and F1 at the thresholds where the shortlist changes.
+
+    scores: id, fit; labels: id, good.  Whole thresholds from 0 to 100 are the only ones, so sums by floor are at most 101
+    rows, and running sums over them give every count; above ``limit`` thresholds an even sample with both ends is kept.
+    """
+    floor = F.greatest(F.lit(0), F.least(F.lit(100), F.floor("fit"))).cast("int").alias("threshold")
+    per = scores.join(labels, "id", "left").groupBy(floor).agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"), F.count_if(F.col("fit") < 0).alias("below"), F.count_if((F.col("fit") < 0) & F.col("good")).alias("good_below"), F.count_if((F.col("fit") < 0) & ~F.col("good")).alias("bad_below"))
+    # Fits below 0 are at threshold 0 but reach it not.
+    from_here = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.orderBy("threshold")
+    total = Window.partitionBy()
+    swept = per.select("threshold", (F.sum(F.col("n") - F.col("below")).over(from_here)).alias("would_shortlist"), F.sum(F.col("good") - F.col("good_below")).over(from_here).alias("tp"), F.sum(F.col("bad") - F.col("bad_below")).over(from_here).alias("fp"), F.sum("good").over(total).alias("all_good"), (F.row_number().over(every) - 1).alias("i"), F.count(F.lit(1)).over(total).alias("points"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda x: F.bround(x * (F.col("points") - 1) / F.lit(limit - 1.0), 0).cast("int"))
+    swept = swept.where((F.col("points") <= limit) | F.array_contains(even, F.col("i"))).withColumn("fn", F.col("all_good") - F.col("tp"))
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    tp = F.col("tp")
+    return swept.select("threshold", "would_shortlist", "tp", "fp", "fn", share(tp, tp + F.col("fp")).alias("precision"), share(tp, tp + F.col("fn")).alias("recall"), share(2 * tp, 2 * tp + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def weight_sweep(fits: DataFrame, id_col: str, attributes: tuple[str, ...], weights: tuple[int, ...], least: float) -> DataFrame:
+    """How many entities reach a fit when one attribute's weight is another; fits: id, components (key, weight, sub).
+
+    All variants are columns of one aggregate, so the entities are read once and not multiplied.
+    """
+    parts = F.col("components")
+
+    def above(a: str, w: int) -> Column:
+        weight = lambda x: F.when(x["key"] == a, F.lit(w)).otherwise(x["weight"])
+        points = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["sub"], F.lit(0.0)) * weight(x))
+        whole = F.aggregate(parts, F.lit(0), lambda acc, x: acc + weight(x))
+        return F.count_if(F.bround(100 * points / whole, 1) >= least)
+
+    variants = [(a, w) for a in attributes for w in weights]
+    row = fits.agg(*(above(a, w).alias(f"{a}:{w}") for a, w in variants))
+    long = row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.lit(w).alias("weight"), F.col(f"`{a}:{w}`").alias("above")) for a, w in variants))).alias("x"))
+    return long.select("x.*")

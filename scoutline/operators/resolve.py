@@ -1,28 +1,38 @@
-"""Entity resolution: token blocking and the match ladder."""
+"""Entity resolution: blocking, the match ladder, the best match."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutline.functions.identity import fuzzy_score, norm_key
+from scoutline.functions import identity as ident
+from scoutline.functions.frames import held
 
-#: Ladder thresholds (fixed values).
-MERGE, REVIEW = 92, 84
+#: Ladder thresholds (fixed values): fuzzy scores that merge and that go to review, names that are short, their Jaro-Winkler, cluster size.
+MERGE, REVIEW, SHORT, SHORT_JARO, MAX_CLUSTER = 92, 84, 12, 0.90, 3
 
 
-def block(names: DataFrame, keys: tuple[str, ...] = (), part: int = 200) -> DataFrame:
+def keyed(mentions: DataFrame) -> DataFrame:
+    """id, name, norm, norm_key, tokens, number, domain, country of mentions (id, name, number, domain, country)."""
+    raw = held(mentions.select("id", "name", "number", F.col("domain"), "country"), "name", "number", "domain", "country")
+    norm = raw.select("id", "name", ident.norm_name(F.col("name")).alias("norm"), ident.registry_number(F.col("number")).alias("number"), ident.registrable(F.col("domain")).alias("domain"), ident.country(F.col("country")).alias("country"))
+    norm = held(norm, "norm", "number", "domain", "country")
+    return norm.withColumns({"norm_key": F.replace("norm", F.lit(" "), F.lit("")), "tokens": ident.rare_tokens(F.col("norm"))})
+
+
+def block(names: DataFrame, keys: tuple[str, ...] = (), part: int = 200, tokens: Column | None = None) -> DataFrame:
     """Pairs that share a token or an exact key: (a, b, name_a, name_b, shared), shared counting tokens.
 
-    names: id (unique), name and the key columns; ``norm_key`` is made from the name.  Null and empty keys pair
-    nothing.  A group of more than ``part`` names is cut into as many parts as it needs: each name is in one part as a, and
+    names: id (unique), name and the key columns; ``norm_key`` is made from the name if it is not there.  Null and empty keys
+    pair nothing.  A group of more than ``part`` names is cut into as many parts as it needs: each name is in one part as a, and
     meets every part as b, so no pair is lost and no task gets a whole group.
     """
-    made = {"norm_key": norm_key(F.col("name"))}
-    token = F.explode(F.array_distinct(F.split("name", " "))).alias("key")
+    made = {"norm_key": ident.norm_key(F.col("name"))}
+    token = F.explode(F.array_distinct(F.split("name", " ") if tokens is None else tokens)).alias("key")
     blocks = names.select("id", "name", F.lit("token").alias("kind"), token).where("length(key) > 2")
     for k in keys:
-        blocks = blocks.unionByName(names.select("id", "name", F.lit(k).alias("kind"), made.get(k, F.col(k)).cast("string").alias("key")).where("key <> ''"))
+        key = F.col(k) if k in names.columns else made[k]
+        blocks = blocks.unionByName(names.select("id", "name", F.lit(k).alias("kind"), key.cast("string").alias("key")).where("key <> ''"))
     sizes = blocks.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     blocks = blocks.join(sizes, ["kind", "key"])
     one = blocks.select("kind", "key", F.col("id").alias("a"), F.col("name").alias("name_a"), F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("p"))
@@ -31,8 +41,80 @@ def block(names: DataFrame, keys: tuple[str, ...] = (), part: int = 200) -> Data
     return pairs.groupBy("a", "b", "name_a", "name_b").agg(F.count_if(F.col("kind") == "token").alias("shared"))
 
 
+def candidates(mentions: DataFrame) -> DataFrame:
+    """Keyed pairs (columns _a and _b) that share a registry number, a domain, a name's key or a distinctive token."""
+    known = keyed(mentions)
+    named = ~ident.is_placeholder(F.col("norm_key"))  # a placeholder's name brings nobody together
+    blocked = known.select("id", "name", "number", "domain", F.when(named, F.col("norm_key")).alias("norm_key"), F.when(named, F.col("tokens")).otherwise(F.array().cast("array<string>")).alias("tokens"))
+    pairs = block(blocked, ("number", "domain", "norm_key"), tokens=F.col("tokens")).select("a", "b")
+    side = lambda x: known.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in known.columns if c != "id"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Append decision, rule, tier, score and confidence of the ladder to keyed pairs.
+
+    Registry numbers settle everything; then domains; placeholders match nothing; equal keys match unless
+    both countries are known and differ; similar names match behind guards, or go to review.
+    """
+    col = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+    (na, nb), (ka, kb), (wa, wb), (ca, cb) = col("number"), col("norm_key"), col("norm"), col("country")
+    domains = F.col("domain_a") == F.col("domain_b")
+    conflict = F.coalesce(ca != cb, F.lit(False))
+    words = lambda x, listed: F.array_intersect(F.split(x, " "), F.array(*map(F.lit, listed)))
+    roles = lambda x: F.array_sort(F.array_distinct(words(x, ident.ROLE_MARKERS)))
+    role_conflict = roles(wa) != roles(wb)
+    shared = F.arrays_overlap("tokens_a", "tokens_b")
+    family = (F.size(words(wa, ident.FAMILY_MARKERS)) > 0) & (F.size(words(wb, ident.FAMILY_MARKERS)) > 0) & shared
+    exact = F.coalesce((na == nb) | (na != nb) | domains, F.lit(False)) | ident.is_placeholder(ka) | ident.is_placeholder(kb) | (ka == kb)
+    score = F.when(~exact, ident.fuzzy_score(wa, wb)).when((ka == kb) & ~F.coalesce(na.isNotNull() & nb.isNotNull() | domains, F.lit(False)), 100.0)
+    pairs = held(pairs.withColumns({"exact": exact, "score": score}), "exact", "score")
+    short = F.least(F.length(wa), F.length(wb)) <= SHORT
+    jaro = F.udf(ident.jaro_winkler, "double", useArrow=True)
+    pairs = pairs.withColumn("doubtful", ~F.col("exact") & (F.col("score") >= MERGE) & ~role_conflict & shared & ~conflict & short)
+    weak = pairs.where("doubtful").withColumn("jaro", jaro("norm_a", "norm_b"))
+    pairs = pairs.where("not doubtful").withColumn("jaro", F.lit(None).cast("double")).unionByName(weak)
+    near = F.col("score") >= MERGE
+    steps = [
+        (na == nb, "merge", "ch_exact", 0, 1.0),
+        (na != nb, "distinct", "ch_conflict", 0, 1.0),
+        (domains, "merge", "domain_exact", 1, 0.97),
+        (ident.is_placeholder(ka) | ident.is_placeholder(kb), "distinct", "placeholder", 2, None),
+        ((ka == kb) & conflict, "distinct", "normkey_country_conflict", 3, None),
+        (ka == kb, "merge", "normkey_exact", 2, 0.95),
+        (near & role_conflict, "review", "fuzzy_corporate_role_conflict", 4, None),
+        (near & ~shared, "review", "fuzzy_guard_failed", 4, None),
+        (near & conflict, "review", "fuzzy_country_conflict", 4, None),
+        (near & (F.col("jaro") < SHORT_JARO), "review", "fuzzy_short_name", 4, None),
+        (near, "merge", "fuzzy", 4, 0.90),
+        (F.col("score") >= REVIEW, "review", "fuzzy", 5, None),
+        (family, "review", "person_name_shared_token", 5, None),
+    ]
+    out = None
+    for condition, decision, rule, tier, confidence in steps:
+        verdict = F.struct(F.lit(decision).alias("decision"), F.lit(rule).alias("rule"), F.lit(tier).alias("tier"), F.lit(confidence).cast("double").alias("confidence"))
+        out = F.when(condition, verdict) if out is None else out.when(condition, verdict)
+    none = F.struct(F.lit("distinct").alias("decision"), F.lit("no_match").alias("rule"), F.lit(6).alias("tier"), F.lit(None).cast("double").alias("confidence"))
+    return pairs.withColumn("v", out.otherwise(none)).select("*", "v.*").drop("v", "exact", "doubtful", "jaro")
+
+
+def capped(verdicts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Fuzzy merges into an entity (b) that has absorbed MAX_CLUSTER records by fuzzy matches go to review; sizes: id, n."""
+    both = verdicts.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("_n")), "b", "left")
+    full = (F.col("decision") == "merge") & F.col("rule").startswith("fuzzy") & (F.coalesce("_n", F.lit(1)) >= MAX_CLUSTER)
+    return both.withColumns({"decision": F.when(full, "review").otherwise(F.col("decision")), "rule": F.when(full, "fuzzy_cluster_cap").otherwise(F.col("rule")), "confidence": F.when(~full, F.col("confidence"))}).drop("_n")
+
+
+def best_matches(verdicts: DataFrame) -> DataFrame:
+    """Of each mention (a) the entity (b) with the best verdict: merge before review, then confidence, score and the smaller id."""
+    rank = F.when(F.col("decision") == "merge", 2).otherwise(1)
+    order = [rank.desc(), F.coalesce("confidence", F.lit(0.0)).desc(), F.coalesce("score", F.lit(0.0)).desc(), F.col("b")]
+    first = Window.partitionBy("a").orderBy(*order)
+    return verdicts.where("decision <> 'distinct'").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def ladder(pairs: DataFrame) -> DataFrame:
-    """Similarity and verdict of blocked pairs: merge, review or distinct."""
-    scored = pairs.withColumn("score", fuzzy_score(F.col("name_a"), F.col("name_b")))
+    """Similarity and verdict of pairs of plain names: merge, review or distinct."""
+    scored = pairs.withColumn("score", ident.fuzzy_score(F.col("name_a"), F.col("name_b")))
     verdict = F.when(F.col("name_a") == F.col("name_b"), "merge").when(F.col("score") >= MERGE, "merge").when(F.col("score") >= REVIEW, "review").otherwise("distinct")
     return scored.withColumn("verdict", verdict)

@@ -21,18 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutline import config
+from scoutline.functions.frames import held
 from scoutline.functions.ladders import band, curve, first_reason, flags, lookup, months, rounded
 
 
-def held(df: DataFrame, *columns: str) -> DataFrame:
-    """The frame with these columns behind a generator of one row.
-
-    The optimiser copies no expression through it, neither into later ones nor into filters that it moves or infers.
-    """
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.expr(f"inline(array(struct({', '.join(columns)})))"))
-
-
 def stage_ordinal(stage: Column) -> Column:
     """Position in the list of stages, null for unknown ones."""
     return F.nullif(F.array_position(F.array(*map(F.lit, config.STAGES)), stage) - 1, F.lit(-1)).cast("int")

@@ -89,4 +89,27 @@ def duck(sql: str) -> str:
     """The same relation's SQL with plain table names."""
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
-    return sql
+    return sql.replace("{{", "{").replace("}}", "}")
+
+
+#: Mentions of organisations from two tables: names in several spellings, numbers, web places, countries, messy texts.
+MENTION = """
+SELECT k AS id,
+  CASE WHEN k % 37 = 0 THEN 'Stealth' WHEN k % 41 = 0 THEN 'NEWCO ' || CAST(k AS VARCHAR(20)) || ' Ltd' ELSE
+    CASE k % 4 WHEN 0 THEN stem || ' Robotics Ltd' WHEN 1 THEN 'The ' || stem || '  ROBOTICS' WHEN 2 THEN stem || CASE WHEN k % 8 = 6 THEN ' Robotics Labs' ELSE ' Robotics Lab Limited' END ELSE stem || ' & Partners Holdings' END END AS name,
+  CASE k % 5 WHEN 0 THEN 'sc-' || CAST(CAST(floor(k / 10) AS BIGINT) AS VARCHAR(20)) WHEN 1 THEN CAST(CAST(floor(k / 10) AS BIGINT) AS VARCHAR(20)) || ' ' WHEN 2 THEN 'x/' || CAST(k AS VARCHAR(20)) || 'b' END AS number,
+  CASE k % 6 WHEN 0 THEN 'https://www.' || slug || '.co.uk:8080/about?x=1' WHEN 1 THEN 'http://me@eng.ox.ac.uk/spinouts' WHEN 2 THEN 'linkedin.com/co/' || slug WHEN 3 THEN slug || '.com' WHEN 4 THEN 'https://shop.' || slug || '-x.org#top' END AS domain,
+  CASE k % 7 WHEN 0 THEN 'England' WHEN 1 THEN 'U.K.' WHEN 2 THEN 'us' WHEN 3 THEN 'Deutschland' WHEN 4 THEN 'Atlantis' WHEN 5 THEN 'fr' END AS country,
+  CASE k % 6 WHEN 0 THEN 'ne' || CAST(k % 9 AS VARCHAR(20)) || '4st' WHEN 1 THEN 'EC2A-4BX' WHEN 2 THEN 'SW1A 1AA' WHEN 3 THEN 'not known' WHEN 4 THEN ' m' || CAST(k % 9 AS VARCHAR(20)) END AS postcode,
+  CASE k % 9 WHEN 0 THEN '£' || CAST(k AS VARCHAR(20)) || '.5m' WHEN 1 THEN 'USD ' || CAST(k AS VARCHAR(20)) || ',500k' WHEN 2 THEN 'undisclosed' WHEN 3 THEN '€3 bn' WHEN 4 THEN CAST(k AS VARCHAR(20)) || ' 200' WHEN 5 THEN 'gbp 40' WHEN 6 THEN 'some ' || CAST(k AS VARCHAR(20)) || ' thousand' WHEN 7 THEN 'no figure' END AS money_text,
+  CASE k % 10 WHEN 0 THEN '2024-02-' || CAST(10 + k % 25 AS VARCHAR(20)) WHEN 1 THEN '2024/' || CAST(1 + k % 12 AS VARCHAR(20)) || '/5' WHEN 2 THEN CAST(1 + k % 28 AS VARCHAR(20)) || '/04/2024' WHEN 3 THEN CAST(1 + k % 31 AS VARCHAR(20)) || ' March 2024' WHEN 4 THEN 'Sept 9th, 2023' WHEN 5 THEN 'May 2024' WHEN 6 THEN '2024' WHEN 7 THEN '31.12.' || CAST(60 + k % 20 AS VARCHAR(20)) WHEN 8 THEN 'seen on 3rd Apr 2021 there' END AS date_text,
+  CASE k % 3 WHEN 0 THEN 'SMITH, Jane  ' || stem WHEN 1 THEN 'Ana ' || stem ELSE 'O''Hara, Bo' END AS person,
+  CASE k % 5 WHEN 0 THEN 'Pre-Seed' WHEN 1 THEN ' SERIES A' WHEN 2 THEN 'seeds' WHEN 3 THEN 'grow' END AS stage_text
+FROM (SELECT k, CASE k % 6 WHEN 0 THEN 'Aurora' WHEN 1 THEN 'Boréal' WHEN 2 THEN 'Cobalt' WHEN 3 THEN 'Škoda' WHEN 4 THEN 'Ember' ELSE 'Fjord' END || CAST(CAST(floor(k / 24) AS BIGINT) AS VARCHAR(20)) AS stem,
+  'site' || CAST(CAST(floor(k / 12) AS BIGINT) AS VARCHAR(20)) AS slug
+  FROM (SELECT 2 * c_custkey AS k FROM {customer} UNION ALL SELECT 2 * s_suppkey + 1 FROM {supplier}) AS keys) AS m
+"""
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, MENTION)

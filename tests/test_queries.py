@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from scoutline.plans import proxies, relation_queries, score_queries
+from scoutline.plans import PLANS, proxies, score_queries
 
-QUERIES = score_queries.QUERIES | relation_queries.QUERIES
-SQL = score_queries.SQL | relation_queries.SQL
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 @pytest.fixture(scope="module")
