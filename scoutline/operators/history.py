@@ -1,4 +1,4 @@
-"""Run history: streaks, silent breaks and ranges of adjacent numbers."""
+"""Run history: streaks, silent breaks, budgets and ranges of adjacent numbers."""
 
 from __future__ import annotations
 
@@ -16,28 +16,25 @@ def leading_zero_streak(days: DataFrame) -> DataFrame:
     return _newest_first(days).groupBy("source").agg((F.coalesce(first, F.count(F.lit(1)) + 1) - 1).cast("long").alias("streak"))
 
 
-def silent_breaks(days: DataFrame, streak: int = 3, baseline_days: int = 14) -> DataFrame:
-    """A source that went quiet although the days before the streak had items."""
-    both = _newest_first(days).join(leading_zero_streak(days), "source")
-    base = F.coalesce(F.avg(F.when((F.col("rn") > F.col("streak")) & (F.col("rn") <= F.col("streak") + baseline_days), F.col("items"))), F.lit(0.0))
-    out = both.groupBy("source", "streak").agg(base.alias("mean"))
-    verdict = F.when((F.col("streak") >= streak) & (F.col("mean") >= 1), "silent_break").when(F.col("streak") > 0, "quiet").otherwise("ok")
-    return out.select("source", "streak", F.round("mean", 6).alias("baseline"), verdict.alias("verdict"))
-
-
-def ranges(df: DataFrame, number: str) -> DataFrame:
+def ranges(df: DataFrame, number: str, buckets: int = 4096) -> DataFrame:
     """Runs of adjacent numbers as (first, last, n).
 
-    A number begins a run if its predecessor is not there and ends one if its successor is not; both are
-    anti-joins on the number.  Only these edges, not the numbers, pass the one ordered window that pairs them.
+    Runs are found inside buckets of the number line.  Only those that touch a border, two of a bucket at most and so at most
+    2 * ``buckets`` rows, pass one ordered window that joins them.
     """
-    xs = df.select(F.col(number).alias("x")).distinct()
-    before, after = xs.select((F.col("x") + 1).alias("x")), xs.select((F.col("x") - 1).alias("x"))
-    # Starts and ends alternate, so the k-th start belongs to the k-th end.
-    edges = xs.join(before, "x", "left_anti").select("x", F.lit(0).alias("end")).unionByName(xs.join(after, "x", "left_anti").select("x", F.lit(1).alias("end")))
-    order = Window.orderBy("x", "end")
-    paired = edges.withColumn("last", F.lead("x").over(order)).where("end = 0")
-    return paired.select(F.col("x").alias("first"), "last", (F.col("last") - F.col("x") + 1).alias("n"))
+    xs = df.select(F.col(number).cast("long").alias("x")).where("x is not null").distinct()
+    low, high = xs.agg(F.min("x"), F.max("x")).first()
+    low, high = low or 0, high or 0
+    width = max(1, -(-(high - low + 1) // buckets))
+    cut = xs.withColumn("b", F.floor((F.col("x") - low) / width))
+    island = F.col("x") - F.row_number().over(Window.partitionBy("b").orderBy("x"))
+    runs = cut.withColumn("i", island).groupBy("b", "i").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    border = (F.col("first") == F.col("b") * width + low) | (F.col("last") == (F.col("b") + 1) * width + low - 1)
+    order = Window.orderBy("first")
+    fresh = F.when(F.col("first") == F.lag("last").over(order) + 1, 0).otherwise(1)
+    joined = runs.where(border).withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(order)).groupBy("g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    whole = runs.where(~border).select("first", "last").unionByName(joined.select("first", "last"))
+    return whole.select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
 def leading_streak(runs: DataFrame, key: str, order: str, bad: Column) -> DataFrame:

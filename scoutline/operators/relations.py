@@ -80,3 +80,24 @@ def weight_sweep(fits: DataFrame, id_col: str, attributes: tuple[str, ...], weig
     row = fits.agg(*(above(a, w).alias(f"{a}:{w}") for a, w in variants))
     long = row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.lit(w).alias("weight"), F.col(f"`{a}:{w}`").alias("above")) for a, w in variants))).alias("x"))
     return long.select("x.*")
+
+
+def exact_median(df: DataFrame, key: str, value: str, blocks: int = 256) -> DataFrame:
+    """(key, median): the middle value, or the mean of the two in the middle.
+
+    Values are counted, then summed by blocks of their range; only the block that holds a middle is ordered, so no task
+    gets all values of a key.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = counted.agg(F.min("v"), F.max("v")).first()
+    width = max(((high or 0.0) - (low or 0.0)) / blocks, 1e-12)
+    counted = counted.withColumn("b", F.least(F.floor((F.col("v") - F.lit(low or 0.0)) / width), F.lit(blocks - 1)))
+    sums = counted.groupBy(key, "b").agg(F.sum("n").alias("held"))
+    before = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"before": F.coalesce(F.sum("held").over(before), F.lit(0)), "total": F.sum("held").over(Window.partitionBy(key))})
+    sums = sums.withColumns({"m1": F.floor((F.col("total") + 1) / 2), "m2": F.floor(F.col("total") / 2) + 1})
+    middle = sums.where("(before < m1 and m1 <= before + held) or (before < m2 and m2 <= before + held)")
+    inside = Window.partitionBy(key, "b").orderBy("v")
+    rows = counted.join(middle, [key, "b"]).withColumn("upto", F.col("before") + F.sum("n").over(inside)).withColumn("from", F.col("upto") - F.col("n"))
+    at = lambda m: F.max(F.when((F.col("from") < F.col(m)) & (F.col(m) <= F.col("upto")), F.col("v")))
+    return rows.groupBy(key).agg(((at("m1") + at("m2")) / 2).alias("median"))

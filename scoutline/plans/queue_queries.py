@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scoutline import config
 from scoutline.functions.frames import held
 from scoutline.operators import history, queue, relations, scoring
-from scoutline.operators import text
 from scoutline.plans import proxies, score_queries
 
 t = proxies.table
@@ -78,11 +77,6 @@ def source_health(spark: SparkSession, sf: str) -> DataFrame:
     return history.health(_health(spark, sf))
 
 
-def silent_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that went quiet against the mean of the week before; thresholds are parameters (here for a short history)."""
-    return history.breaks(_health(spark, sf), streak_days=2, min_average=2.0)
-
-
 def status_streaks(spark: SparkSession, sf: str) -> DataFrame:
     """How many of the newest runs of each source in a row were empty or failed."""
     bad = _health(spark, sf).withColumn("bad", (c("items") == 0) | (c("status") == "failed"))
@@ -181,8 +175,6 @@ h AS (SELECT *, CASE WHEN status IN ('met', 'missed') AND row_number() OVER (PAR
     "needs_review": f"{CTE} SELECT company_id, string_agg(flag, ' · ' ORDER BY flag) AS reasons FROM (SELECT DISTINCT company_id, unnest(string_split(flags, ',')) AS flag FROM scored WHERE flags <> '') GROUP BY company_id",
     "vetoes": rf"SELECT c_custkey, CASE WHEN k IN (0, 3) THEN 'ipo' WHEN k = 1 THEN 'late_stage' WHEN c_custkey % 17 = 0 OR k = 2 THEN 'already_backed' WHEN c_custkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'geography_mismatch' END AS veto FROM (SELECT *, c_custkey % 9 AS k FROM customer)",
     "source_health": f"SELECT h.source, s.last AS last_run, last_ok AS last_success, items, status, round(coalesce(mean, 0), 2) AS average_7d, streak::BIGINT AS zero_streak FROM {_D} h JOIN {_STREAK} s ON s.source = h.source AND s.last = h.day LEFT JOIN (SELECT source, max(day) AS last_ok FROM {_D} WHERE status = 'ok' AND items > 0 GROUP BY 1) o ON o.source = h.source LEFT JOIN (SELECT d.source, avg(items) AS mean FROM {_D} d JOIN {_STREAK} s ON s.source = d.source WHERE status <> 'failed' AND day >= s.last - 7 AND day < s.last GROUP BY 1) m ON m.source = h.source",
-    "silent_breaks": f"""SELECT s.source, streak::BIGINT AS streak, round(coalesce(mean, 0), 6) AS average, items = 0 AND status <> 'failed' AND coalesce(mean, 0) >= 2 AS warning, items = 0 AND streak >= 2 AND coalesce(mean, 0) > 2 AS alert FROM {_STREAK} s JOIN {_D} h ON h.source = s.source AND h.day = s.last
-LEFT JOIN (SELECT s.source, avg(items) AS mean FROM {_STREAK} s JOIN {_D} l ON l.source = s.source WHERE status <> 'failed' AND day >= s.last - greatest(streak - 1, 0)::INT - 7 AND day < s.last - greatest(streak - 1, 0)::INT GROUP BY 1) m ON m.source = s.source""",
     "status_streaks": f"SELECT source, (coalesce(min(rn) FILTER (WHERE NOT (items = 0 OR status = 'failed')), count(*) + 1) - 1)::BIGINT AS streak FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS rn FROM {_D}) GROUP BY 1",
     "run_log": f"SELECT day, sum(items)::BIGINT AS items, coalesce(string_agg(source, ', ' ORDER BY source) FILTER (WHERE status = 'failed' OR items = 0), '') AS failed FROM {_D} GROUP BY day",
     "last_good_run": f"SELECT source, max(day) FILTER (WHERE status = 'ok' AND items > 0) AS last_good, max(day) AS last FROM {_D} GROUP BY 1",

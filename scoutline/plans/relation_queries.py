@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
-from scoutline.operators import grounding, history, relations, resolve
+from scoutline.operators import grounding, history, relations, resolve, text
 from scoutline.plans import proxies
+from scoutline.plans.identity_queries import _KEYED, _PLACEHOLDER
 from scoutline.streaming import windows as stream
 
 t = proxies.table
@@ -89,7 +90,7 @@ def monthly_spend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def median_amount(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 4).alias("median"))
+    return relations.exact_median(t(spark, sf, "orders"), "o_orderpriority", "o_totalprice").select("o_orderpriority", F.round("median", 4).alias("median"))
 
 
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +113,8 @@ def zero_streak(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def silent_break_alert(spark: SparkSession, sf: str) -> DataFrame:
-    return history.silent_breaks(proxies.source_days(spark, sf))
+    """Sources that went quiet against the mean of the week before the silence."""
+    return history.breaks(proxies.source_days(spark, sf).withColumn("status", F.lit("ok")), streak_days=5)
 
 
 def trailing_7_average(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,14 +129,14 @@ def range_coalesce(spark: SparkSession, sf: str) -> DataFrame:
 
 def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Per source: documents in id order while their running cost stays within the budget."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf, "documents").withColumn("spent", F.sum("n_chars").over(w)).where("spent <= 50000").select("source", "doc_id", "spent")
+    return history.running(t(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars").where("spent <= 50000").select("source", "doc_id", "spent")
 
 
 def snapshot_new_ids(spark: SparkSession, sf: str) -> DataFrame:
-    e = t(spark, sf, "events")
-    before, after = (e.where(x).select("user_id").distinct() for x in ("ts < timestamp '2024-01-03'", "ts >= timestamp '2024-01-03'"))
-    return after.join(before, "user_id", "left_anti")
+    """Keys of the days after a snapshot that it does not have."""
+    e, key = t(spark, sf, "events"), ["user_id", "event_type"]
+    before, after = (e.where(x).select(*key).distinct() for x in ("ts < timestamp '2024-01-02'", "ts >= timestamp '2024-01-02'"))
+    return after.join(before, key, "left_anti")
 
 
 def officers_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,15 +196,16 @@ def json_props_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_dup_groups(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.sha2(F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), 201, 1000), 256)
-    return t(spark, sf, "documents").where("n_chars > 400").groupBy(key.alias("key")).agg(N(), F.min("doc_id").alias("first_id")).where("n > 1")
+    """Documents that agree in a thousand characters behind the first two hundred; shorter texts have no key."""
+    long = F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 200
+    return t(spark, sf, "documents").where(long).groupBy(text.near_copy_key(F.col("text")).alias("key")).agg(N(), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
 def verbatim_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages whose first line stands in a document word for word (an equi-join on its hash)."""
-    lines = t(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("length(line) >= 12")
-    quotes = t(spark, sf, "benchmark").select("item_id", F.split("text", "\n")[0].alias("line")).where("length(line) >= 12")
-    return lines.join(quotes, "line").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
+    """Every document that holds a whole benchmark passage word for word."""
+    texts = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    quotes = t(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    return grounding.grounded(texts, quotes).select(F.col("quote_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,28 +216,41 @@ def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefilter_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    reason = F.when(F.length("text") < 400, "too_short").when(~F.lower(F.substring("text", 1, 6000)).rlike("thing|tion"), "no_signal_word").when(F.size(F.split("text", "\n")) > 60, "roundup").otherwise("pass")
-    return t(spark, sf, "documents").groupBy(reason.alias("verdict")).agg(N())
+    """The cascade over whole documents, their first line as the title."""
+    verdict = text.prefilter(F.lit(""), F.substring_index("text", "\n", 1), F.col("text"))
+    return t(spark, sf, "documents").groupBy(verdict.alias("verdict")).agg(N())
 
 
 def html_title(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "(?i)<title[^>]*>([^<]*)</title>", 1)), F.lit("")).alias("title"))
 
 
+def _norms(spark, sf):
+    return resolve.keyed(proxies.mentions(spark, sf)).select("id", F.col("norm").alias("name"), "tokens").where(~ident.is_placeholder(ident.norm_key(F.col("name"))))
+
+
 def block_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    names = t(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).withColumnRenamed("p_name", "name")
-    return resolve.block(names).select("a", "b", "shared")
+    """Pairs of mentions by distinctive tokens."""
+    return resolve.block(_norms(spark, sf), tokens=F.col("tokens")).select("a", "b", "shared")
 
 
 def match_ladder_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    names = t(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).withColumnRenamed("p_name", "name")
-    return resolve.ladder(resolve.block(names, ("norm_key",))).select("a", "b", "score", "verdict")
+    return resolve.ladder(resolve.block(_norms(spark, sf), ("norm_key",), tokens=F.col("tokens"))).select("a", "b", "score", "verdict")
 
 
 def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stream.tumbling(spark, f"{sf}/events.parquet")
 
 
+def stream_sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stream.sliding(spark, f"{sf}/events.parquet")
+
+
+def stream_new_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of a stream when they are first seen."""
+    return stream.new_keys(spark, f"{sf}/events.parquet", "user_id", "event_type")
+
+
 def sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
     w = F.window("ts", "2 days", "1 day")
     return t(spark, sf, "events").groupBy(w.alias("w"), "event_type").agg(N()).select(F.col("w.start").alias("start"), "event_type", "n")
@@ -251,11 +267,9 @@ QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f
 _SIGNAL = "(" + proxies.duck(proxies.SIGNAL) + ")"
 _SOURCE_DAY = "(" + proxies.duck(proxies.SOURCE_DAY) + ")"
 _SCORES = "(SELECT doc_id, source, (least(floor(n_chars / 40), 120) - 5)::INT AS fit FROM documents)"
-_NAMES = "(SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name)"
 _STREAKS = f"(SELECT source, day, items, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS rn FROM {_SOURCE_DAY})"
 _STREAK = f"(SELECT source, (coalesce(min(rn) FILTER (WHERE items <> 0), count(*) + 1) - 1)::BIGINT AS streak, count(*) AS days FROM {_STREAKS} GROUP BY source)"
 _VERBATIM = "trim(regexp_replace(replace(replace(translate(nfc_normalize(text), '‘’‚‛“”„«»‐‑‒–—―−' || chr(160) || chr(8201) || chr(8239), '''''''''\"\"\"\"\"-------   '), '…', '...'), chr(8203), ''), '[\\s]+', ' ', 'g'))"
-_RAW_MONEY = "(CASE WHEN o_orderkey % 2 = 0 THEN '£' ELSE '$' END)"
 SQL = {
     "shortlist_join": "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'",
     "source_yield_left_join": "SELECT source, count(DISTINCT d.doc_id) AS found, coalesce(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0)::BIGINT AS good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source",
@@ -276,12 +290,13 @@ SQL = {
     "press_count_recompute": f"SELECT c_custkey AS company_id, coalesce(n, 0) AS press_count FROM customer LEFT JOIN (SELECT company_id, count(*) AS n FROM {_SIGNAL} WHERE kind IN ('press', 'news_mention') GROUP BY 1) s ON s.company_id = c_custkey",
     "calendar_pivot": "SELECT ts::DATE AS day, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS \"view\" FROM events GROUP BY 1",
     "zero_streak": f"SELECT source, streak FROM {_STREAK}",
-    "silent_break_alert": f"""SELECT k.source, k.streak, round(coalesce(avg(s.items), 0), 6) AS baseline, CASE WHEN k.streak >= 3 AND coalesce(avg(s.items), 0) >= 1 THEN 'silent_break' WHEN k.streak > 0 THEN 'quiet' ELSE 'ok' END AS verdict
-FROM {_STREAK} k LEFT JOIN {_STREAKS} s ON s.source = k.source AND s.rn > k.streak AND s.rn <= k.streak + 14 GROUP BY k.source, k.streak""",
+    "silent_break_alert": f"""WITH d AS (SELECT *, 'ok' AS status FROM {_SOURCE_DAY}), k AS (SELECT source, coalesce(min(rn) FILTER (WHERE items <> 0), count(*) + 1) - 1 AS streak, max(day) AS last FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS rn FROM d) GROUP BY source)
+SELECT k.source, streak::BIGINT AS streak, round(coalesce(mean, 0), 6) AS average, d.items = 0 AND coalesce(mean, 0) >= 2 AS warning, d.items = 0 AND streak >= 5 AND coalesce(mean, 0) > 2 AS alert FROM k JOIN d ON d.source = k.source AND d.day = k.last
+LEFT JOIN (SELECT k.source, avg(items) AS mean FROM k JOIN d ON d.source = k.source WHERE day >= last - greatest(streak - 1, 0)::INT - 7 AND day < last - greatest(streak - 1, 0)::INT GROUP BY 1) m ON m.source = k.source""",
     "trailing_7_average": f"SELECT source, day, round(avg(items) OVER (PARTITION BY source ORDER BY day ROWS 6 PRECEDING), 6) AS mean7, sum(items) OVER (PARTITION BY source ORDER BY day ROWS 2 PRECEDING) = 0 AS zero3 FROM {_SOURCE_DAY}",
     "range_coalesce": "SELECT min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS island FROM (SELECT DISTINCT doc_id FROM labels)) GROUP BY island",
     "budget_prefix": "SELECT source, doc_id, spent::BIGINT AS spent FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM documents) WHERE spent <= 50000",
-    "snapshot_new_ids": "SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03' AND user_id IS NOT NULL)",
+    "snapshot_new_ids": "SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-02')",
     "officers_union": "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier",
     "threshold_sweep": f"""WITH points AS (SELECT DISTINCT greatest(0, least(100, fit)) AS threshold FROM {_SCORES}), s AS (SELECT fit, quality FROM {_SCORES} JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
 c AS (SELECT threshold, count(*) FILTER (WHERE fit >= threshold AND quality = 1) AS tp, count(*) FILTER (WHERE fit >= threshold AND quality = 0) AS fp, count(*) FILTER (WHERE fit < threshold AND quality = 1) AS fn FROM points, s GROUP BY threshold)
@@ -295,15 +310,16 @@ WINDOW w AS (PARTITION BY company_id ORDER BY trust DESC, occurred_on DESC, sign
     "norm_name_key": r"""SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' & Co. Ltd' WHEN p_partkey % 3 = 1 THEN '  GROUP-plc' ELSE '' END), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), '^the ', ''), '( (ltd|limited|plc|llp|lp|llc|cic|cio|inc|incorporated|corp|corporation|co|company|gmbh|ag|sa|sas|sarl|bv|nv|ab|oy|as|aps|srl|spa|pty))+$', '') AS norm FROM part""",
     "norm_registry_number": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'SC' || lpad(c_custkey::VARCHAR, 6, '0') ELSE lpad(c_custkey::VARCHAR, 8, '0') END AS number FROM customer",
     "parse_money": "SELECT o_orderkey, floor(o_totalprice) * CASE WHEN o_orderkey % 5 = 0 THEN 1e3 WHEN o_orderkey % 5 = 1 THEN 1e6 ELSE 1 END AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'GBP' ELSE 'USD' END AS currency FROM orders",
-    "host_of_url": r"SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z]+://(?:[^/@]*@)?(?:www\.)?([^/:?#]+)', 1), '') AS host FROM pages",
+    "host_of_url": r"SELECT page_id, nullif(split_part(split_part(split_part(split_part(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '^.*@', ''), '/', 1), '?', 1), '#', 1), ':', 1), '') AS host FROM pages",
     "json_props_extract": "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events",
-    "near_dup_groups": "SELECT sha256(substr(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), 201, 1000)) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE n_chars > 400 GROUP BY 1 HAVING count(*) > 1",
-    "verbatim_grounding": "SELECT item_id, count(DISTINCT doc_id) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d JOIN (SELECT item_id, string_split(text, chr(10))[1] AS line FROM benchmark) q USING (line) WHERE length(line) >= 12 GROUP BY item_id",
+    "near_dup_groups": r"SELECT sha256(substr(s, 201, 1000)) AS key, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[\t-\r ]+', ' ', 'g')) AS s FROM documents) WHERE length(s) > 200 GROUP BY 1 HAVING count(*) > 1",
+    "verbatim_grounding": f"SELECT item_id, doc_id FROM (SELECT doc_id, {_VERBATIM} AS text FROM documents) d JOIN (SELECT item_id, {_VERBATIM} AS quote FROM benchmark) q ON contains(d.text, q.quote) WHERE length(quote) >= 12",
     "quote_grounding": f"SELECT item_id, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, {_VERBATIM} AS text FROM documents) d JOIN (SELECT item_id, {_VERBATIM} AS quote FROM benchmark) q ON contains(d.text, q.quote) WHERE length(quote) >= 12 GROUP BY item_id",
-    "prefilter_cascade": "SELECT CASE WHEN length(text) < 400 THEN 'too_short' WHEN NOT regexp_matches(lower(substr(text, 1, 6000)), 'thing|tion') THEN 'no_signal_word' WHEN len(string_split(text, chr(10))) > 60 THEN 'roundup' ELSE 'pass' END AS verdict, count(*) AS n FROM documents GROUP BY 1",
+    "prefilter_cascade": f"SELECT CASE WHEN regexp_matches(split_part(text, chr(10), 1), '{text.ROUNDUP}') THEN 'roundup_title' WHEN length(text) < {text.MIN_CHARS} THEN 'too_short' WHEN NOT regexp_matches(left(text, {text.SIGNAL_WINDOW}), '{text.SIGNAL}') THEN 'no_signal_keyword' WHEN len(list_distinct(regexp_extract_all(text, '{text.ORGANISATION}', 1))) > {text.MAX_ORGANISATIONS} THEN 'too_many_orgs' ELSE 'ok' END AS verdict, count(*) AS n FROM documents GROUP BY 1",
     "html_title": "SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages",
-    "block_candidates": f"""SELECT a, b, count(*) AS shared FROM (SELECT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS token FROM {_NAMES}) x JOIN (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS token FROM {_NAMES}) y
-ON x.token = y.token AND x.id < y.id WHERE length(x.token) > 2) GROUP BY a, b""",
+    "block_candidates": f"""WITH k AS MATERIALIZED {_KEYED}, x AS (SELECT id, unnest(tokens) AS token FROM k WHERE NOT {_PLACEHOLDER.replace('{k}', 'norm_key')}) SELECT x.id AS a, y.id AS b, count(*) AS shared FROM x JOIN x y ON x.token = y.token AND x.id < y.id GROUP BY ALL""",
+    "stream_sliding_counts": "SELECT day::TIMESTAMP AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([ts::DATE, ts::DATE - 1]) AS day FROM events) GROUP BY ALL",
+    "stream_new_keys": "SELECT DISTINCT user_id, event_type FROM events",
     "sliding_counts": "SELECT day::TIMESTAMP AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([ts::DATE, ts::DATE - 1]) AS day FROM events) GROUP BY ALL",
     "sessions": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""",
     "stream_tumbling_counts": "SELECT ts::DATE::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

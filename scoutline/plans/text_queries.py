@@ -84,12 +84,6 @@ def structure_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "pages").groupBy(text.fingerprint(tags).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
 
 
-def near_copy_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that agree in a thousand characters behind the first two hundred; shorter ones have no key."""
-    long = F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 200
-    return t(spark, sf, "documents").where(long).groupBy(text.near_copy_key(c("text")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-
-
 def grounding_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Facts that lose their quote are dropped; the share of quotes that failed."""
     df = articles(spark, sf).select("page_id", c("words").alias("body"), F.lit("Acme").alias("company_name"), F.lit(3.0).alias("amount"), F.lit("seed").alias("stage"), F.when(c("page_id") % 2 == 0, "builds  tools for teams").alias("quote_company"), F.when(c("page_id") % 3 > 0, "worth €3m.").alias("quote_amount"), F.lit("closed a seed round").alias("quote_stage"))
@@ -103,7 +97,7 @@ def content_keys(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", F.left(key, F.lit(16)).alias("cache_key"), F.left(card, F.lit(16)).alias("card_hash"))
 
 
-QUERIES = {f.__name__: f for f in (page_texts, page_plain, page_meta, title_ladder, json_ld, page_prefilter, platform_hints, article_facts, text_cuts, url_parts, structure_fingerprints, near_copy_keys, grounding_checks, content_keys)}
+QUERIES = {f.__name__: f for f in (page_texts, page_plain, page_meta, title_ladder, json_ld, page_prefilter, platform_hints, article_facts, text_cuts, url_parts, structure_fingerprints, grounding_checks, content_keys)}
 
 _A = "(" + proxies.duck(ARTICLE) + ")"
 _q = lambda x: x.replace("'", "''")
@@ -127,7 +121,6 @@ FROM (SELECT *, coalesce(nullif(regexp_extract(title, '{_q(text.NAME_IN_TITLE)}'
 UNION ALL SELECT page_id, nullif(regexp_extract(title, '{_q(text.NAME_IN_TITLE)}', 1), ''), try_cast(replace(regexp_extract(title, '{text.AMOUNT}', 2), ',', '') AS DOUBLE) * CASE WHEN contains(title, 'k') AND contains(title, '$') THEN 1e3 ELSE 1e6 END, CASE WHEN contains(title, '£') THEN 'GBP' WHEN contains(title, '$') THEN 'USD' END, CASE WHEN contains(title, 'IPO') THEN 'growth' END, NULL, NULL, NULL, NULL FROM {_A} WHERE page_id % 5 = 0""",
     "text_cuts": r"SELECT doc_id, md5(regexp_extract(text, '^((?:\s*\S+){1,25})', 1)) AS words, md5(CASE WHEN length(text) <= 96 THEN text ELSE rtrim(left(text, 95), ' ') || '…' END) AS cut FROM documents",
     "structure_fingerprints": "SELECT left(sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))), chr(10))), 16) AS fingerprint, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1",
-    "near_copy_keys": r"SELECT sha256(substr(s, 201, 1000)) AS key, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[\t-\r ]+', ' ', 'g')) AS s FROM documents) WHERE length(s) > 200 GROUP BY 1 HAVING count(*) > 1",
     "grounding_checks": f"""SELECT page_id, CASE WHEN q1 IS NULL OR {_ok('q1')} THEN 'Acme' END AS company_name, CASE WHEN q2 IS NULL OR {_ok('q2')} THEN 3.0::DOUBLE END AS amount, CASE WHEN {_ok('q3')} THEN 'seed' END AS stage, failed, checked, round(failed / checked, 6) AS rate
 FROM (SELECT *, ((q1 IS NOT NULL AND NOT {_ok('q1')})::INT + (q2 IS NOT NULL AND NOT {_ok('q2')})::INT + (NOT {_ok('q3')})::INT) AS failed, ((q1 IS NOT NULL)::INT + (q2 IS NOT NULL)::INT + 1) AS checked
 FROM (SELECT page_id, words AS body, CASE WHEN page_id % 2 = 0 THEN 'builds  tools for teams' END AS q1, CASE WHEN page_id % 3 > 0 THEN 'worth €3m.' END AS q2, 'closed a seed round' AS q3 FROM {_A}))""",

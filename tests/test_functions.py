@@ -85,7 +85,7 @@ def test_registry_find_without_proof_has_no_row(spark):
     assert {r.reject_reason for r in scoring.rescore(company(spark, route="registry", country="US"), as_of).collect()} == {"min_uk_presence"}
 
 
-@pytest.mark.parametrize("text, amount, currency", [("raised £1.5m today", 1.5e6, "GBP"), ("$2,500k", 2.5e6, "USD"), ("€3 bn", 3e9, "EUR"), ("£450,000", 450_000, "GBP"), ("nothing", None, None), (None, None, None)])
+@pytest.mark.parametrize("text, amount, currency", [("raised £1.5m today", 1.5e6, "GBP"), ("$2,500k", 2.5e6, "USD"), ("€3 bn", 3e9, "EUR"), ("£450,000", 450_000, "GBP"), ("CHF 12", 12.0, "CHF"), ("1,200", 1200.0, None), ("undisclosed", None, None), ("nothing", None, None), (None, None, None)])
 def test_money(spark, text, amount, currency):
     a, c = identity.money(F.col("x"))
     row = spark.createDataFrame([(text,)], "x string").select(a.alias("a"), c.alias("c")).first()
@@ -94,7 +94,9 @@ def test_money(spark, text, amount, currency):
 
 def test_names_and_numbers(spark):
     df = spark.createDataFrame([("The Café & Sons Co. Ltd",), ("Limited",), (None,)], "x string")
-    assert [r.y for r in df.select(identity.norm_name(F.col("x")).alias("y")).collect()] == ["cafe and sons", "limited", None]
+    assert [r.y for r in df.select(identity.norm_name(F.col("x")).alias("y")).collect()] == ["cafe and sons", "", ""]
+    odd = spark.createDataFrame([("Škoda Ltd",), ("Газпром",), ("Łódź Labs",), ("ﬁne Ｗｉｄｅ",), ("Zero\u200bWidth",)], "x string")
+    assert [r.y for r in odd.select(identity.norm_name(F.col("x")).alias("y")).collect()] == ["skoda", "газпром", "łodz labs", "fine wide", "zerowidth"]
     df = spark.createDataFrame([("sc1234",), ("445790",), ("ABC",), ("123456789",)], "x string")
     assert [r.y for r in df.select(identity.registry_number(F.col("x")).alias("y")).collect()] == ["SC001234", "00445790", "ABC", "123456789"]
 
@@ -125,12 +127,77 @@ def test_diff_of_equal_frames_is_empty(spark, tiny):
 
 
 def test_streaks(spark):
-    days = [("a", dt.date(2024, 1, d), 0 if d > 5 else 4) for d in range(1, 10)] + [("b", dt.date(2024, 1, d), 1) for d in range(1, 10)] + [("c", dt.date(2024, 1, 1), 0)]
-    df = spark.createDataFrame(days, "source string, day date, items long")
-    got = {r.source: (r.streak, r.verdict) for r in history.silent_breaks(df).collect()}
-    assert got == {"a": (4, "silent_break"), "b": (0, "ok"), "c": (1, "quiet")}
+    days = [("a", dt.date(2024, 1, d), 0 if d > 12 else 4) for d in range(1, 21)] + [("b", dt.date(2024, 1, d), 1) for d in range(1, 21)] + [("c", dt.date(2024, 1, 1), 0)]
+    df = spark.createDataFrame(days, "source string, day date, items long").withColumn("status", F.lit("ok"))
+    got = {r.source: (r.streak, r.average, r.warning, r.alert) for r in history.breaks(df).collect()}
+    assert got == {"a": (8, 4.0, True, True), "b": (0, 1.0, False, False), "c": (1, 0.0, False, False)}
+
+
+def test_ranges_cross_buckets(spark):
+    xs = [*range(1, 40), *range(50, 51), *range(60, 100), 200, 201, -5]
+    df = spark.createDataFrame([(x,) for x in xs], "x long")
+    for buckets in (1, 3, 7, 4096):
+        got = sorted(tuple(r) for r in history.ranges(df, "x", buckets).collect())
+        assert got == [(-5, -5, 1), (1, 39, 39), (50, 50, 1), (60, 99, 40), (200, 201, 2)]
+    assert history.ranges(df.limit(0), "x").count() == 0
+
+
+def test_median_of_odd_and_even_groups(spark):
+    rows = [("a", float(x)) for x in (5, 1, 3)] + [("b", float(x)) for x in (4, 1, 2, 100)] + [("c", 7.0), ("d", None)] + [("e", 2.0)] * 5
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert {r.k: r.median for r in relations.exact_median(df, "k", "v").collect()} == {"a": 3.0, "b": 3.0, "c": 7.0, "e": 2.0}
 
 
 def test_rules_and_hash():
     assert config.parse_rules("round_max:5,000 · requires_seis_eis:yes; odd:1") == {"round_max": 5000.0, "requires_seis_eis": True, "unknown": ["odd"]}
     assert config.config_hash() == config.config_hash() and len(config.config_hash()) == 16
+
+
+@pytest.mark.parametrize(
+    "a, b, decision, rule",
+    [
+        (("Bolt Robotics Ltd",), ("BOLT ROBOTICS",), "merge", "normkey_exact"),
+        (("Crème Ltd",), ("Creme Limited",), "merge", "normkey_exact"),
+        (("Bolt Robotics",), ("Bolt Robotics Marine Division",), "distinct", "no_match"),
+        (("Bolt Robotics Ltd", None, None, "GB"), ("Bolt Robotics Inc", None, None, "US"), "distinct", "normkey_country_conflict"),
+        (("AI Labs",), ("Tech Solutions",), "distinct", "no_match"),
+        (("Stealth",), ("Stealth",), "distinct", "placeholder"),
+        (("Bolt", "445790"), ("Bolt Robotics", "00445790"), "merge", "ch_exact"),
+        (("Bolt", "SC445790"), ("Bolt", "00445790"), "distinct", "ch_conflict"),
+        (("Bolt", None, "bolt.com"), ("Cargo", None, "www.bolt.com/x"), "merge", "domain_exact"),
+        (("Bolt", None, "linkedin.com/co/bolt"), ("Cargo", None, "linkedin.com/co/cargo"), "distinct", "no_match"),
+        (("Kelvin Bio", None, "eng.ox.ac.uk/kelvin"), ("Thames Nanopore", None, "ox.ac.uk"), "distinct", "no_match"),
+        (("NEWCO 4471 LIMITED", "00445790"), ("Bolt Robotics", "445790"), "merge", "ch_exact"),
+        (("Baker & Partners",), ("Baker & Sons",), "review", "person_name_shared_token"),
+        (("Bolted Robotic",), ("Bolted Robotics",), "merge", "fuzzy"),
+        (("Acme Robotics",), ("Acme Robotic Arms",), "review", "fuzzy"),
+        (("Bolted Holdings",), ("Bolted Holding",), "review", "fuzzy_corporate_role_conflict"),
+    ],
+)
+def test_match_ladder(spark, a, b, decision, rule):
+    row = lambda i, x: (i, *x, *[None] * (4 - len(x)))
+    known = resolve.keyed(spark.createDataFrame([row(1, a), row(2, b)], "id long, name string, number string, domain string, country string"))
+    side = lambda x, i: known.where(f"id = {i}").select(*(F.col(c).alias(f"{c}_{x}") for c in known.columns if c != "id"), F.col("id").alias(x))
+    got = resolve.compared(side("a", 1).join(side("b", 2))).first()
+    assert (got.decision, got.rule) == (decision, rule)
+
+
+def test_similarity_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abc ", k=rng.randint(1, 80))).strip() or "a" for _ in range(60)]
+    pairs = list(zip(words, reversed(words)))
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r.n for r in df.select(identity.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()] == [lcs(a, b) for a, b in pairs]
+    assert abs(identity.jaro_winkler("martha", "marhta") - 0.961111) < 1e-6 and abs(identity.jaro_winkler("dixon", "dicksonx") - 0.813333) < 1e-6
