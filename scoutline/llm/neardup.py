@@ -36,7 +36,7 @@ BANDS, ROWS = 40, 5
 #: All samples flip sketch bits, the first BANDS * ROWS of them make band keys.
 SAMPLES, SKETCH_BITS, SLACK = 1200, 3072, 0.065
 #: Members of a bucket that are compared by one task; outsiders of a bucket that meet the rest of it without more bands.
-BLOCK, OUTSIDERS = 1000, 100
+BLOCK, OUTSIDERS = 1000, 2000
 #: Bytes of text that are hashed at a time in a task.
 TEXT_BYTES = 2_000_000
 
