@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutline.llm import bpe, mixing, neardup, pii, quality, secrets, sharding, tiff, toxicity, warc
+from scoutline.llm import alignment, bpe, conversations, mixing, neardup, pii, quality, secrets, sharding, tiff, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,5 +102,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_near_duplicates, op4_toxicity, op5_tiff, op6_sharding, op7_secrets, op8_mixing, op9_bpe, op10_warc)}
-SQL: dict[str, str] = {"op2_quality": quality.SQL, "op6_sharding": sharding.SQL.replace("{limit}", str(SHARD_BYTES))}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.digests(docs, a, b, alignment.sizes(b))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_near_duplicates, op4_toxicity, op5_tiff, op6_sharding, op7_secrets, op8_mixing, op9_bpe, op10_warc, op11_alignment, op12_conversations, op13_top_k)}
+SQL: dict[str, str] = {"op2_quality": quality.SQL, "op6_sharding": sharding.SQL.replace("{limit}", str(SHARD_BYTES)), "op13_top_k": topk.SQL}
