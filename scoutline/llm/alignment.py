@@ -15,12 +15,15 @@ document of its own, repeated ones too; extra columns are kept, but for those th
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -50,8 +53,9 @@ def _tokenizers(path_a: str, path_b: str):
     letters = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
     entries_a = {i: bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode() for piece, i in a.get_vocab(with_added_tokens=True).items()}
     b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    entries_b = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-    return a, [entries_a.get(i, b"") for i in range(max(entries_a) + 1)], b, entries_b
+    entries_a = Bytes([entries_a.get(i, b"") for i in range(max(entries_a) + 1)])
+    entries_b = Bytes([bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())])
+    return a, entries_a, b, entries_b
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,41 +99,123 @@ def lanes(ends_a: np.ndarray, ends_b: np.ndarray, starts_a: np.ndarray, starts_b
     return np.unique(np.concatenate((starts_a, cut[:, 0]))), np.unique(np.concatenate((starts_b, cut[:, 1])))
 
 
-def _encoded(texts: list[str], path_a: str, path_b: str) -> list[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
-    """(ids of A, ids of B, their lengths in bytes) of each text; none where the bytes of either differ from a space and the text."""
+class Bytes:
+    """Byte strings of numbered entries in one buffer, to be put in a row for many entries at once."""
+
+    def __init__(self, entries: list[bytes]) -> None:
+        self.lengths = np.array([len(e) for e in entries], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all entries in a row, where each one ends)."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        return self.data[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _rows(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(x) for x in ids], np.int64)
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(counts.sum())), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _encoded(texts: list[str], path_a: str, path_b: str) -> tuple[list, list, list]:
+    """([ids of A, ids of B], where each text's rows start, and at which byte each token ends, counted over all texts).
+
+    A text has no tokens where the bytes of either differ from a space and the text.
+    """
     a, bytes_a, b, bytes_b = _tokenizers(path_a, path_b)
-    rows_a = [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-    rows_b = b.encode(texts, num_threads=1)
-    out = []
-    for text, x, y in zip(texts, rows_a, rows_b):
-        p, q, want = [bytes_a[i] for i in x], [bytes_b[i] for i in y], b" " + text.encode()
-        if text and b"".join(p) == want and b"".join(q) == want:
-            out.append((x, y, np.fromiter(map(len, p), np.int64, len(p)), np.fromiter(map(len, q), np.int64, len(q))))
+    found = [_rows([e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]), _rows(b.encode(texts, num_threads=1))]
+    want = [b" " + t.encode() if t else b"" for t in texts]
+    joined, right = np.frombuffer(b"".join(want), np.uint8), np.ones(len(texts), bool)
+    sizes = np.array([len(w) for w in want], np.int64)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for table, (ids, starts) in zip((bytes_a, bytes_b), found):
+        data, ends = table.of(ids)
+        place = np.concatenate(([0], ends))[starts]
+        if len(data) == len(joined) and (place == at).all():
+            differs = np.concatenate(([0], np.cumsum(data != joined)))
+            right &= differs[at[1:]] == differs[at[:-1]]
         else:
-            out.append(([], [], np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    return out
+            right &= np.array([data[p:q].tobytes() == w for p, q, w in zip(place[:-1], place[1:], want)], bool)
+    right &= sizes > 0
+    if not right.all():
+        keep = [np.repeat(right, np.diff(starts)) for _, starts in found]
+        found = [(ids[k], np.concatenate(([0], np.cumsum(np.where(right, np.diff(starts), 0))))) for (ids, starts), k in zip(found, keep)]
+    return [f[0] for f in found], [f[1] for f in found], [np.cumsum(t.lengths[f[0]]) for t, f in zip((bytes_a, bytes_b), found)]
+
+
+class Aligned:
+    """Some texts, aligned: ids, links and cuts of all of them in a row, and where each text's begin."""
+
+    def __init__(self, texts: list[str], path_a: str, path_b: str) -> None:
+        self.ids, self.starts, ends = _encoded(texts, path_a, path_b)
+        link_a, link_b, cut_a, cut_b = lockstep(*ends, *lanes(*ends, *self.starts))
+        order = np.argsort(link_a * (len(ends[1]) + 1) + link_b)
+        self.links, self.cuts = (link_a[order], link_b[order]), (np.sort(cut_a), np.sort(cut_b))
+        self.first_link, self.first_cut = np.searchsorted(self.links[0], self.starts[0]), np.searchsorted(self.cuts[0], self.starts[0])
+
+    def lists(self) -> list[pa.Array]:
+        """The six added columns."""
+        texts = [np.diff(x) for x in (*self.starts, self.first_link, self.first_cut)]
+        base = [np.repeat(s[:-1], n) for n in texts[2:] for s in self.starts]
+        return [_list(self.ids[0], texts[0]), _list(self.ids[1], texts[1]), *(_list(x - y, texts[2]) for x, y in zip(self.links, base[:2])), *(_list(x - y + 1, texts[3]) for x, y in zip(self.cuts, base[2:]))]
+
+    def groups(self) -> list[bytes]:
+        """Of each text the ids between cuts: ``a1,a2|b1;a3|b2,b3``."""
+        sides = []
+        for ids, cuts, mark in zip(self.ids, self.cuts, b"|;"):
+            group = np.searchsorted(cuts, np.arange(len(ids)))
+            last = np.zeros(len(ids), bool)
+            last[cuts] = True
+            sides.append((ids, group, np.where(last, mark, ord(","))))
+        ids, group, marks = (np.concatenate([s[i] for s in sides]) for i in range(3))
+        order = np.argsort(group * 2 + np.repeat((0, 1), [len(s[0]) for s in sides]), kind="stable")
+        ids, marks = ids[order], marks[order]
+        data, ends = _decimals(int(ids.max(initial=0)) + 1).of(ids)
+        data = data.copy()
+        data[ends - 1] = marks
+        edges = np.concatenate(([0], ends))[self.starts[0] + self.starts[1]]
+        whole = data.tobytes()
+        return [whole[p : max(p, q - 1)] for p, q in zip(edges[:-1], edges[1:])]
+
+    def pairs(self, size_b: int) -> list[tuple[bytes, bytes]]:
+        """Of each text the linked pairs of ids (A id * size_b + B id), each once and in order, and how often it is linked."""
+        pair = self.ids[0][self.links[0]] * size_b + self.ids[1][self.links[1]]
+        text = np.repeat(np.arange(len(self.first_link) - 1), np.diff(self.first_link))
+        order = np.lexsort((pair, text))
+        pair, text = pair[order], text[order]
+        new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])))) if len(pair) else np.zeros(0, np.int64)
+        times, edges = np.diff(np.append(new, len(pair))), np.searchsorted(text[new], np.arange(len(self.first_link)))
+        return [(pair[new[p:q]].astype("<i8").tobytes(), times[p:q].astype("<i4").tobytes()) for p, q in zip(edges[:-1], edges[1:])]
+
+
+@functools.cache
+def _numbers(n: int) -> Bytes:
+    return Bytes([b"%d," % i for i in range(n)])
+
+
+def _decimals(most: int) -> Bytes:
+    """Numbers below a power of two, each with a place for a mark behind it."""
+    return _numbers(1 << most.bit_length())
 
 
 def _list(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _slice(texts: list[str], path_a: str, path_b: str) -> list[pa.Array]:
-    """The six added columns of some texts."""
-    rows = _encoded(texts, path_a, path_b)
-    n = [np.array([len(r[k]) for r in rows], np.int64) for k in (0, 1)]
-    starts = [np.concatenate(([0], np.cumsum(x))) for x in n]
-    before = np.concatenate(([0], np.cumsum([int(r[2].sum()) for r in rows])))[:-1]  # ends grow over all texts, so rows of lanes can be cut from one array
-    ends = [np.concatenate([b + np.cumsum(r[k]) for r, b in zip(rows, before)] or [np.zeros(0, np.int64)]) for k in (2, 3)]
-    link_a, link_b, cut_a, cut_b = lockstep(*ends, *lanes(*ends, *starts))
-    order = np.lexsort((link_b, link_a))
-    link_a, link_b = link_a[order], link_b[order]
-    cut_a, cut_b = np.sort(cut_a), np.sort(cut_b)
-    doc_of = lambda at: np.searchsorted(starts[0], at, "right") - 1
-    links, cuts = np.bincount(doc_of(link_a), minlength=len(rows)), np.bincount(doc_of(cut_a), minlength=len(rows))
-    base = [np.repeat(s[:-1], links) for s in starts] + [np.repeat(s[:-1], cuts) for s in starts]
-    flat = [np.fromiter((i for r in rows for i in r[k]), np.int64, int(n[k].sum())) for k in (0, 1)]
-    return [_list(flat[0], n[0]), _list(flat[1], n[1]), _list(link_a - base[0], links), _list(link_b - base[1], links), _list(cut_a - base[2] + 1, cuts), _list(cut_b - base[3] + 1, cuts)]
+def _parts(batch: pa.RecordBatch, place: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch of about SLICE bytes of text; only one slice's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(batch):
+        j, size = i + 1, sizes[i]
+        while j < len(batch) and size + sizes[j] <= SLICE:
+            size += sizes[j]
+            j += 1
+        part = batch.slice(i, j - i)
+        yield part, [t or "" for t in part.column(place).to_pylist()]
+        i = j
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
@@ -143,77 +229,93 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Da
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, i = [t or "" for t in batch.column(place).to_pylist()], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE):
-                    size += len(texts[j])
-                    j += 1
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, *_slice(texts[i:j], path_a, path_b)], [*names, *(f.name for f in added)])
-                i = j
+            for part, texts in _parts(batch, place):
+                yield pa.RecordBatch.from_arrays([*part.columns, *Aligned(texts, path_a, path_b).lists()], [*names, *(f.name for f in added)])
 
     return docs.mapInArrow(align, StructType(docs.schema.fields + added))
 
 
-def groups(ids_a: Column, ids_b: Column, cut_a: Column, cut_b: Column) -> Column:
-    """Text of the groups between cuts: ``a1,a2|b1;a3|b2,b3``."""
-    def one(end: Column, i: Column) -> Column:
-        first = lambda cuts: F.when(i == 0, 0).otherwise(F.get(cuts, i - 1))
-        part = lambda ids, cuts: F.array_join(F.slice(ids, first(cuts) + 1, F.get(cuts, i) - first(cuts)).cast("array<string>"), ",")
-        return F.concat(part(ids_a, cut_a), F.lit("|"), part(ids_b, cut_b))
+_DIGEST = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
+
 
-    return F.array_join(F.transform(cut_a, one), ";")
+def digested(docs: DataFrame, path_a: str, path_b: str, size_b: int, text: str = "text") -> DataFrame:
+    """docs without their texts, with the numbers of tokens, groups and links, the hash of the groups' text, and the linked pairs."""
+    added = _parse_datatype_string(_DIGEST).fields
+    docs = docs.drop(*(f.name for f in added))
+    place, kept = docs.columns.index(text), [c for c in docs.columns if c != text]
 
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _parts(batch, place):
+                found = Aligned(texts, path_a, path_b)
+                counts = [np.diff(x) for x in (*found.starts, found.first_cut, found.first_link)]
+                sha = [hashlib.sha256(g).hexdigest() if g else "" for g in found.groups()]
+                pairs, times = zip(*found.pairs(size_b))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, counts), pa.array(sha), pa.array(pairs, pa.binary()), pa.array(times, pa.binary())], [*kept, *(f.name for f in added)])
 
-def linked(frame: DataFrame, size_b: int) -> DataFrame:
-    """An aligned frame with ``pairs``: of each link the number A id * size_b + B id."""
-    long = lambda x: x.cast("long")
-    return frame.withColumn("pairs", F.zip_with("link_a", "link_b", lambda i, j: long(F.get("a_ids", i)) * size_b + long(F.get("b_ids", j))))
+    return docs.mapInArrow(digest, StructType([f for f in docs.schema.fields if f.name != text] + added))
 
 
 def pair_counts(frame: DataFrame, size_b: int) -> DataFrame:
-    """(pair, n, best): documents that hold each pair linked, and whether no other pair of its A id has more."""
-    counts = written(frame.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    """(pair, n, best): documents that hold each pair linked, and whether no other pair of its A id has more.
+
+    frame: pairs, each document's once.  Every task adds up its own before the shuffle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+
+    counts = written(frame.select("pairs").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     a = F.floor(F.col("pair") / size_b).cast("long")
     most = counts.groupBy(a.alias("a")).agg(F.max("n").alias("most"))
     return counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def scored(frame: DataFrame, counts: DataFrame, most: int = MOST) -> DataFrame:
-    """frame (row: unique, pairs) with n_best and count_sum of its links: those of its A id's highest count, and all links' counts."""
-    if counts.count() <= most:
-        found = counts.orderBy("pair").toArrow()
-        held = frame.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy() for c in ("pair", "n", "best")))
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pair, n, best = held.value
-            for batch in batches:
-                lists = batch.column(1)
-                values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-                at = np.searchsorted(pair, values)
-                sums = [np.concatenate(([0], np.cumsum(x[at].astype(np.int64)))) for x in (best, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[offsets[1:]] - s[offsets[:-1]]) for s in sums)], ["row", "n_best", "count_sum"])
-
-        return frame.select("row", "pairs").mapInArrow(look, "row long, n_best long, count_sum long")
-    links = frame.select("row", F.explode("pairs").alias("pair"))
-    sized = counts.withColumn("n_rows", F.col("n"))
-    return salted_join(links, sized, ["pair"], "row").groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
+    """frame (pairs, times and others) with n_best and count_sum instead: links of their A id's highest count, and all links' counts."""
+    if counts.count() > most:
+        return _joined(frame, counts)
+    found = counts.orderBy("pair").toArrow()
+    held = frame.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy() for c in ("pair", "n", "best")))
+    kept = [c for c in frame.columns if c not in ("pairs", "times")]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, n, best = held.value
+        for batch in batches:
+            sums = []
+            for p, t in zip(batch.column("pairs").to_pylist(), batch.column("times").to_pylist()):
+                at, times = np.searchsorted(pair, np.frombuffer(p, "<i8")), np.frombuffer(t, "<i4").astype(np.int64)
+                sums.append((int(times[best[at]].sum()), int((times * n[at]).sum())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([s[i] for s in sums], pa.int64()) for i in (0, 1))], [*kept, "n_best", "count_sum"])
+
+    fields = [f for f in frame.schema.fields if f.name in kept]
+    return frame.mapInArrow(look, StructType(fields + _parse_datatype_string("n_best long, count_sum long").fields))
+
+
+def _joined(frame: DataFrame, counts: DataFrame) -> DataFrame:
+    """``scored`` for a table of counts that is too large for a task."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, p, t in zip(*(batch.column(c).to_pylist() for c in ("row", "pairs", "times"))):
+                pair = np.frombuffer(p, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), row)), pa.array(pair), pa.array(np.frombuffer(t, "<i4"))], ["row", "pair", "times"])
+
+    links = frame.select("row", "pairs", "times").mapInArrow(spread, "row long, pair long, times int")
+    met = salted_join(links, counts.withColumn("n_rows", F.col("n")), ["pair"], "row")
+    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).cast("long").alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return frame.drop("pairs", "times").join(sums, "row", "left").select(*(c for c in frame.columns if c not in ("pairs", "times")), zero("n_best"), zero("count_sum"))
 
 
 def digests(docs: DataFrame, path_a: str, path_b: str, size_b: int, text: str = "text", most: int = MOST) -> DataFrame:
     """docs without their texts, with numbers of tokens, groups and links, the groups' hash, n_best and count_sum."""
-    size = lambda c: F.size(c).cast("long")
-    pairs = linked(aligned(docs, path_a, path_b, text), size_b)
-    sha = F.when(F.size("a_ids") > 0, F.sha2(groups(F.col("a_ids"), F.col("b_ids"), F.col("cut_a"), F.col("cut_b")).cast("binary"), 256)).otherwise("")
-    made = ("row", "pairs", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(f.name for f in _parse_datatype_string(_ADDED)))
-    kept = [c for c in docs.columns if c != text and c not in made]
-    light = pairs.select(*kept, size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("cut_a").alias("n_groups"), size("link_a").alias("n_links"), sha.alias("groups_sha256"), "pairs", F.monotonically_increasing_id().alias("row"))
+    light = digested(docs.drop("row", "n_best", "count_sum"), path_a, path_b, size_b, text).withColumn("row", F.monotonically_increasing_id())
     table = written(light, "linked")
-    counts = written(pair_counts(table, size_b), "counts")
-    number = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    out = table.drop("pairs").join(scored(table, counts, most), "row", "left")
-    return out.select(*kept, "n_a", "n_b", "n_groups", "n_links", number("n_best"), number("count_sum"), "groups_sha256")
+    out = scored(table, written(pair_counts(table, size_b), "counts"), most)
+    return out.select(*(c for c in out.columns if c not in ("row", "groups_sha256")), "groups_sha256")
 
 
 def sizes(path_b: str) -> int:
