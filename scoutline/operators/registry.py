@@ -9,12 +9,23 @@ from scoutline.functions import identity as ident
 from scoutline.functions.ladders import months
 
 # --- fixed values ---------------------------------------------------------------------------------------
-CORPORATE_ROLES = ("corporate-secretary", "corporate-director", "corporate-nominee-director", "corporate-nominee-secretary", "corporate-llp-member")
-SECRETARY_ROLES = ("secretary", "corporate-secretary", "corporate-nominee-secretary")
-FOUNDER_ROLES = ("director", "llp-member", "llp-designated-member", "member", "manager")
+CORPORATE_ROLES = (
+    "corporate-director",
+    "corporate-secretary",
+    "corporate-nominee-director",
+    "corporate-nominee-secretary",
+    "corporate-llp-designated-member",
+    "corporate-llp-member",
+    "corporate-managing-officer",
+    "corporate-member-of-a-management-organ",
+    "corporate-member-of-a-supervisory-organ",
+    "corporate-member-of-an-administrative-organ",
+)
+SECRETARY_ROLES = ("secretary", "corporate-secretary", "nominee-secretary", "corporate-nominee-secretary")
+FOUNDER_ROLES = ("director", "llp-designated-member", "llp-member", "member-of-a-management-organ", "managing-officer", "judicial-factor")
 SHARE_ISSUE_MONTHS = 18
 OFFICERS = "struct<items: array<struct<name: string, officer_role: string, appointed_on: string, resigned_on: string, identification: string, links: struct<officer: struct<appointments: string>>>>>"
-CONTROLLERS = "struct<items: array<struct<name: string, kind: string, notified_on: string, ceased_on: string, natures_of_control: array<string>>>>"
+CONTROLLERS = "struct<items: array<struct<name: string, kind: string, notified_on: string, ceased_on: string, ceased: boolean, natures_of_control: array<string>>>>"
 FILINGS = "struct<items: array<struct<type: string, date: string, transaction_id: string>>>"
 
 
@@ -23,7 +34,7 @@ def officers(df: DataFrame, id_col: str, raw: str) -> DataFrame:
     items = df.select(id_col, F.posexplode(F.from_json(raw, OFFICERS)["items"]).alias("at", "o"))
     role = F.nullif(F.lower(F.trim("o.officer_role")), F.lit(""))
     link = F.regexp_extract(F.coalesce("o.links.officer.appointments", F.lit("")), "/officers/([^/]+)/", 1)
-    rows = items.select(id_col, "at", ident.display_name(F.col("o.name")).alias("name"), role.alias("role"), F.try_to_date("o.appointed_on").alias("appointed_on"), (F.coalesce(role.isin(*CORPORATE_ROLES), F.lit(False)) | F.col("o.identification").isNotNull()).alias("corporate"), F.col("o.resigned_on").isNotNull().alias("resigned"), F.nullif(link, F.lit("")).alias("officer_id"))
+    rows = items.select(id_col, "at", ident.display_name(F.col("o.name")).alias("name"), role.alias("role"), F.try_to_date("o.appointed_on").alias("appointed_on"), (F.coalesce(role.isin(*CORPORATE_ROLES), F.lit(False)) | F.col("o.identification").isNotNull()).alias("corporate"), (F.coalesce("o.resigned_on", F.lit("")) != "").alias("resigned"), F.nullif(link, F.lit("")).alias("officer_id"))
     return rows.where("name <> ''").withColumn("person", ident.person_key(F.col("name")))
 
 
@@ -31,7 +42,7 @@ def controllers(df: DataFrame, id_col: str, raw: str) -> DataFrame:
     """One row per named controller; protected ones are left out."""
     items = df.select(id_col, F.posexplode(F.from_json(raw, CONTROLLERS)["items"]).alias("at", "p"))
     kind = F.lower(F.coalesce("p.kind", F.lit("")))
-    rows = items.where(~F.contains(kind, F.lit("super-secure"))).select(id_col, "at", ident.display_name(F.col("p.name")).alias("name"), F.try_to_date("p.notified_on").alias("notified_on"), (~F.contains(kind, F.lit("individual")) & ~F.contains(kind, F.lit("legal-person"))).alias("corporate"), F.col("p.ceased_on").isNotNull().alias("ceased"), F.size(F.coalesce("p.natures_of_control", F.array().cast("array<string>"))).alias("controls"))
+    rows = items.where(~F.contains(kind, F.lit("super-secure"))).select(id_col, "at", ident.display_name(F.col("p.name")).alias("name"), F.try_to_date("p.notified_on").alias("notified_on"), (~F.contains(kind, F.lit("individual")) & ~F.contains(kind, F.lit("legal-person"))).alias("corporate"), ((F.coalesce("p.ceased_on", F.lit("")) != "") | F.coalesce("p.ceased", F.lit(False))).alias("ceased"), F.size(F.coalesce("p.natures_of_control", F.array().cast("array<string>"))).alias("controls"))
     return rows.where("name <> ''").withColumn("person", ident.person_key(F.col("name")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
@@ -20,6 +20,32 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return norm.withColumns({"norm_key": F.replace("norm", F.lit(" "), F.lit("")), "tokens": ident.rare_tokens(F.col("norm"))})
 
 
+def registrable_of(df: DataFrame, value: str, rules: DataFrame) -> DataFrame:
+    """df with ``host`` and ``registrable`` by a table of public suffix rules (column ``rule``): the longest rule that fits a host's end.
+
+    Each distinct host is looked up by its ends: every end itself, with its first label as ``*``, and as an exception (``!``), which
+    is sold although a ``*`` covers it.  So the join is one of equal keys, and no host is compared with a rule that does not fit.
+    """
+    rows = held(df.withColumn("host", ident.host(F.col(value))), "host")
+    hosts = rows.select("host").where(~F.col("host").rlike(r"(?:^|[.])[0-9]+$")).distinct().withColumn("labels", F.split("host", "[.]"))
+    ends = hosts.select("host", "labels", F.posexplode(F.transform("labels", lambda _, i: F.array_join(F.slice("labels", i + 1, F.size("labels")), "."))).alias("at", "end"))
+    n = F.size("labels") - F.col("at")
+    keys = F.array(F.struct(F.col("end").alias("rule"), n.alias("n"), F.lit(0).alias("first")), F.struct(F.regexp_replace("end", "^[^.]+", "*").alias("rule"), n.alias("n"), F.lit(0).alias("first")), F.struct(F.concat(F.lit("!"), "end").alias("rule"), (n - 1).alias("n"), F.lit(1).alias("first")))
+    looked = ends.select("host", F.inline(keys)).join(rules.select("rule").distinct(), "rule")
+    best = looked.groupBy("host").agg(F.max(F.struct("first", "n")).alias("best"))
+    depth = F.coalesce(F.col("best.n"), F.lit(1))
+    found = F.when(F.size("labels") > depth, F.array_join(F.slice("labels", F.size("labels") - depth, depth + 1), "."))
+    denied = ident.is_denied_domain(F.col("host")) | ident.is_denied_domain(F.col("registrable"))
+    by_host = hosts.join(best, "host", "left").select("host", found.alias("registrable")).select("host", F.when(~denied, F.col("registrable")).alias("registrable"))
+    return rows.join(by_host, "host", "left")
+
+
+def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a public suffix list file: one in a line, without comments and blank lines."""
+    line = F.lower(F.trim(F.regexp_extract("value", r"^\s*(\S*)", 1)))
+    return spark.read.text(path).select(line.alias("rule")).where("rule <> '' and rule not like '//%'")
+
+
 def block(names: DataFrame, keys: tuple[str, ...] = (), part: int = 200, tokens: Column | None = None) -> DataFrame:
     """Pairs that share a token or an exact key: (a, b, name_a, name_b, shared), shared counting tokens.
 

@@ -36,7 +36,7 @@ def norm_city(city: Column) -> Column:
 
 
 def city_region(city: Column) -> Column:
-    return lookup(norm_city(city), config.flat(config.CITIES, ","))
+    return lookup(norm_city(city), config.flat(config.CITIES))
 
 
 def outcode_region(outcode: Column) -> Column:

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from scoutline import config
 from scoutline.functions import identity as ident
-from scoutline.operators import resolve
+from scoutline.operators import entities, resolve
 from scoutline.plans import proxies
 
 m = proxies.mentions
+#: Addresses of pages and mentions; every second one is moved under another suffix.
+PLACE = """
+SELECT 'page' AS kind, page_id AS id, CASE page_id % 10 WHEN 0 THEN 'http://shop.acme' || CAST(page_id AS VARCHAR(20)) || '.com.sg/x' WHEN 1 THEN '192.168.1.1:80' WHEN 2 THEN 'a.b.c.kawasaki.jp' WHEN 3 THEN 'x.city.kawasaki.jp' WHEN 4 THEN 'co.uk' WHEN 5 THEN 'www.ck' ELSE url END AS place FROM {pages}
+UNION ALL SELECT 'mention', k, 'https://www.site' || CAST(CAST(floor(k / 3) AS BIGINT) AS VARCHAR(20)) || CASE k % 8 WHEN 0 THEN '.co.uk' WHEN 1 THEN '.com.sg' WHEN 2 THEN '.org' WHEN 3 THEN '.x.bd' WHEN 4 THEN '.example' WHEN 5 THEN '.gov.au' WHEN 6 THEN '.school.za' ELSE '.ac.uk' END || '/p?q#f'
+FROM (SELECT c_custkey AS k FROM {customer}) AS keys
+"""
 c = F.col
 
 
@@ -30,6 +36,13 @@ def web_identity(spark: SparkSession, sf: str) -> DataFrame:
     return host.select("id", "host", ident.is_denied_domain(c("host")).alias("denied"), ident.registrable(c("domain")).alias("domain"))
 
 
+def registrable_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and mentions by the domain below the longest public suffix rule that fits, over hosts under many suffixes."""
+    rules = spark.createDataFrame([(r,) for r in ident.SUFFIX_RULES], "rule string")
+    places = proxies.relation(spark, sf, PLACE)
+    return resolve.registrable_of(places, "place", rules).select("kind", "id", "host", c("registrable").alias("domain"))
+
+
 def postal_codes(spark: SparkSession, sf: str) -> DataFrame:
     return m(spark, sf).select("id", ident.postcode(c("postcode")).alias("postcode"), ident.outcode(c("postcode")).alias("outcode"))
 
@@ -86,7 +99,38 @@ def best_match(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.best_matches(resolve.capped(verdicts, sizes)).select("a", "b", "decision", "rule")
 
 
-QUERIES = {f.__name__: f for f in (name_keys, registry_numbers, web_identity, postal_codes, country_codes, money_texts, strict_dates, found_dates, person_names, enum_values, nearest_enum_values, match_candidates, match_exact_rungs, match_verdicts, best_match)}
+def dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions with the day on which they were seen."""
+    return m(spark, sf).withColumn("seen", F.date_add(F.lit("2001-01-01").cast("date"), F.pmod(c("id") * 7, F.lit(200)).cast("int")))
+
+
+def resolved_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity of every mention, and whether the mention made it."""
+    return entities.resolved(dated(spark, sf))["places"]
+
+
+def resolved_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.resolved(dated(spark, sf))["entities"]
+
+
+def entity_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.resolved(dated(spark, sf))["identifiers"]
+
+
+def review_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of entities that a person decides on."""
+    return entities.resolved(dated(spark, sf))["reviews"]
+
+
+def merges_undone(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities after every fifth merge has been taken back; the others stay as they were."""
+    found = entities.resolved(dated(spark, sf))
+    undone = found["merges"].where((c("a") + c("b")) % 5 == 0).select("a", "b")
+    now, _, touched = entities.rebuilt(found["places"], found["merges"], found["keyed"], undone)
+    return found["places"].join(touched, "entity", "left_anti").select("id", "entity", "action").unionByName(now)
+
+
+QUERIES = {f.__name__: f for f in (name_keys, registry_numbers, web_identity, registrable_domains, postal_codes, country_codes, money_texts, strict_dates, found_dates, person_names, enum_values, nearest_enum_values, match_candidates, match_exact_rungs, match_verdicts, best_match, resolved_mentions, resolved_entities, entity_identifiers, review_pairs, merges_undone)}
 
 _M = "(" + proxies.duck(proxies.MENTION) + ")"
 _list = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -99,7 +143,10 @@ _FLAT_NUMBER = "nullif(regexp_replace(upper(number), '[^A-Z0-9]', '', 'g'), '')"
 _NUMBER = f"CASE WHEN regexp_matches({_FLAT_NUMBER}, '^[A-Z][A-Z][0-9]+$') THEN left({_FLAT_NUMBER}, 2) || lpad(substr({_FLAT_NUMBER}, 3), greatest(6, length({_FLAT_NUMBER}) - 2)::INT, '0') WHEN regexp_matches({_FLAT_NUMBER}, '^[0-9]+$') THEN lpad({_FLAT_NUMBER}, greatest(8, length({_FLAT_NUMBER}))::INT, '0') ELSE {_FLAT_NUMBER} END"
 _HOST = r"nullif(regexp_replace(split_part(split_part(split_part(split_part(regexp_replace(regexp_replace(lower(trim(domain)), '^[a-z][a-z0-9+.\-]*://', ''), '^.*@', ''), '/', 1), '?', 1), '#', 1), ':', 1), '\.+$', ''), '')"
 _DENIED = "({h} = 'ac.uk' OR {h} LIKE '%.ac.uk' OR " + " OR ".join(f"{{h}} = '{d}' OR {{h}} LIKE '%.{d}'" for d in ident.DENIED_DOMAINS) + ")"
-_REGISTRABLE = f"CASE WHEN NOT {_DENIED.replace('{h}', 'host')} THEN nullif(CASE WHEN " + " OR ".join(f"host LIKE '%.{s}'" for s in ident.LONG_SUFFIXES) + r" THEN regexp_extract(host, '[^.]+\.[^.]+\.[^.]+$') ELSE regexp_extract(host, '[^.]+\.[^.]+$') END, '') END"
+_sold, _wild, _plain = ident.suffix_forms(ident.SUFFIX_RULES)
+_BARE = "^([^.]+|[^.]+[.](" + "|".join(r[2:].replace(".", "[.]") for r in ident.SUFFIX_RULES if r.startswith("*.")) + ")|" + "|".join(r.replace(".", "[.]") for r in ident.SUFFIX_RULES if r[0] not in "!*") + ")$"
+_PART = "coalesce(" + ", ".join(f"nullif(regexp_extract(host, '{f}', 1), '')" for f in (_sold,)) + f", CASE WHEN regexp_matches(host, '{_BARE}') THEN '' END, " + ", ".join(f"nullif(regexp_extract(host, '{f}', 1), '')" for f in (_wild, _plain, "(?:^|[.])([^.]+[.][^.]+)$")) + ")"
+_REGISTRABLE = f"CASE WHEN NOT {_DENIED.replace('{h}', 'host')} AND NOT regexp_matches(host, '(^|[.])[0-9]+$') THEN nullif({_PART}, '') END"
 _POST = "upper(regexp_replace(postcode, '[^A-Za-z0-9]', '', 'g'))"
 _COUNTRY_FLAT = "trim(regexp_replace(lower(trim(country)), '[^a-z]+', ' ', 'g'))"
 _COUNTRY = "CASE " + " ".join(f"WHEN {_COUNTRY_FLAT} IN ({_list(names)}) THEN '{code}'" for code, names in ident.COUNTRIES.items()) + f" WHEN length({_COUNTRY_FLAT}) = 2 THEN upper({_COUNTRY_FLAT}) END"
@@ -125,6 +172,11 @@ SQL = {
     "name_keys": f"SELECT id, norm, {_KEY} AS norm_key, array_to_string(list_sort({_TOKENS}), ' ') AS tokens, {_PLACEHOLDER.replace('{k}', _KEY)} AS placeholder FROM (SELECT id, {_norm('name')} AS norm FROM {_M})",
     "registry_numbers": f"SELECT id, {_NUMBER} AS number FROM {_M}",
     "web_identity": f"SELECT id, host, coalesce({_DENIED.replace('{h}', 'host')}, FALSE) AS denied, {_REGISTRABLE} AS domain FROM (SELECT id, {_HOST} AS host FROM {_M})",
+    "registrable_domains": f"""WITH rules AS (SELECT unnest([{_list(ident.SUFFIX_RULES)}]) AS rule), p AS (SELECT kind, id, {_HOST.replace('domain', 'place')} AS host FROM ({proxies.duck(PLACE)})),
+h AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM p WHERE NOT regexp_matches(host, '(^|[.])[0-9]+$')), e AS (SELECT host, labels, i, array_to_string(labels[i:], '.') AS tail, array_to_string(labels[i + 1:], '.') AS parent FROM h, unnest(range(1, len(labels) + 1)) AS u(i)),
+f AS (SELECT host, labels, max(CASE WHEN '!' || tail IN (FROM rules) THEN len(labels) - i END) AS sold, max(CASE WHEN tail IN (FROM rules) OR '*.' || parent IN (FROM rules) THEN len(labels) - i + 1 END) AS most FROM e GROUP BY host, labels),
+d AS (SELECT host, CASE WHEN len(labels) > coalesce(sold, most, 1) THEN array_to_string(labels[len(labels) - coalesce(sold, most, 1):], '.') END AS domain FROM f)
+SELECT kind, id, p.host, CASE WHEN NOT {_DENIED.replace('{h}', 'p.host')} AND NOT {_DENIED.replace('{h}', 'domain')} THEN domain END AS domain FROM p LEFT JOIN d ON d.host = p.host""",
     "postal_codes": f"SELECT id, CASE WHEN regexp_matches(p, '^[A-Z][A-Z]?[0-9][A-Z0-9]?[0-9][A-Z][A-Z]$') THEN left(p, length(p) - 3) || ' ' || right(p, 3) END AS postcode, CASE WHEN regexp_matches(p, '^[A-Z][A-Z]?[0-9][A-Z0-9]?[0-9][A-Z][A-Z]$') THEN left(p, length(p) - 3) WHEN regexp_matches(p, '^[A-Z][A-Z]?[0-9][A-Z0-9]?$') THEN p END AS outcode FROM (SELECT id, {_POST} AS p FROM {_M})",
     "country_codes": f"SELECT id, {_COUNTRY} AS country FROM {_M}",
     "money_texts": f"SELECT id, amount, currency, CASE WHEN currency IS NULL OR currency = 'GBP' THEN amount END AS sterling FROM (SELECT id, {_AMOUNT} AS amount, {_CURRENCY} AS currency FROM (SELECT id, trim(money_text) AS s FROM {_M}))",

@@ -172,8 +172,8 @@ _W = "(SELECT o_orderkey AS id, o_orderkey - o_orderkey % 4 AS root FROM orders
 _OFF = f"(SELECT company_id, unnest(from_json(officers::JSON -> 'items', '[\"JSON\"]')) AS o FROM {_R})"
 _DISPLAY = "CASE WHEN contains({n}, ',') THEN trim(split_part({n}, ',', 2)) || ' ' || upper(left({n}, 1)) || lower(substr(split_part({n}, ',', 1), 2)) ELSE {n} END"
 _OFFICER = f"(SELECT company_id, {_DISPLAY.replace('{n}', chr(123) + 'n' + chr(125)).replace('{n}', '(o ->> ' + chr(39) + 'name' + chr(39) + ')')} AS name, lower(o ->> 'officer_role') AS role, try_cast(o ->> 'appointed_on' AS DATE) AS appointed_on, coalesce(lower(o ->> 'officer_role') LIKE 'corporate-%', FALSE) AS corporate, (o ->> 'resigned_on') IS NOT NULL AS resigned, nullif(regexp_extract(coalesce(o -> 'links' -> 'officer' ->> 'appointments', ''), '/officers/([^/]+)/', 1), '') AS officer_id FROM {_OFF})"
-_CAND = "NOT corporate AND NOT resigned AND (role IS NULL OR role IN ('director', 'llp-member', 'llp-designated-member', 'member', 'manager'))"
-_PSC = f"(SELECT company_id, p ->> 'name' AS name, try_cast(p ->> 'notified_on' AS DATE) AS notified_on, NOT contains(p ->> 'kind', 'individual') AND NOT contains(p ->> 'kind', 'legal-person') AS corporate, (p ->> 'ceased_on') IS NOT NULL AS ceased, json_array_length(p -> 'natures_of_control')::INT AS controls FROM (SELECT company_id, unnest(from_json(controllers::JSON -> 'items', '[\"JSON\"]')) AS p FROM {_R}) WHERE NOT contains(p ->> 'kind', 'super-secure'))"
+_CAND = "NOT corporate AND NOT resigned AND (role IS NULL OR role IN ('director', 'llp-designated-member', 'llp-member', 'member-of-a-management-organ', 'managing-officer', 'judicial-factor'))"
+_PSC = f"(SELECT company_id, p ->> 'name' AS name, try_cast(p ->> 'notified_on' AS DATE) AS notified_on, NOT contains(p ->> 'kind', 'individual') AND NOT contains(p ->> 'kind', 'legal-person') AS corporate, coalesce(p ->> 'ceased_on', '') <> '' OR coalesce((p ->> 'ceased')::BOOLEAN, FALSE) AS ceased, json_array_length(p -> 'natures_of_control')::INT AS controls FROM (SELECT company_id, unnest(from_json(controllers::JSON -> 'items', '[\"JSON\"]')) AS p FROM {_R}) WHERE NOT contains(p ->> 'kind', 'super-secure'))"
 _M = "(" + proxies.duck(proxies.MENTION) + ")"
 _CO = "(" + proxies.duck(proxies.COMPANY) + ")"
 SQL = {

@@ -57,7 +57,7 @@ CTE = (
     + proxies.duck(proxies.COMPANY)
     + f"""), born AS (SELECT *, date_diff('day', coalesce(incorporated_on, make_date(founded_year, 7, 1)), DATE '{proxies.AS_OF}') / 30.4375::DOUBLE AS age_months, string_split(codes, ',') AS code_list FROM company),
 placed AS (SELECT * EXCLUDE (sector), coalesce(sector, CASE WHEN len(code_list) > 0 THEN coalesce({_CODE.replace('{c}', 'code_list[1]')}, {_CODE.replace('{c}', 'code_list[2]')}, 'other') END) AS sector,
-  {_case(_CITY, config.flat(config.CITIES, ','))} AS by_city,
+  {_case(_CITY, config.flat(config.CITIES))} AS by_city,
   CASE WHEN outcode IS NOT NULL THEN coalesce({_case("regexp_extract(upper(outcode), '^[A-Z]+')", config.flat(config.AREAS))}, 'uk_wide') END AS by_outcode,
   CASE WHEN region IS NOT NULL OR country IN ({', '.join(map(_text, config.UK_COUNTRIES))}) THEN
     CASE WHEN region = 'London' THEN 'london' WHEN region = 'North East' THEN 'north_east' WHEN region = 'Yorkshire and The Humber' THEN 'yorkshire'

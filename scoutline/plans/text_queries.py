@@ -13,8 +13,8 @@ c = F.col
 
 #: Articles: a page's place with the wording of funding news around its key, and a plain page for every fifth.
 ARTICLE = """
-SELECT page_id, url, html, name || ' ' || CASE page_id % 6 WHEN 0 THEN 'raises £' || CAST(page_id % 90 + 1 AS VARCHAR(20)) || '.5m' WHEN 1 THEN 'secures $2,000k' WHEN 2 THEN 'wins' WHEN 3 THEN 'files for IPO' WHEN 4 THEN 'newsletter' ELSE 'closes' END AS title,
-  CASE WHEN page_id % 5 = 0 THEN 'A short note.' ELSE name || ' Ltd builds tools for teams. It was ' || CASE page_id % 3 WHEN 0 THEN 'founded in 2021' WHEN 1 THEN 'spun out in 2019' ELSE 'started lately' END || '. The Leeds-based firm closed a ' ||
+SELECT page_id, url, html, CASE page_id % 7 WHEN 0 THEN 'Newcastle''s ' WHEN 1 THEN 'Leeds-based ' WHEN 2 THEN 'Exclusive: ' WHEN 3 THEN 'Harbour invests in startup ' ELSE '' END || name || ' ' || CASE page_id % 6 WHEN 0 THEN 'raises £' || CAST(page_id % 90 + 1 AS VARCHAR(20)) || '.5m' WHEN 1 THEN 'secures $2,000k' WHEN 2 THEN 'wins' WHEN 3 THEN 'files for IPO' WHEN 4 THEN 'newsletter' ELSE 'closes' END AS title,
+  CASE WHEN page_id % 5 = 0 THEN 'A short note.' ELSE name || ' Ltd builds tools for teams. It was ' || CASE page_id % 3 WHEN 0 THEN 'founded in 2021' WHEN 1 THEN 'spun out in 2019' ELSE 'started lately' END || '. The ' || CASE page_id % 8 WHEN 0 THEN 'U.S.-based' WHEN 1 THEN 'Los Angeles-based' WHEN 2 THEN 'Dubai startup and' WHEN 3 THEN 'Paris-based' WHEN 4 THEN 'Scotland headquartered' ELSE 'Leeds-based' END || ' firm closed a ' ||
     CASE page_id % 4 WHEN 0 THEN 'seed round' WHEN 1 THEN 'Series B' WHEN 2 THEN 'pre-seed deal' ELSE 'Series A' END || ' worth €3m.' || chr(10) || 'Its backers are based in the United States.' || repeat(' More words follow here.', 20) END AS words
 FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Beta Labs' WHEN 2 THEN 'Delta' ELSE 'Echo Works' END || ' ' || CASE page_id % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'South' ELSE 'Mid' END AS name FROM {pages}) AS p
 """
@@ -107,6 +107,9 @@ _LATE = r"(?i)\b(series\s+[b-z]|growth round|late[- ]stage(?: round)?|pre-?IPO)\
 _STAGE = f"CASE WHEN regexp_matches(b, '{text.IPO}') THEN 'growth' WHEN regexp_matches(b, '{_LATE}') THEN 'series_b_plus' " + " ".join(f"WHEN regexp_matches(b, '{w}') THEN '{s}'" for s, w in text.STAGE_WORDS) + " END"
 _SUM = f"CASE WHEN regexp_matches(title, '{text.AMOUNT}') THEN title ELSE words END"
 _scale = "CASE lower(regexp_extract(s, '" + text.AMOUNT + "', 3)) WHEN 'k' THEN 1e3 WHEN 'thousand' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'mn' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'bn' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END"
+_HEAD = f"regexp_replace(trim(title), '{_q(text.PRELUDE)}', '')"
+_NAME = "list_filter([" + ", ".join(f"trim(regexp_extract({s}, '{_q(p)}', 1), ' ,.-–—')" for s, p in ((_HEAD, text.TARGET_IN_TITLE), (_HEAD, text.NAME_IN_TITLE), ("words", text.LEGAL_ENTITY), (_HEAD, text.IPO_SUBJECT), ("words", text.IPO_SUBJECT))) + "], lambda n: length(n) > 1)[1]"
+_SEAT = "list_min(list_filter([" + ", ".join(f"{{'at': strpos(b, nullif(regexp_extract(b, '{p}'), '')), 'code': '{k}'}}" for k, p in text.HQ.items()) + "], lambda x: x.at IS NOT NULL)).code"
 _TAGGED = "'<meta property=\"og:title\" content=\"OG ' || page_id || '\">'"
 _ok = lambda q: f"(length({_fold(q)}) >= 12 AND contains({_fold('body')}, {_fold(q)}))"
 SQL = {
@@ -116,9 +119,9 @@ SQL = {
     "title_ladder": rf"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'OG ' || page_id ELSE coalesce(CASE WHEN page_id % 3 = 2 THEN nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '<[^>]+>', '', 'g')), '') END, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]+>', '', 'g')), ''), '') END AS title FROM pages""",
     "article_facts": rf"""SELECT page_id, name, amount, currency, stage, founded, country, list_filter(list_transform(regexp_extract_all(words, '[^.!?\n]+[.!?]?'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: length(s) <= 200 AND contains(lower(s), lower(name)) AND regexp_matches(s, '{text.DESCRIBES}'))[1] AS description,
   list_filter(list_transform(regexp_extract_all(words, '[^.\n]+\.?'), lambda s: trim(s)), lambda s: contains(s, name))[1] AS sentence
-FROM (SELECT *, coalesce(nullif(regexp_extract(title, '{_q(text.NAME_IN_TITLE)}', 1), ''), nullif(regexp_extract(words, '{text.LEGAL_ENTITY}', 1), '')) AS name, try_cast(replace(regexp_extract(s, '{text.AMOUNT}', 2), ',', '') AS DOUBLE) * {_scale} AS amount, CASE regexp_extract(s, '{text.AMOUNT}', 1) WHEN '£' THEN 'GBP' WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' END AS currency,
-  {_STAGE} AS stage, nullif(regexp_extract(words, '{text.FOUNDED}', 1), '')::INT AS founded, CASE WHEN contains(words, 'Leeds-based') THEN 'GB' END AS country FROM (SELECT *, title || chr(10) || words AS b, {_SUM} AS s FROM {_A}) WHERE TRUE) WHERE page_id % 5 <> 0
-UNION ALL SELECT page_id, nullif(regexp_extract(title, '{_q(text.NAME_IN_TITLE)}', 1), ''), try_cast(replace(regexp_extract(title, '{text.AMOUNT}', 2), ',', '') AS DOUBLE) * CASE WHEN contains(title, 'k') AND contains(title, '$') THEN 1e3 ELSE 1e6 END, CASE WHEN contains(title, '£') THEN 'GBP' WHEN contains(title, '$') THEN 'USD' END, CASE WHEN contains(title, 'IPO') THEN 'growth' END, NULL, NULL, NULL, NULL FROM {_A} WHERE page_id % 5 = 0""",
+FROM (SELECT *, {_NAME} AS name, try_cast(replace(regexp_extract(s, '{text.AMOUNT}', 2), ',', '') AS DOUBLE) * {_scale} AS amount, CASE regexp_extract(s, '{text.AMOUNT}', 1) WHEN '£' THEN 'GBP' WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' END AS currency,
+  {_STAGE} AS stage, nullif(regexp_extract(words, '{text.FOUNDED}', 1), '')::INT AS founded, {_SEAT} AS country FROM (SELECT *, title || chr(10) || words AS b, {_SUM} AS s FROM {_A}) WHERE TRUE) WHERE page_id % 5 <> 0
+UNION ALL SELECT page_id, {_NAME}, try_cast(replace(regexp_extract(title, '{text.AMOUNT}', 2), ',', '') AS DOUBLE) * CASE WHEN contains(title, 'k') AND contains(title, '$') THEN 1e3 ELSE 1e6 END, CASE WHEN contains(title, '£') THEN 'GBP' WHEN contains(title, '$') THEN 'USD' END, CASE WHEN contains(title, 'IPO') THEN 'growth' END, NULL, {_SEAT}, NULL, NULL FROM (SELECT *, title || chr(10) || words AS b FROM {_A}) WHERE page_id % 5 = 0""",
     "text_cuts": r"SELECT doc_id, md5(regexp_extract(text, '^((?:\s*\S+){1,25})', 1)) AS words, md5(CASE WHEN length(text) <= 96 THEN text ELSE rtrim(left(text, 95), ' ') || '…' END) AS cut FROM documents",
     "structure_fingerprints": "SELECT left(sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))), chr(10))), 16) AS fingerprint, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1",
     "grounding_checks": f"""SELECT page_id, CASE WHEN q1 IS NULL OR {_ok('q1')} THEN 'Acme' END AS company_name, CASE WHEN q2 IS NULL OR {_ok('q2')} THEN 3.0::DOUBLE END AS amount, CASE WHEN {_ok('q3')} THEN 'seed' END AS stage, failed, checked, round(failed / checked, 6) AS rate
