@@ -173,6 +173,12 @@ def entities(places: DataFrame, keyed: DataFrame) -> DataFrame:
     return rows.groupBy("entity").agg(F.min_by("name", "order").alias("name"), F.min_by("norm_key", "order").alias("norm_key"), *known, F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count(F.lit(1)).alias("n_mentions"))
 
 
+def absorbed(places: DataFrame, merges: DataFrame) -> DataFrame:
+    """(id, n): of each mention the size of its entity that the cap counts, itself and what it has absorbed by similar names."""
+    fuzzy = merges.where(_fuzzy(F.col("rule"))).join(places.select(F.col("id").alias("a"), "entity"), "a").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return places.join(fuzzy, "entity").select("id", (F.col("n") + 1).alias("n"))
+
+
 def identifiers(places: DataFrame, keyed: DataFrame) -> DataFrame:
     """(entity, kind, value, first_seen): numbers, domains, the entity's own name key, and other keys as aliases."""
     rows = places.join(keyed, "id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
-from scoutline.functions.frames import held
+from scoutline.functions.frames import held, stored
 
 #: Ladder thresholds (fixed values): fuzzy scores that merge and that go to review, names that are short, their Jaro-Winkler, cluster size.
 MERGE, REVIEW, SHORT, SHORT_JARO, MAX_CLUSTER = 92, 84, 12, 0.90, 3
@@ -69,7 +69,7 @@ def block(names: DataFrame, keys: tuple[str, ...] = (), part: int = 200, tokens:
 
 def candidates(mentions: DataFrame) -> DataFrame:
     """Keyed pairs (columns _a and _b) that share a registry number, a domain, a name's key or a distinctive token."""
-    known = keyed(mentions)
+    known = stored(keyed(mentions))
     named = ~ident.is_placeholder(F.col("norm_key"))  # a placeholder's name brings nobody together
     blocked = known.select("id", "name", "number", "domain", F.when(named, F.col("norm_key")).alias("norm_key"), F.when(named, F.col("tokens")).otherwise(F.array().cast("array<string>")).alias("tokens"))
     pairs = block(blocked, ("number", "domain", "norm_key"), tokens=F.col("tokens")).select("a", "b")
@@ -77,6 +77,34 @@ def candidates(mentions: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def _verdict(steps: list[tuple], otherwise: Column | None = None) -> Column:
+    """The first step that holds, as decision, rule, tier and confidence."""
+    made = lambda decision, rule, tier, confidence: F.struct(F.lit(decision).alias("decision"), F.lit(rule).alias("rule"), F.lit(tier).alias("tier"), F.lit(confidence).cast("double").alias("confidence"))
+    out = None
+    for condition, *rest in steps:
+        out = F.when(condition, made(*rest)) if out is None else out.when(condition, made(*rest))
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def _exact_steps() -> list[tuple]:
+    """Rungs that need no similarity: numbers settle everything; then domains, placeholders, and equal keys of countries that agree."""
+    col = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+    (na, nb), (ka, kb), (ca, cb), (da, db) = col("number"), col("norm_key"), col("country"), col("domain")
+    return [
+        (na == nb, "merge", "ch_exact", 0, 1.0),
+        (na != nb, "distinct", "ch_conflict", 0, 1.0),
+        (da == db, "merge", "domain_exact", 1, 0.97),
+        (ident.is_placeholder(ka) | ident.is_placeholder(kb), "distinct", "placeholder", 2, None),
+        ((ka == kb) & F.coalesce(ca != cb, F.lit(False)), "distinct", "normkey_country_conflict", 3, None),
+        (ka == kb, "merge", "normkey_exact", 2, 0.95),
+    ]
+
+
+def exact_verdicts(pairs: DataFrame) -> DataFrame:
+    """Keyed pairs that an exact rung decides, with decision, rule, tier and confidence; no similarity is computed."""
+    return pairs.withColumn("v", _verdict(_exact_steps())).where("v is not null").select("*", "v.*").drop("v")
+
+
 def compared(pairs: DataFrame) -> DataFrame:
     """Append decision, rule, tier, score and confidence of the ladder to keyed pairs.
 
@@ -102,12 +130,7 @@ def compared(pairs: DataFrame) -> DataFrame:
     pairs = pairs.where("not doubtful").withColumn("jaro", F.lit(None).cast("double")).unionByName(weak)
     near = F.col("score") >= MERGE
     steps = [
-        (na == nb, "merge", "ch_exact", 0, 1.0),
-        (na != nb, "distinct", "ch_conflict", 0, 1.0),
-        (domains, "merge", "domain_exact", 1, 0.97),
-        (ident.is_placeholder(ka) | ident.is_placeholder(kb), "distinct", "placeholder", 2, None),
-        ((ka == kb) & conflict, "distinct", "normkey_country_conflict", 3, None),
-        (ka == kb, "merge", "normkey_exact", 2, 0.95),
+        *_exact_steps(),
         (near & role_conflict, "review", "fuzzy_corporate_role_conflict", 4, None),
         (near & ~shared, "review", "fuzzy_guard_failed", 4, None),
         (near & conflict, "review", "fuzzy_country_conflict", 4, None),
@@ -116,12 +139,8 @@ def compared(pairs: DataFrame) -> DataFrame:
         (F.col("score") >= REVIEW, "review", "fuzzy", 5, None),
         (family, "review", "person_name_shared_token", 5, None),
     ]
-    out = None
-    for condition, decision, rule, tier, confidence in steps:
-        verdict = F.struct(F.lit(decision).alias("decision"), F.lit(rule).alias("rule"), F.lit(tier).alias("tier"), F.lit(confidence).cast("double").alias("confidence"))
-        out = F.when(condition, verdict) if out is None else out.when(condition, verdict)
     none = F.struct(F.lit("distinct").alias("decision"), F.lit("no_match").alias("rule"), F.lit(6).alias("tier"), F.lit(None).cast("double").alias("confidence"))
-    return pairs.withColumn("v", out.otherwise(none)).select("*", "v.*").drop("v", "exact", "doubtful", "jaro")
+    return pairs.withColumn("v", _verdict(steps, none)).select("*", "v.*").drop("v", "exact", "doubtful", "jaro")
 
 
 def capped(verdicts: DataFrame, sizes: DataFrame) -> DataFrame:

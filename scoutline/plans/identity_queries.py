@@ -83,8 +83,7 @@ def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def match_exact_rungs(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts that need no similarity: numbers, domains, placeholders, name keys and countries."""
-    verdicts = resolve.compared(resolve.candidates(m(spark, sf)))
-    return verdicts.where("tier <= 3").select("a", "b", "decision", "rule", "tier", "confidence")
+    return resolve.exact_verdicts(resolve.candidates(m(spark, sf))).select("a", "b", "decision", "rule", "tier", "confidence")
 
 
 def match_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +94,8 @@ def match_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 def best_match(spark: SparkSession, sf: str) -> DataFrame:
     """The entity that each mention goes to, clusters capped by what they have absorbed."""
     verdicts = resolve.compared(resolve.candidates(m(spark, sf)))
-    sizes = verdicts.where("decision = 'merge' and rule like 'fuzzy%'").groupBy(c("b").alias("id")).agg((F.count(F.lit(1)) + 1).alias("n"))
+    found = entities.resolved(dated(spark, sf))
+    sizes = entities.absorbed(found["places"], found["merges"])
     return resolve.best_matches(resolve.capped(verdicts, sizes)).select("a", "b", "decision", "rule")
 
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutline.operators import text
+from scoutline.functions import identity as ident
+from scoutline.functions.frames import stored
+from scoutline.operators import html, text
 from scoutline.plans import proxies
 
 t = proxies.table
 c = F.col
 
+#: Places of a page's body, the first that is there counts.
+SELECTORS = ["main .content", "article > p", "div.post", "body p", "body"]
+
 #: Articles: a page's place with the wording of funding news around its key, and a plain page for every fifth.
 ARTICLE = """
 SELECT page_id, url, html, CASE page_id % 7 WHEN 0 THEN 'Newcastle''s ' WHEN 1 THEN 'Leeds-based ' WHEN 2 THEN 'Exclusive: ' WHEN 3 THEN 'Harbour invests in startup ' ELSE '' END || name || ' ' || CASE page_id % 6 WHEN 0 THEN 'raises £' || CAST(page_id % 90 + 1 AS VARCHAR(20)) || '.5m' WHEN 1 THEN 'secures $2,000k' WHEN 2 THEN 'wins' WHEN 3 THEN 'files for IPO' WHEN 4 THEN 'newsletter' ELSE 'closes' END AS title,
@@ -97,7 +102,28 @@ def content_keys(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", F.left(key, F.lit(16)).alias("cache_key"), F.left(card, F.lit(16)).alias("card_hash"))
 
 
-QUERIES = {f.__name__: f for f in (page_texts, page_plain, page_meta, title_ladder, json_ld, page_prefilter, platform_hints, article_facts, text_cuts, url_parts, structure_fingerprints, grounding_checks, content_keys)}
+def page_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's elements, texts, deepest line and path set."""
+    pages = html.parsed(t(spark, sf, "pages").select("page_id", "html"), "html").drop("html")
+    tags = F.filter("nodes", lambda n: n["attrs"].isNotNull())
+    depth = F.array_max(F.transform("nodes", lambda n: F.length(n["line"]) - F.length(F.replace(n["line"], F.lit(" "), F.lit("")))))
+    return pages.select("page_id", F.size(tags).alias("elements"), (F.size("nodes") - F.size(tags)).alias("texts"), depth.alias("depth"), html.fingerprint(html.paths(c("nodes"))).alias("fingerprint"))
+
+
+def page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """What selectors find on every page: which one matched, the first text, a link, the shape of what matched, robots."""
+    pages = html.parsed(t(spark, sf, "pages").select("page_id", "html"), "html").drop("html").withColumn("any", html.select_any(c("nodes"), SELECTORS))
+    return pages.select("page_id", "any.selector", F.size("any.places").alias("n"), F.sha2(html.first_text(c("nodes"), ["article h1", "h1", "title"]), 256).alias("title_sha256"), html.attr_of(c("nodes"), "nav > ul a[href]", "href").alias("link"), html.node_shape(c("nodes"), c("any.places")).alias("shape"), html.no_index(c("nodes")).alias("no_index"))
+
+
+def structure_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of its site's usual structure every page has."""
+    pages = html.parsed(t(spark, sf, "pages").select("page_id", ident.host(c("url")).alias("host"), "html"), "html").drop("html")
+    pages = stored(pages.select("page_id", "host", html.paths(c("nodes")).alias("paths")))
+    return html.drift(pages, html.usual_paths(pages, "host"), "page_id", "host")
+
+
+QUERIES = {f.__name__: f for f in (page_texts, page_plain, page_meta, title_ladder, json_ld, page_prefilter, platform_hints, article_facts, text_cuts, url_parts, structure_fingerprints, grounding_checks, content_keys, page_nodes, page_fields, structure_drift)}
 
 _A = "(" + proxies.duck(ARTICLE) + ")"
 _q = lambda x: x.replace("'", "''")
