@@ -61,7 +61,7 @@ def test_alignment_whole_table(spark, tiny):
 
 def test_alignment_edges_and_large_tables_of_counts(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "<|endoftext|> and <s> </s> <unk>"), (5, "▁a b"), (6, "\x00\n\t\r"), (7, "é漢字😀" * 300), (8, "word " * 3000), (9, "a" * 2000), (10, "x"), (10, "x"), (-1, "x y")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"a_ids": F.lit(1), "n_a": F.lit(1)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"pairs": F.lit(1), "n_a": F.lit(1)})
     right = brute_alignment(rows)
     for most in (10**6, 0):  # whole table of counts in each task, salted join
         assert sorted(map(tuple, alignment.digests(df, A, B, alignment.sizes(B), most=most).collect())) == right
