@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,21 @@ def persist(store: Generations, judged: DataFrame, components: DataFrame, rescor
             old = store.read(name, after).where(F.col("generation") == generation).join(keys, key, "left_anti")
             new[name] = old.unionByName(df.select(old.columns))
     return store.write(new, after)
+
+
+def marked(inputs: DataFrame, configuration: str) -> DataFrame:
+    """inputs with ``mark``: a hash of the whole row and of the configuration that judges it."""
+    return inputs.withColumn("mark", F.sha2(F.concat(F.to_json(F.struct(*sorted(inputs.columns)), {"ignoreNullFields": "false"}), F.lit("|" + configuration)), 256))
+
+
+def refreshed(inputs: DataFrame, before: DataFrame, derived: DataFrame, key: str, configuration: str, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(derived rows, marks, changed inputs): only rows whose hash is new are computed, the others' results are taken over.
+
+    inputs: one row of a key; before: (key, mark) of the last time, also of rows that gave no result; derived: the results then, with
+    the key.  Results of keys that are gone go.
+    """
+    now = marked(inputs, configuration)
+    same = now.select(key, "mark").join(before.select(key, "mark"), [key, "mark"], "left_semi")
+    changed = now.join(same, [key, "mark"], "left_anti").drop("mark")
+    kept = derived.join(same.select(key), key, "left_semi")
+    return kept.unionByName(compute(changed).select(derived.columns)), now.select(key, "mark"), changed

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
-from scoutline.operators import grounding, history, relations, resolve, text
+from scoutline.operators import grounding, history, intake, relations, resolve, text
 from scoutline.plans import proxies
 from scoutline.plans.identity_queries import _KEYED, _PLACEHOLDER
+from scoutline.streaming import state
 from scoutline.streaming import windows as stream
 
 t = proxies.table
@@ -261,6 +262,29 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").groupBy(w.alias("w"), "user_id").agg(N()).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def user_silences(spark: SparkSession, sf: str) -> DataFrame:
+    """Users without an event for two days, told by a stream's timers up to its watermark."""
+    events = stream.events(spark, f"{sf}/events.parquet").select("at", "user_id")
+    told = state.run(state.silences(events, "user_id", 2.0), stream._folder(spark))
+    return told.select("key", F.col("last").cast("timestamp_ntz").alias("last"), F.col("since").cast("timestamp_ntz").alias("since"), "n")
+
+
+def content_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """What requests cost by day, if equal contents are paid once in five days (a stream with state of its own)."""
+    events = stream.events(spark, f"{sf}/events.parquet").select("at", "props", "value")
+    rows = state.run(state.ledger(events, "props", "value", 5.0), stream._folder(spark))
+    return rows.groupBy(F.to_date("at").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("paid").alias("paid"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+def intake_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of event as a source: rows seen, kept and dropped by the first rule that they break."""
+    rules = [("too_small", F.col("value") < 5), ("night", F.hour("ts") < 6)]
+    kinds = sorted(r.event_type for r in t(spark, sf, "events").select("event_type").distinct().collect())
+    sources = {k: (lambda k=k: t(spark, sf, "events").where(F.col("event_type") == k)) for k in kinds}
+    _, status = intake.gathered(spark, sources, rules, stream._folder(spark))
+    return status.select("source", "status", "seen", "kept", F.coalesce(F.col("dropped")["too_small"], F.lit(0)).alias("too_small"), F.coalesce(F.col("dropped")["night"], F.lit(0)).alias("night"))
+
+
 _SKIP = {"t", "N", "DAY"}
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in _SKIP}
 
@@ -321,6 +345,9 @@ WINDOW w AS (PARTITION BY company_id ORDER BY trust DESC, occurred_on DESC, sign
     "stream_sliding_counts": "SELECT day::TIMESTAMP AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([ts::DATE, ts::DATE - 1]) AS day FROM events) GROUP BY ALL",
     "stream_new_keys": "SELECT DISTINCT user_id, event_type FROM events",
     "sliding_counts": "SELECT day::TIMESTAMP AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([ts::DATE, ts::DATE - 1]) AS day FROM events) GROUP BY ALL",
+    "user_silences": """SELECT key, seen AS last, seen + INTERVAL 2 DAY AS since, n FROM (SELECT user_id::VARCHAR AS key, ts AS seen, lead(ts) OVER w AS next, (count(*) OVER w)::BIGINT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+WHERE coalesce(next, (SELECT max(ts) - INTERVAL 10 DAY FROM events)) >= seen + INTERVAL 2 DAY""",
+    "intake_status": "SELECT event_type AS source, CASE WHEN count(*) FILTER (WHERE NOT value < 5 AND hour(ts) >= 6) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS seen, count(*) FILTER (WHERE NOT value < 5 AND hour(ts) >= 6) AS kept, count(*) FILTER (WHERE value < 5) AS too_small, count(*) FILTER (WHERE NOT value < 5 AND hour(ts) < 6) AS night FROM events GROUP BY 1",
     "sessions": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""",
     "stream_tumbling_counts": "SELECT ts::DATE::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scoutline import config
 from scoutline.functions import ladders
-from scoutline.operators import scoring
+from scoutline.functions.frames import stored
+from scoutline.operators import generations, scoring
 from scoutline.plans import proxies
 
 
@@ -133,6 +134,24 @@ def rescore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).select("company_id", "fund", "fit", "edge", "coverage", "raw_sum", "priority", "tier", "vehicle", "reject_reason", F.array_join("flags", ",").alias("flags"))
 
 
+def judged(companies: DataFrame) -> DataFrame:
+    return scoring.rescore(companies, as_of()).select("company_id", "fund", "fit", "edge", "priority", "tier", "reject_reason")
+
+
+def changed_companies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Companies before and after every hundredth one has raised money."""
+    old = proxies.companies(spark, sf_dir)
+    raised = F.when(F.col("company_id") % 100 == 7, F.coalesce("total_funding_gbp", F.lit(0.0)) + 2_500_000.0).otherwise(F.col("total_funding_gbp"))
+    return old, old.withColumn("total_funding_gbp", raised)
+
+
+def rescore_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after a change: those of the changed companies are computed, the others taken over."""
+    old, new = changed_companies(spark, sf_dir)
+    former = stored(judged(old))
+    return generations.refreshed(new, generations.marked(old, config.config_hash()), former, "company_id", config.config_hash(), judged)[0]
+
+
 def tier_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).groupBy("fund", "tier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -224,7 +243,7 @@ def months_four_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("company_id", *(F.round(ladders.months(F.col("incorporated_on"), as_of(), m), 6).alias(m) if m == "mean" else ladders.months(F.col("incorporated_on"), as_of(), m).alias(m) for m in modes))
 
 
-QUERIES = {f.__name__: f for f in (rescore_all, tier_histogram, reject_reasons, freshness_gate_reason, vehicle_gate_verdict, best_vehicle_per_fund, fund_fit_pct, discovery_edge, priority_rank, score_components, explanation_text, qualification_pool, derive_attributes, derive_geography, route_score, band_and_curve, matrix_lookup, entity_fund_vehicle_cross, months_four_ways)}
+QUERIES = {f.__name__: f for f in (rescore_all, rescore_changed, tier_histogram, reject_reasons, freshness_gate_reason, vehicle_gate_verdict, best_vehicle_per_fund, fund_fit_pct, discovery_edge, priority_rank, score_components, explanation_text, qualification_pool, derive_attributes, derive_geography, route_score, band_and_curve, matrix_lookup, entity_fund_vehicle_cross, months_four_ways)}
 
 _WHOLE = f"(date_part('year', DATE '{proxies.AS_OF}') - date_part('year', incorporated_on)) * 12 + date_part('month', DATE '{proxies.AS_OF}') - date_part('month', incorporated_on) - CASE WHEN date_part('day', DATE '{proxies.AS_OF}') < date_part('day', incorporated_on) THEN 1 ELSE 0 END"
 _GATE_FLAGS = "concat_ws(',', CASE WHEN age_months IS NULL THEN 'age_unknown' END, CASE WHEN gate IS NULL AND uk IS NULL THEN 'uk_unverified' END) AS flags"
@@ -263,3 +282,6 @@ FROM (SELECT scored.*, concat_ws('. ', 'Found via ' || found, 'Matches on ' || p
     "months_four_ways": f"SELECT company_id, round(date_diff('day', incorporated_on, DATE '{proxies.AS_OF}') / 30.4375::DOUBLE, 6) AS mean, ({_WHOLE})::INT AS calendar, greatest({_WHOLE}, 0)::INT AS calendar_floor, round_even(date_diff('day', incorporated_on, DATE '{proxies.AS_OF}') / 30.44::DOUBLE, 0)::INT AS rounded FROM company WHERE incorporated_on IS NOT NULL",
 }
 SQL = {k: f"{CTE} {v}" for k, v in SQL.items()}
+
+_FUNDING = "CASE WHEN c.c_custkey % 5 = 0 THEN NULL WHEN c.c_acctbal < 0 THEN CAST(0.0 AS DOUBLE) ELSE c.c_acctbal * 400 END"
+SQL["rescore_changed"] = f"SELECT company_id, fund, fit, edge, priority, tier, reject_reason FROM ({SQL['rescore_all'].replace(_FUNDING, f'CASE WHEN c.c_custkey % 100 = 7 THEN coalesce({_FUNDING}, 0) + 2500000 ELSE {_FUNDING} END')})"

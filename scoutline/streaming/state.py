@@ -18,12 +18,17 @@ LEDGER = "key string, at timestamp, cost double, paid boolean"
 SILENCE = "key string, last timestamp, since timestamp, n long"
 
 
-def _millis(at: pd.Timestamp) -> int:
-    return int(pd.Timestamp(at).value // 1_000_000)
+def _micros(at: pd.Timestamp) -> int:
+    return int(pd.Timestamp(at).value // 1_000)
+
+
+def _timer(micros: int) -> int:
+    """Timers are in milliseconds; none fires early."""
+    return -(-micros // 1_000)
 
 
 class Ledger(StatefulProcessor):
-    """Rows (key, at, cost): the first of a key pays, the others are answered from it until ``keep`` milliseconds after the payment."""
+    """Rows (key, at, cost): the first of a key pays, the others are answered from it until ``keep`` microseconds after the payment."""
 
     def __init__(self, keep: int) -> None:
         self.keep = keep
@@ -37,18 +42,18 @@ class Ledger(StatefulProcessor):
         last = self.paid.get()[0] if self.paid.exists() else None
         out = []
         for at, cost in zip(some["at"], some["cost"]):
-            pays = last is None or _millis(at) >= last + self.keep
+            pays = last is None or _micros(at) >= last + self.keep
             if pays:
-                last = _millis(at)
+                last = _micros(at)
             out.append((key[0], at, float(cost) if pays else 0.0, pays))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.paid.update((last,))
-        self.handle.registerTimer(last + self.keep)
+        self.handle.registerTimer(_timer(last + self.keep))
         yield pd.DataFrame(out, columns=["key", "at", "cost", "paid"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.paid.exists() and self.paid.get()[0] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+        if self.paid.exists() and _timer(self.paid.get()[0] + self.keep) <= expiredTimerInfo.getExpiryTimeInMs():
             self.paid.clear()
         return iter(())
 
@@ -57,7 +62,7 @@ class Ledger(StatefulProcessor):
 
 
 class Silence(StatefulProcessor):
-    """Rows (key, at): one row whenever a key has no event for ``quiet`` milliseconds, with the number of events before."""
+    """Rows (key, at): one row whenever a key has no event for ``quiet`` microseconds, with the number of events before."""
 
     def __init__(self, quiet: int) -> None:
         self.quiet = quiet
@@ -67,12 +72,12 @@ class Silence(StatefulProcessor):
         self.seen = handle.getValueState("seen", "last long, n long, told boolean")
 
     def _row(self, key, last: int, n: int) -> tuple:
-        return key[0], pd.Timestamp(last, unit="ms"), pd.Timestamp(last + self.quiet, unit="ms"), n
+        return key[0], pd.Timestamp(last, unit="us"), pd.Timestamp(last + self.quiet, unit="us"), n
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, n, told = self.seen.get() if self.seen.exists() else (None, 0, False)
         out = []
-        for at in sorted(map(_millis, pd.concat(rows)["at"])):
+        for at in sorted(map(_micros, pd.concat(rows)["at"])):
             if last is not None and at - last >= self.quiet and not told:
                 out.append(self._row(key, last, n))
             if last is None or at > last:
@@ -82,12 +87,12 @@ class Silence(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.seen.update((last, n, told))
         if not told:
-            self.handle.registerTimer(last + self.quiet)
+            self.handle.registerTimer(_timer(last + self.quiet))
         yield pd.DataFrame(out, columns=["key", "last", "since", "n"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, n, told = self.seen.get()
-        if not told and last + self.quiet <= expiredTimerInfo.getExpiryTimeInMs():
+        if not told and _timer(last + self.quiet) <= expiredTimerInfo.getExpiryTimeInMs():
             self.seen.update((last, n, True))
             yield pd.DataFrame([self._row(key, last, n)], columns=["key", "last", "since", "n"])
 
@@ -107,13 +112,13 @@ def _stateful(stream: DataFrame, processor: StatefulProcessor, form: str) -> Dat
 def ledger(stream: DataFrame, content: str, cost: str, keep_days: float) -> DataFrame:
     """Every request of a stream (``at``, content, cost) with what it costs: equal contents pay once within the days that answers are kept."""
     rows = stream.select(F.sha2(F.coalesce(F.col(content).cast("string"), F.lit("")), 256).alias("key"), "at", F.col(cost).cast("double").alias("cost"))
-    return _stateful(rows, Ledger(int(keep_days * 86_400_000)), LEDGER)
+    return _stateful(rows, Ledger(int(keep_days * 86_400_000_000)), LEDGER)
 
 
 def silences(stream: DataFrame, key: str, quiet_days: float) -> DataFrame:
     """A row of each key and silence of at least the days given, told when the watermark passes its end or the key speaks again."""
     rows = stream.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "at")
-    return _stateful(rows, Silence(int(quiet_days * 86_400_000)), SILENCE)
+    return _stateful(rows, Silence(int(quiet_days * 86_400_000_000)), SILENCE)
 
 
 def run(stream: DataFrame, folder: str, batches: int | None = None) -> DataFrame:

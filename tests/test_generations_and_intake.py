@@ -70,3 +70,15 @@ def test_sources_are_gathered_with_counters_and_kept_apart(spark, tmp_path):
     one = intake.rolled_up(status).first()
     assert (one.status, one.seen, one.kept, one.failed) == ("failed", 7, 1, "four, three")
     assert intake.allowed(["a", "b", "c"], ["c", "a", "x"], ("a",)) == ["c"]
+
+
+def test_only_changed_rows_are_judged_again(spark, tiny):
+    from scoutline.plans import score_queries
+
+    old, new = (df.cache() for df in score_queries.changed_companies(spark, tiny))
+    full = score_queries.judged(new).collect()
+    rows, marks, changed = generations.refreshed(new, generations.marked(old, "c"), score_queries.judged(old), "company_id", "c", score_queries.judged)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, full))
+    assert {r.company_id for r in changed.collect()} == {r.company_id for r in new.collect() if r.company_id % 100 == 7} and marks.count() == new.count()
+    assert generations.refreshed(new, marks, rows, "company_id", "c", score_queries.judged)[2].count() == 0
+    assert generations.refreshed(new, marks, rows, "company_id", "other", score_queries.judged)[2].count() == new.count()
