@@ -59,6 +59,10 @@ class Generations:
             folder = f"{self.path}/data/{name}-{uuid.uuid4().hex}"
             df.write.parquet(folder)
             folders[name] = folder
+        return self.publish(folders, after)
+
+    def publish(self, folders: dict[str, str], after: int) -> int:
+        """Make these folders the version that follows ``after``; its number."""
         made = self._place(f"{self.path}/versions/.{uuid.uuid4().hex}")
         out = self.fs.create(made, False)
         out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))

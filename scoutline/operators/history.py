@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutline.functions.frames import blocked
+
 
 def _newest_first(days: DataFrame) -> DataFrame:
     return days.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("day"))))
@@ -16,25 +18,31 @@ def leading_zero_streak(days: DataFrame) -> DataFrame:
     return _newest_first(days).groupBy("source").agg((F.coalesce(first, F.count(F.lit(1)) + 1) - 1).cast("long").alias("streak"))
 
 
-def ranges(df: DataFrame, number: str, buckets: int = 4096) -> DataFrame:
-    """Runs of adjacent numbers as (first, last, n).
+def islands(df: DataFrame, number: str, keys: list[str] = [], blocks: int = 1024) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """(numbers, runs): distinct numbers of each key with their piece of a run, and pieces with the run (first, last) that they are of.
 
-    Runs are found inside buckets of the number line.  Only those that touch a border, two of a bucket at most and so at most
-    2 * ``buckets`` rows, pass one ordered window that joins them.
+    Pieces are found inside blocks of equally many numbers.  Only the outermost two of a block, at most 2 * ``blocks`` rows of a key,
+    pass one ordered window that joins them.
     """
-    xs = df.select(F.col(number).cast("long").alias("x")).where("x is not null").distinct()
-    low, high = xs.agg(F.min("x"), F.max("x")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // buckets))
-    cut = xs.withColumn("b", F.floor((F.col("x") - low) / width))
-    island = F.col("x") - F.row_number().over(Window.partitionBy("b").orderBy("x"))
-    runs = cut.withColumn("i", island).groupBy("b", "i").agg(F.min("x").alias("first"), F.max("x").alias("last"))
-    border = (F.col("first") == F.col("b") * width + low) | (F.col("last") == (F.col("b") + 1) * width + low - 1)
-    order = Window.orderBy("first")
+    xs = df.select(*keys, F.col(number).cast("long").alias("x")).where("x is not null").distinct()
+    piece = F.col("x") - F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("x"))
+    numbers = blocked(xs, "x", blocks).withColumn("_piece", piece)
+    at = [*keys, "_block", "_piece"]
+    within = Window.partitionBy(*keys, "_block")
+    outer = (F.col("first") == F.min("first").over(within)) | (F.col("last") == F.max("last").over(within))
+    runs = numbers.groupBy(*at).agg(F.min("x").alias("first"), F.max("x").alias("last")).withColumn("_outer", outer)
+    order = Window.partitionBy(*keys).orderBy("first")
     fresh = F.when(F.col("first") == F.lag("last").over(order) + 1, 0).otherwise(1)
-    joined = runs.where(border).withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(order)).groupBy("g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    whole = runs.where(~border).select("first", "last").unionByName(joined.select("first", "last"))
-    return whole.select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
+    edge = runs.where("_outer").withColumn("_fresh", fresh).withColumn("_g", F.sum("_fresh").over(order))
+    whole = Window.partitionBy(*keys, "_g")
+    joined = edge.select(*at, F.min("first").over(whole).alias("first"), F.max("last").over(whole).alias("last"))
+    return numbers, runs.where("not _outer").select(*at, "first", "last").unionByName(joined)
+
+
+def ranges(df: DataFrame, number: str, buckets: int = 1024, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Runs of adjacent numbers of each key as (first, last, n)."""
+    _, runs = islands(df, number, keys, buckets)
+    return runs.select(*keys, "first", "last").distinct().withColumn("n", F.col("last") - F.col("first") + 1)
 
 
 def leading_streak(runs: DataFrame, key: str, order: str, bad: Column) -> DataFrame:
@@ -73,11 +81,9 @@ def breaks(days: DataFrame, streak_days: int = 7, min_average: float = 2.0, wind
 def running(df: DataFrame, keys: list[str], order: str, cost: str, blocks: int = 256) -> DataFrame:
     """Append ``spent``: the running cost within each key, over blocks of the order and inside them.
 
-    A key may hold a large share of all rows: no task gets more of it than a block.
+    A key may hold a large share of all rows: no task gets more of it than a block.  The order must be unique in a key.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
-    cut = df.withColumn("_block", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    cut = blocked(df, order, blocks)
     sums = cut.groupBy(*keys, "_block").agg(F.sum(cost).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")

@@ -18,11 +18,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: dict[str, Column] | list[str],
 
     keys: names, or expressions by name (as an index on ``coalesce(vehicle, '')`` has them).  keep: columns whose old value stays;
     fill: those whose old value goes only if the new one is known; most: those that take the larger value.
+    Null keys are equal to one another.
     """
     named = keys if isinstance(keys, dict) else {k: F.col(k) for k in keys}
-    marks = {f"_k{i}": e for i, e in enumerate(named.values())}
-    a, b = (df.withColumns(marks).select(F.struct(*df.columns).alias(x), *marks) for df, x in ((old, "o"), (new, "n")))
-    both = a.join(b, list(marks), "full_outer")
+    a, b = (df.withColumns({f"_{x}{i}": e for i, e in enumerate(named.values())}).select(F.struct(*df.columns).alias(x), *(f"_{x}{i}" for i in range(len(named)))) for df, x in ((old, "o"), (new, "n")))
+    both = a.join(b, reduce(lambda p, q: p & q, (F.col(f"_o{i}").eqNullSafe(F.col(f"_n{i}")) for i in range(len(named)))), "full_outer")
 
     def pick(c: str) -> Column:
         o, n = F.col(f"o.{c}"), F.col(f"n.{c}")

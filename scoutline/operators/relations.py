@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutline.functions.frames import blocked
+
 
 def first_of(df: DataFrame, keys: list[str], *order: Column | str, k: int = 1) -> DataFrame:
     """The first k rows of each key; the last column of the order must be unique, so that ties are settled."""
@@ -85,13 +87,11 @@ def weight_sweep(fits: DataFrame, id_col: str, attributes: tuple[str, ...], weig
 def exact_median(df: DataFrame, key: str, value: str, blocks: int = 256) -> DataFrame:
     """(key, median): the middle value, or the mean of the two in the middle.
 
-    Values are counted, then summed by blocks of their range; only the block that holds a middle is ordered, so no task
-    gets all values of a key.
+    Values are counted, then summed by blocks of about equally many of them; only the block that holds a middle is ordered, so no
+    task gets all values of a key, outliers or not.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    low, high = counted.agg(F.min("v"), F.max("v")).first()
-    width = max(((high or 0.0) - (low or 0.0)) / blocks, 1e-12)
-    counted = counted.withColumn("b", F.least(F.floor((F.col("v") - F.lit(low or 0.0)) / width), F.lit(blocks - 1)))
+    counted = blocked(counted, "v", blocks).withColumnRenamed("_block", "b")
     sums = counted.groupBy(key, "b").agg(F.sum("n").alias("held"))
     before = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumns({"before": F.coalesce(F.sum("held").over(before), F.lit(0)), "total": F.sum("held").over(Window.partitionBy(key))})
