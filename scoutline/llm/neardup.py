@@ -8,12 +8,12 @@ precisely for very similar sets, so almost only true pairs reach the confirmatio
 No group is ever spread into all its pairs.  Documents of equal sets are one class.  In a bucket every class
 meets the bucket's first one; after links are contracted, only classes outside that one's
 component (outsiders) meet the rest of the bucket, in salted blocks if it is large.  Pairs inside one component need no
-check, since they cannot change the result.  A bucket of more than OUTSIDERS outsiders (pages of one template, say)
-is banded again: its classes meet by pairs of shared bands, which agree in twice as many samples; so the work in
-a bucket of n classes is a multiple of n, whatever they have in common.
+check, since they cannot change the result.  In a bucket of more than OUTSIDERS outsiders (pages of one template, say)
+classes meet by rare shingles instead: two sets of the wanted similarity have one in common among the rarest ninth of the smaller and
+the rarest fifth of the larger set, at places that leave room for the rest of the overlap.  That loses no pair, so the result
+is the same on either way; pages that share a template and little else have no such shingle in common, however many there are.
 
-Two sets of similarity s share no bucket with probability (1 - s^5)^40: 1.3e-7 at 0.8, less above; they share fewer
-than two, which they need where buckets are banded again, with 2.6e-6.  The sketch lets pass every estimate of
+Two sets of similarity s share no bucket with probability (1 - s^5)^40: 1.3e-7 at 0.8, less above.  The sketch lets pass every estimate of
 at least ``similarity - SLACK``, five standard deviations.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer
@@ -26,7 +26,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutline.llm.common import WordHasher, _mix, forget, salted_join, slices, string_buffers, written
@@ -35,7 +35,7 @@ from scoutline.llm.components import components
 BANDS, ROWS = 40, 5
 #: All samples flip sketch bits, the first BANDS * ROWS of them make band keys.
 SAMPLES, SKETCH_BITS, SLACK = 1200, 3072, 0.065
-#: Members of a bucket that are compared by one task; outsiders of a bucket that meet the rest of it without more bands.
+#: Members of a bucket that are compared by one task; outsiders of a bucket that meet all the rest of it.
 BLOCK, OUTSIDERS = 1000, 2000
 #: Bytes of text that are hashed at a time in a task.
 TEXT_BYTES = 2_000_000
@@ -182,11 +182,8 @@ def _members(keys: DataFrame) -> DataFrame:
     return keys.join(shared, "key")
 
 
-def _met(placed: DataFrame, sketches: DataFrame, likely: Column, first_only: bool) -> DataFrame:
-    """Likely pairs (u, v) of outsiders with the classes of their bucket that are in other components.
-
-    first_only: a pair that shares several buckets meets in the first of them only.
-    """
+def _met(placed: DataFrame, sketches: DataFrame, likely: Column) -> DataFrame:
+    """Likely pairs (u, v) of outsiders with the classes of their bucket that are in other components."""
     outside = placed.where("own <> of_center")
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
     earlier = lambda x: sketches.select("id", F.col("sketch").alias(f"sketch_{x}"), "bands")
@@ -194,11 +191,43 @@ def _met(placed: DataFrame, sketches: DataFrame, likely: Column, first_only: boo
     apart = outside.join(earlier("u"), "id").select("key", F.col("id").alias("u"), F.col("own").alias("own_u"), "sketch_u", before("u"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rest = placed.join(outside.select("key").distinct(), "key", "left_semi").join(earlier("v"), "id").select("key", F.col("id").alias("v"), F.col("own").alias("own_v"), (F.col("own") == F.col("of_center")).alias("linked"), "sketch_v", before("v"), F.pmod(F.hash("id"), salts).alias("salt"))
     test = (F.col("own_u") != F.col("own_v")) & (F.col("linked") | (F.col("u") < F.col("v"))) & likely
-    if first_only:
-        test = test & ~F.arrays_overlap("before_u", "before_v")
+    test = test & ~F.arrays_overlap("before_u", "before_v")  # pairs that share several buckets meet in the first of them
     return apart.join(rest.withColumnsRenamed({"key": "key_v", "salt": "salt_v"}), (F.col("key") == F.col("key_v")) & (F.col("salt") == F.col("salt_v")) & test).select("u", "v").distinct()
 
 
+def _rare(sets: DataFrame, per_cent: int) -> DataFrame:
+    """Shingles by which sets may meet: key, id, size, place in the set by rarity among these sets (from 1), short.
+
+    All rows are among the rarest of the set, as many as a larger partner needs; short ones also if it is the smaller one.
+    Shingles of one set only take their places, but no rows.
+    """
+    each = sets.select("id", F.size("members").cast("long").alias("size"), F.explode("members").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = Window.partitionBy("id")
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "key"))
+    placed = each.join(often, "key").withColumn("place", place)
+    larger = F.expr(f"place <= size - ({per_cent} * size + 99) div 100 + 1")
+    smaller = F.expr(f"place <= size - (2 * {per_cent} * size + {99 + per_cent}) div {100 + per_cent} + 1")
+    return placed.where(larger).select("key", "id", "size", "place", smaller.alias("short"))
+
+
+def _shared(rare: DataFrame) -> DataFrame:
+    """Shingles by which some two sets may meet: key, center (the smallest id), n."""
+    found = rare.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n"), F.bool_or("short").alias("any"))
+    return found.where("n > 1 and any").select("key", "center", "n")
+
+
+def _met_by_rare(owned: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (u, v), perhaps repeated, of sets in different components that share a shingle at places that allow the similarity."""
+    salts = F.ceil(F.col("n") / BLOCK).cast("int")
+    side = lambda x, *more: [F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "own")] + [F.col("id").alias(x), *more]
+    smaller = owned.where("short").select("key", *side("u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
+    larger = owned.select("key", *side("v", F.pmod(F.hash("id"), salts).alias("salt")))
+    overlap = f"({per_cent} * (size_u + size_v) + {99 + per_cent}) div {100 + per_cent}"
+    fits = f"own_u <> own_v and (size_u < size_v or (size_u = size_v and u < v)) and 1 + least(size_u - place_u, size_v - place_v) >= {overlap}"
+    return smaller.join(larger, ["key", "salt"]).where(fits).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """id_col, text_hash, n_shingles, component_id, kept of every document (one row for each row of the input)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
@@ -224,14 +253,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = written(_placed(members, links), "placed")
     forget(members)
     crowds = written(placed.where("own <> of_center").groupBy("key").agg(F.count(F.lit(1)).alias("outsiders")).where(F.col("outsiders") > OUTSIDERS).select("key"), "crowds")
-    pairs = _met(placed.join(crowds, "key", "left_anti"), sketches, likely, True)
+    pairs = _met(placed.join(crowds, "key", "left_anti"), sketches, likely)
     if not crowds.isEmpty():
-        inside = placed.join(crowds, "key", "left_semi").select("id", "key", "band").join(sketches.select("id", "bands"), "id")
-        other = F.posexplode(F.filter("bands", lambda k, i: i != F.col("band"))).alias("at", "second")
-        twice = inside.select("id", "key", "band", other).select("id", "band", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
-        again = written(_members(twice), "members")
+        inside = placed.join(crowds, "key", "left_semi").select("id").distinct()
+        rare = written(_rare(sets.join(inside, "id", "left_semi"), round(100 * similarity)), "rare")
+        again = written(rare.join(_shared(rare), "key"), "members")
         links = written(links.unionByName(linked(again)), "links")
-        pairs = written(pairs, "pairs").unionByName(_met(written(_placed(again, links), "placed"), sketches, likely, False))
+        named = components(links).select(F.col("node").alias("id"), F.col("component").alias("own"))
+        owned = written(again.join(named, "id", "left").withColumn("own", F.coalesce("own", "id")), "owned")
+        met = _met_by_rare(owned, round(100 * similarity)).distinct()
+        pairs = written(pairs, "pairs").unionByName(met.join(a, "u").join(b, "v").where(likely).select("u", "v"))
     more = _confirmed(written(pairs.distinct(), "candidates"), sets, similarity)
     final = components(links.unionByName(more))
     named = classes.select("node", "id", "mark1", "mark2", "n_rows").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
