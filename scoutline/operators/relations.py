@@ -32,15 +32,16 @@ def resolve_provenance(observations: DataFrame) -> DataFrame:
 def threshold_sweep(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, precision and recall at every change point.
 
-    Thresholds are whole numbers from 0 to 100, so that table is bounded by 101 rows; labelled rows are
-    first summed up by score, and running sums replace a cross join.
+    Thresholds are whole numbers from 0 to 100, so labelled rows are first summed up to at most 102 of them, by the highest
+    threshold that they reach; running sums over these give every count.  Without labelled rows all counts are 0.
     """
-    points = scores.select(F.greatest(F.lit(0), F.least(F.lit(100), F.col("fit"))).alias("threshold")).distinct()
-    counted = scores.join(labels, "doc_id").groupBy("fit").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
-    both = F.broadcast(points).join(counted)
-    at = F.col("fit") >= F.col("threshold")
-    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias({"good": "tp", "bad": "fp"}[c])
-    swept = both.groupBy("threshold").agg(total("good", at), total("bad", at), F.coalesce(F.sum(F.when(~at, F.col("good"))), F.lit(0)).alias("fn"))
+    points = scores.select(F.greatest(F.lit(0), F.least(F.lit(100), F.col("fit"))).alias("threshold")).distinct().withColumn("asked", F.lit(True))
+    reached = F.greatest(F.lit(-1), F.least(F.lit(100), F.floor("fit"))).cast("int").alias("threshold")
+    counted = scores.join(labels, "doc_id").groupBy(reached).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    both = points.join(counted, "threshold", "full_outer").fillna(0, ["good", "bad"])
+    above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.orderBy(F.desc("threshold")).rowsBetween(1, Window.unboundedFollowing)
+    swept = both.select("threshold", "asked", F.sum("good").over(above).alias("tp"), F.sum("bad").over(above).alias("fp"), F.coalesce(F.sum("good").over(below), F.lit(0)).alias("fn")).where("asked")
     share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(a) + F.col(b)), 6)
     return swept.select("threshold", "tp", "fp", "fn", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
 
