@@ -11,6 +11,7 @@ from scoutline.functions import identity as ident
 NAMES = {
     "norm_name_key": lambda c: ident.norm_name(c),
     "bad_records": lambda c: ident.is_placeholder(ident.norm_key(c)).cast("string"),
+    "person_names": lambda c: ident.person_key(c),
 }
 
 
