@@ -12,6 +12,7 @@ NAMES = {
     "norm_name_key": lambda c: ident.norm_name(c),
     "bad_records": lambda c: ident.is_placeholder(ident.norm_key(c)).cast("string"),
     "person_names": lambda c: ident.person_key(c),
+    "name_keys": lambda c: F.array_join(ident.rare_tokens(ident.norm_name(c)), " "),
 }
 
 
