@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
+from scoutline.plans import identity_queries
 
 NAMES = {
     "norm_name_key": lambda c: ident.norm_name(c),
@@ -31,3 +32,8 @@ def test_every_character_is_folded_as_unicode_has_it(spark):
     plain = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
     asked = spark.createDataFrame([(c, plain(c) if plain(c) or unicodedata.combining(c) else c) for c in chars], "c string, p string")
     assert asked.where(ident.folded(F.concat(F.lit("a"), F.col("c"), F.lit("b"))) != F.lower(F.concat(F.lit("a"), F.col("p"), F.lit("b")))).count() == 0
+
+
+def test_a_host_is_taken_apart_once(spark, tiny):
+    plan = identity_queries.web_identity(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[/?#:].*$") <= 4  # once or twice in each of the two tables; in every rung before
