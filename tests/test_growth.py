@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from scoutline import config
 from scoutline.functions import identity as ident
 from scoutline.plans import identity_queries
 
@@ -37,3 +38,11 @@ def test_every_character_is_folded_as_unicode_has_it(spark):
 def test_a_host_is_taken_apart_once(spark, tiny):
     plan = identity_queries.web_identity(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[/?#:].*$") <= 4  # once or twice in each of the two tables; in every rung before
+
+
+def test_similar_words_cost_microseconds(spark):
+    rows = lambda n: spark.range(0, n, 1, 1).select(F.concat(F.lit("series "), F.col("id").cast("string")).alias("x"))
+    made = lambda n: rows(n).select(F.count(ident.nearest_enum(F.col("x"), config.STAGES))).first()[0]
+    made(10)
+    start = time.time()
+    assert made(20_000) > 0 and time.time() - start < 8
