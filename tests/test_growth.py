@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scoutline import config
 from scoutline.functions import identity as ident
-from scoutline.plans import identity_queries
+from scoutline.plans import identity_queries, relation_queries
 
 NAMES = {
     "norm_name_key": lambda c: ident.norm_name(c),
@@ -46,3 +46,8 @@ def test_similar_words_cost_microseconds(spark):
     made(10)
     start = time.time()
     assert made(20_000) > 0 and time.time() - start < 8
+
+
+def test_blocking_reads_names_that_are_made_once(spark, tiny):
+    plan = relation_queries.block_candidates(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan  # names are normalised before, not once for each of blocking's reads
