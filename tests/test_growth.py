@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from scoutline import config
 from scoutline.functions import identity as ident
-from scoutline.plans import identity_queries, relation_queries
+from scoutline.operators import resolve
+from scoutline.plans import identity_queries, proxies, relation_queries
 
 NAMES = {
     "norm_name_key": lambda c: ident.norm_name(c),
@@ -51,3 +52,8 @@ def test_similar_words_cost_microseconds(spark):
 def test_blocking_reads_names_that_are_made_once(spark, tiny):
     plan = relation_queries.block_candidates(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert "translate(" not in plan  # names are normalised before, not once for each of blocking's reads
+
+
+def test_keys_of_mentions_take_a_host_apart_once(spark, tiny):
+    plan = resolve.keyed(proxies.mentions(spark, tiny))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[/?#:].*$") <= 6
