@@ -57,3 +57,12 @@ def test_blocking_reads_names_that_are_made_once(spark, tiny):
 def test_keys_of_mentions_take_a_host_apart_once(spark, tiny):
     plan = resolve.keyed(proxies.mentions(spark, tiny))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[/?#:].*$") <= 6
+
+
+def test_names_of_one_row_group_are_made_by_several_tasks(spark, tiny):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task again
+    try:
+        found = proxies.mentions(spark, tiny).groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("id") % 2 == 0).alias("n")).where("n > 0")
+        assert proxies.table(spark, tiny, "customer").rdd.getNumPartitions() == 1 and found.count() >= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
