@@ -66,3 +66,9 @@ def test_names_of_one_row_group_are_made_by_several_tasks(spark, tiny):
         assert proxies.table(spark, tiny, "customer").rdd.getNumPartitions() == 1 and found.count() >= 3
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_names_of_a_pair_are_compared_once(spark, tiny):
+    pairs = resolve.candidates(proxies.mentions(spark, tiny))
+    plan = resolve.compared(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_subsequence") == 1  # in both branches of a union before
