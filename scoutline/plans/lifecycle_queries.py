@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutline.functions import identity as ident
+from scoutline.functions.frames import stored
 from scoutline.operators import lifecycle, registry
 from scoutline.plans import proxies
 
@@ -69,7 +70,8 @@ def tombstones_followed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _children(spark, sf):
     lines = t(spark, sf, "lineitem").selectExpr("l_orderkey as id", "l_linenumber as line", "l_partkey as part", "l_suppkey as supplier")
-    return lines.withColumn("row", F.concat_ws("-", "id", "line", "part", "supplier")).dropDuplicates(["row"])
+    # Dealt out by id once: the row's name is made after that, and its duplicates and its winner are in the same task.
+    return lines.repartition("id").withColumn("row", F.concat_ws("-", "id", "line", "part", "supplier")).dropDuplicates(["id", "row"])
 
 
 def _winners(spark, sf):
@@ -84,9 +86,8 @@ def merge_children(spark: SparkSession, sf: str) -> DataFrame:
 
 def merge_undone(spark: SparkSession, sf: str) -> DataFrame:
     """A merge and its reversal: the children are what they were."""
-    before = _children(spark, sf)
-    kept, evidence = lifecycle.moved_children(before, _winners(spark, sf), ["line"], "row")
-    deleted = before.join(evidence.where("action = 'deleted'").select("row"), "row", "left_semi")
+    ranked = stored(lifecycle.ranked_children(_children(spark, sf), _winners(spark, sf), ["line"], "row"))
+    kept, evidence, deleted = lifecycle.told(ranked, "row")
     return lifecycle.restored(kept, evidence, deleted, "row").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("parts"), F.max("row").alias("last"))
 
 

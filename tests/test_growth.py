@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scoutline import config
 from scoutline.functions import identity as ident
 from scoutline.operators import resolve
-from scoutline.plans import identity_queries, proxies, relation_queries
+from scoutline.plans import identity_queries, lifecycle_queries, proxies, relation_queries
 
 NAMES = {
     "norm_name_key": lambda c: ident.norm_name(c),
@@ -72,3 +72,8 @@ def test_names_of_a_pair_are_compared_once(spark, tiny):
     pairs = resolve.candidates(proxies.mentions(spark, tiny))
     plan = resolve.compared(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython [_subsequence") == 1  # in both branches of a union before
+
+
+def test_an_undone_merge_reads_children_once(spark, tiny):
+    plan = lifecycle_queries.merge_undone(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and plan.count("Exchange hashpartitioning") <= 4  # ranked for each of three reads before
