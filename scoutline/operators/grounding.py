@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutline.functions.frames import stored
+
 #: A shorter quote is no evidence (fixed value).
 MIN_QUOTE_CHARS = 12
 #: Words of a gram that quotes and texts meet by; a quote takes the longest that its inner words fill.
@@ -48,7 +50,7 @@ def _grams(words: Column, n: int) -> Column:
 def _by_grams(texts: DataFrame, quotes: DataFrame, n: int) -> DataFrame:
     """(id, quote) of texts that have a quote's rarest gram; a quote with a gram that no text has is in none."""
     wanted = quotes.where(F.col("level") == n).select("quote", F.explode(_grams(F.col("inner"), n)).alias("gram"))
-    held = texts.select("id", F.explode(_grams(F.col("words"), n)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = stored(texts.select("id", F.explode(_grams(F.col("words"), n)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"))  # read twice
     counted = wanted.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
     rarest = counted.groupBy("quote").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").drop("all")
     return held.join(rarest, "gram").select("id", "quote")

@@ -77,3 +77,8 @@ def test_names_of_a_pair_are_compared_once(spark, tiny):
 def test_an_undone_merge_reads_children_once(spark, tiny):
     plan = lifecycle_queries.merge_undone(spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan and plan.count("Exchange hashpartitioning") <= 4  # ranked for each of three reads before
+
+
+def test_grams_of_texts_are_made_once(spark, tiny):
+    plan = relation_queries.verbatim_grounding(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") <= 2  # the last look at whole texts, plain and odd ones; all grams were made twice before
