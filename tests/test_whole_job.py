@@ -1,6 +1,10 @@
 """Whole jobs: cases that a cut of the input or of the candidates would lose."""
 
-from scoutline.operators import grounding, resolve
+import random
+
+from pyspark.sql import functions as F
+
+from scoutline.operators import entities, grounding, resolve
 
 
 def test_whole_quotes_are_grounded(spark):
@@ -37,3 +41,24 @@ def test_frequent_tokens_and_exact_keys_pair(spark):
     got = {(r.a, r.b): r.shared for r in resolve.block(names, ("number", "domain", "norm_key")).collect()}
     right = {(a, b): 1 for a in range(450) for b in range(a + 1, 450)} | {(900, 902): 0, (901, 902): 0, (900, 901): 0}
     assert got == right
+
+
+def crowd(n, seed=1):
+    """Different names that share a frequent word and no other."""
+    rng = random.Random(seed)
+    return sorted({"Quantum " + "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(3, 6))) for _ in range(n)})
+
+
+def crowded(spark, planted):
+    rows = [(i, x, None, None, "UK") for i, x in enumerate(crowd(entities.CROWD + 60) + planted)]
+    return spark.createDataFrame(rows, "id long, name string, number string, domain string, country string"), {x: i for i, x, *_ in rows}
+
+
+def test_merges_of_names_that_share_only_a_frequent_word(spark):
+    mentions, at = crowded(spark, ["Quantum Xlorbit", "Quantum Lorbits"])
+    one, other = at["Quantum Xlorbit"], at["Quantum Lorbits"]
+    found = entities.resolved(mentions.withColumn("seen", F.lit("2024-01-01").cast("date")))
+    merge = found["merges"].where(f"a = {one} and b = {other}")
+    assert [r.rule for r in merge.collect()] == ["fuzzy"]  # neither a word nor an end of one besides the frequent word: never compared before
+    now, kept, touched = entities.rebuilt(found["places"], found["merges"], found["keyed"], merge.select("a", "b"))
+    assert {one, other} <= {r.id for r in now.collect()} and kept.where(f"a = {one} and b = {other}").isEmpty() and touched.count() == 1
